@@ -7,15 +7,15 @@ either side, and reads a document's normalised text once. A match's end gives it
 k-th word of the normalised text is the k-th word of the original, which maps offsets back.
 """
 
-from __future__ import annotations
-
 import hashlib
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_rows
+from tidemark.llm.common import bound_batches, map_rows
 
 WINDOW_WORDS = 10
 #: Normalised characters of all windows that one automaton may hold (about 32 bytes a node): a
@@ -94,6 +94,36 @@ def _groups(items: list[tuple[int, str | None]], size: int, chars: int) -> list[
     return groups
 
 
+def _scanner(spark, benchmark: DataFrame, item_col: str, item_text_col: str, window: int, automaton_chars: int):
+    """The sorted names of the items, and a maker of f(words) -> (ranges, indices of items) for a task."""
+    wanted = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).cast("string").alias("text"))
+    weight = wanted.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)))).first()[0] or 0
+    if weight > BENCHMARK_BYTES:
+        raise ValueError(f"benchmark of {weight} bytes; at most {BENCHMARK_BYTES} are broadcast")
+    rows = sorted((r["item"], r["text"] or "") for r in wanted.collect())
+    names = sorted({name for name, _ in rows})
+    index = {name: i for i, name in enumerate(names)}
+    shared = spark.sparkContext.broadcast(_groups([(index[name], text) for name, text in rows], window, automaton_chars))
+
+    def make():
+        groups = shared.value
+        single = automaton(groups[0], window) if len(groups) == 1 else None
+
+        def find(words: list[bytes]):
+            if len(groups) == 1:
+                return scan(single, words)
+            ranges, items = [], set()
+            for i in range(len(groups)):
+                found, which = scan(_one_group(groups, i, window), words)
+                ranges += found
+                items |= which
+            return _merge(ranges), items
+
+        return find
+
+    return names, make
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW_WORDS, automaton_chars: int = AUTOMATON_CHARS) -> DataFrame:
     """One row per document: ``id_col``, n_words, n_hit, n_items, items_sha256, contaminated, spans.
 
@@ -101,34 +131,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     sorted, comma-joined). spans: start:end code points of the merged hits. A null text has no words;
     an item without words has no window; an item with a null id counts under the empty string. Items
     that share an id count once. Repeated documents repeat their rows; an empty benchmark hits nothing.
-    The benchmark is read on the driver, behind a check of its size, and broadcast.
+    The benchmark is read on the driver, behind a check of its size, and broadcast. Other columns aren't read.
     """
-    spark = docs.sparkSession
-    wanted = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).cast("string").alias("text"))
-    weight = wanted.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)))).first()[0] or 0
-    if weight > BENCHMARK_BYTES:
-        raise ValueError(f"benchmark of {weight} bytes; at most {BENCHMARK_BYTES} are broadcast")
-    rows = sorted((r["item"], r["text"] or "") for r in wanted.collect())
-    names = sorted({name for name, _ in rows})
-    index = {name: i for i, name in enumerate(names)}
-    groups = _groups([(index[name], text) for name, text in rows], window, automaton_chars)
-    shared = spark.sparkContext.broadcast((names, groups))
+    names, make = _scanner(docs.sparkSession, benchmark, item_col, item_text_col, window, automaton_chars)
     key_type = dict(docs.dtypes)[id_col]
 
     def factory():
-        names, groups = shared.value
-        built = [automaton(g, window) for g in groups] if len(groups) == 1 else None
+        find = make()
 
         def one(key, text):
             words = normalise(text)
-            ranges: list[tuple[int, int]] = []
-            items: set[int] = set()
-            for i in range(len(groups)):
-                found, which = scan(built[0] if built else _one_group(groups, i, window), words)
-                ranges += found
-                items |= which
-            if len(groups) > 1:
-                ranges = _merge(ranges)
+            ranges, items = find(words)
             digest = hashlib.sha256(",".join(names[i] for i in sorted(items)).encode()).hexdigest()
             places = ",".join(f"{a}:{b}" for a, b in spans(text, ranges)) if ranges else ""
             hit = sum(b - a for a, b in ranges)
@@ -137,7 +150,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         return one
 
     schema = f"`{id_col}` {key_type}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans string"
-    return map_rows(docs.select(id_col, F.col(text_col).cast("string").alias("text")) if id_col != "text" else docs, factory, schema)
+    return map_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), factory, schema)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW_WORDS) -> DataFrame:
+    """The rows of ``docs``, all columns, without an occurrence of any window. Only the text goes to Python."""
+    bound_batches(docs.sparkSession)
+    _, make = _scanner(docs.sparkSession, benchmark, item_col, item_text_col, window, AUTOMATON_CHARS)
+
+    @F.pandas_udf("boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        find = make()
+        for texts in batches:
+            yield pd.Series([not find(normalise(t))[0] for t in texts], dtype=bool)
+
+    return docs.where(clean(F.col(text_col).cast("string")))
 
 
 _kept_group: dict = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, covertree, decontaminate, secrets, simhash, toxicity, urlfilter
+from tidemark.llm import bpe, covertree, decontaminate, licenses, pseudolm, secrets, simhash, surrogates, toxicity, urlfilter
 
 
 def tokenizer() -> tuple[str, str]:
@@ -23,6 +23,27 @@ def op1_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_license_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no paths: each gets source/language/block/id, and one that states a licence speaks for its directory."""
+    path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.floor(F.col("doc_id") / 64).cast("string"), F.col("doc_id").cast("string"))
+    docs = _table(spark, sf_dir, "documents").withColumn("path", path)
+    return licenses.scan(docs, license_file=F.lit(True))
+
+
+#: Key of the query's surrogates; a deployment passes its own.
+PII_KEY = b"query key, not a secret"
+
+
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.pseudonymize(_table(spark, sf_dir, "documents"), PII_KEY)
+
+
+def op4_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    words = pseudolm.vocabulary(docs)
+    return pseudolm.score(docs, words, pseudolm.train(docs, words))
+
+
 def op5_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(_table(spark, sf_dir, "documents"))
     base = [("assign", F.col("assign")), ("access", F.col("access")), ("hex", F.col("hex"))]

@@ -10,18 +10,18 @@ For scoring, a word's share in the difference of the two logits is one number; a
 those of the words it has met.
 """
 
-from __future__ import annotations
-
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_rows
+from tidemark.llm.common import bound_batches, map_rows
 
 #: Toxic rows that training reads at most (by hash of the id); of clean rows it reads twice as many.
 SAMPLE_ROWS = 2000
@@ -216,3 +216,18 @@ class _Shares(dict):
         if len(word) <= 40:
             self[word] = value
         return value
+
+
+def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs``, all columns, that score under the threshold. Only the text goes to Python."""
+    bound_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = shared.value
+        shares = _Shares(model)
+        for texts in batches:
+            yield pd.Series([model.score(list(map(shares.__getitem__, words(t)))) for t in texts], dtype="float64")
+
+    return docs.where(scored(F.col(text_col).cast("string")) < threshold)
