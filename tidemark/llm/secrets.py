@@ -15,7 +15,8 @@ likely ordinary text, written in that alphabet, would look as random as it does:
   sequences have and random strings don't.
 
 Each test gives a p-value under "this is text" from a normal approximation to its statistic; Fisher's
-method combines the three. The false discovery rate over all candidates of the corpus is held at
+method combines the three, unless one of them sides with text outright: a counter is uniform and rich in
+classes, yet no secret. The false discovery rate over all candidates of the corpus is held at
 ``FDR`` by the Benjamini-Hochberg rule with weights that grow with length (longer strings carry more
 evidence; weights average one). The rule needs only counts by p-value bin: a table of at most
 ``BINS`` rows, whatever the corpus, and never a ranking of all candidates in one task.
@@ -52,6 +53,8 @@ TEXT_CORRELATION = 0.45
 #: Candidates longer than this are cut into windows of this length, each tested by itself.
 WINDOW_CHARS = 512
 FDR = 0.01
+#: A test whose p-value is over this sides with text; then the others can't outvote it.
+VETO = 0.5
 #: p-value bins: steps of a hundredth in -log10(p / weight), up to BINS steps.
 BINS = 4000
 STEPS = 100
@@ -117,7 +120,8 @@ def battery(s: Column) -> Column:
     correlation = F.when(spread > 0, F.abs(lagged / spread)).otherwise(F.lit(1.0))
     p_serial = _p_value((F.lit(TEXT_CORRELATION) - correlation) * F.sqrt(n))
     x = -(F.log(p_chi) + F.log(p_runs) + F.log(p_serial))  # half of Fisher's statistic; survival of chi-squared with 6 degrees
-    p = F.least(F.exp(-x) * (1 + x + x * x / 2), F.lit(1.0))
+    text_like = (p_chi > VETO) | (p_runs > VETO) | (p_serial > VETO)
+    p = F.when(text_like, F.lit(1.0)).otherwise(F.least(F.exp(-x) * (1 + x + x * x / 2), F.lit(1.0)))
     return F.struct(encoding.alias("encoding"), F.when(encoding.isNotNull(), p).alias("p"))
 
 
