@@ -106,6 +106,9 @@ def battery(s: Column) -> Column:
         fits = s.rlike(pattern)
         encoding, size = F.when(fits, F.lit(name)).otherwise(encoding), F.when(fits, F.lit(float(k))).otherwise(size)
     n = F.length(s).cast("double")
+    # An encoding of random bytes has few hyphens and underscores; a string with more is words and separators.
+    separators = F.length(F.regexp_replace(s, "[^_-]", "")).cast("double")
+    encoding = F.when(separators <= n / 32 + 3 * F.sqrt(n / 32), encoding)
     codes = F.transform(F.split(s, ""), lambda c: F.ascii(c).cast("double"))
     counts = F.transform(F.array_distinct(F.split(s, "")), lambda c: F.length(F.regexp_replace(s, F.concat(F.lit("[^\\Q"), c, F.lit("\\E]")), F.lit(""))).cast("double"))
     squares = F.aggregate(counts, F.lit(0.0), lambda acc, x: acc + x * x)
