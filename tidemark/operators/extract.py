@@ -98,7 +98,8 @@ def mock_extract(df: DataFrame, vocabulary: list[str], variant: str, text_col: s
     narrative = T.narrative_of(T.fill_prompt(PROMPTS[variant], vocabulary, F.col(text_col)))
     out = df.withColumn("_n", narrative).withColumn("_c", classify(F.col("_n"), vocabulary))
     category = F.when(degraded_column(F.col("_n"), variant), "other").otherwise(F.col("_c.issue_category"))
-    return out.select(*df.columns, "_c.sentiment_label", "_c.sentiment_score", category.alias("issue_category"), "_c.severity", "_c.is_actionable")
+    rest = [c for c in df.columns if c not in (*FIELDS, "sentiment_score")]
+    return out.select(*rest, "_c.sentiment_label", "_c.sentiment_score", category.alias("issue_category"), "_c.severity", "_c.is_actionable")
 
 
 def token_count(text: Column) -> Column:
