@@ -62,25 +62,26 @@ STEPS = 100
 SILENT = ("decimal",)
 
 
-def _ends(lengths: Column) -> Column:
-    """Running sums of an array of integers, from 0: [0, a, a + b, ...]."""
-    return F.aggregate(lengths, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+def _with_spans(df: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:
+    """``df`` with an array of (start, end) for each named pattern: its leftmost non-overlapping matches, in code points.
 
+    Three projections, since an expression inside a higher-order function is worked out again wherever it
+    is named: the matches first, then the gaps between them for texts that have any, then the offsets.
+    """
+    col = F.col(text)
+    df = df.withColumns({f"_{k}": F.when(col.rlike(p), F.regexp_extract_all(col, F.lit(p), F.lit(0))) for k, p in patterns.items()})
+    sizes = {f"_{k}_m": F.transform(f"_{k}", lambda s: F.length(s)) for k in patterns}
+    gaps = {f"_{k}_g": F.when(F.col(f"_{k}").isNotNull(), F.transform(F.split(col, p, -1), lambda s: F.length(s))) for k, p in patterns.items()}
+    df = df.drop(*patterns).withColumns(sizes | gaps)
 
-def find_spans(text: Column, pattern: str) -> Column:
-    """Array of (start, end) of all leftmost non-overlapping matches, in code points.
+    def spans(k: str) -> Column:
+        # One step a match: its start is the end before it plus the gap, its end the start plus its length.
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+        step = F.zip_with(F.slice(f"_{k}_g", F.lit(1), F.size(f"_{k}_m")), F.col(f"_{k}_m"), lambda g, m: F.struct(g.alias("g"), m.alias("m")))
+        few = F.aggregate(step, start, lambda acc, x: F.struct((acc["at"] + x["g"] + x["m"]).alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + x["g"]).alias("start"), (acc["at"] + x["g"] + x["m"]).alias("end")))).alias("out")), lambda acc: acc["out"])
+        return F.coalesce(few, F.array().cast("array<struct<start:int,end:int>>"))
 
-    Only a text that has a match pays for splitting.
-    """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), lambda s: F.length(s))
-    lengths = F.transform(found, lambda s: F.length(s))
-    # Match i starts after gaps 0..i and matches 0..i-1.
-    begins = F.transform(F.arrays_zip(F.slice(gaps, 1, F.size(lengths)).alias("g"), lengths.alias("n")), lambda z: z["g"] + z["n"])
-    ends = F.slice(_ends(begins), 2, F.size(lengths))
-    spans = F.zip_with(ends, lengths, lambda e, n: F.struct((e - n).alias("start"), e.alias("end")))
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    return F.when(text.rlike(pattern), spans).otherwise(none)
+    return df.withColumns({k: spans(k) for k in patterns}).drop(*sizes, *gaps, *(f"_{k}" for k in patterns))
 
 
 def _phi(z: Column) -> Column:
@@ -128,12 +129,16 @@ def battery(s: Column) -> Column:
     return F.struct(encoding.alias("encoding"), F.when(encoding.isNotNull(), p).alias("p"))
 
 
-def candidates(text: Column) -> Column:
-    """Array of (start, end, encoding, p) of the candidates of a text."""
-    spans = F.filter(find_spans(text, CANDIDATE), lambda s: (F.substr(text, s["start"] + 1, s["end"] - s["start"])).rlike("[0-9]"))
-    windows = F.flatten(F.transform(spans, lambda s: F.transform(F.sequence(s["start"], s["end"] - 1, F.lit(WINDOW_CHARS)), lambda at: F.struct(at.alias("start"), F.least(at + WINDOW_CHARS, s["end"]).alias("end")))))
-    tested = F.transform(windows, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), battery(F.substr(text, s["start"] + 1, s["end"] - s["start"])).alias("t")))
-    return F.transform(F.filter(tested, lambda s: s["t"]["p"].isNotNull()), lambda s: F.struct(s["start"], s["end"], s["t"]["encoding"].alias("encoding"), s["t"]["p"].alias("p")))
+def _with_tested(df: DataFrame, text: str, spans: str) -> DataFrame:
+    """``df`` with ``tested``: (start, end, encoding, p) of the candidates that have a digit, long ones by windows."""
+    piece = lambda s: F.substr(F.col(text), s["start"] + 1, s["end"] - s["start"])
+    digits = F.filter(spans, lambda s: piece(s).rlike("[0-9]"))
+    windows = F.flatten(F.transform(digits, lambda s: F.transform(F.sequence(s["start"], s["end"] - 1, F.lit(WINDOW_CHARS)), lambda at: F.struct(at.alias("start"), F.least(at + WINDOW_CHARS, s["end"]).alias("end")))))
+    df = df.withColumn("_windows", F.transform(windows, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), piece(s).alias("s"))))
+    tested = F.transform("_windows", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), battery(s["s"]).alias("t")))
+    df = df.withColumn("_tested", tested)
+    kept = F.filter("_tested", lambda s: s["t"]["p"].isNotNull())
+    return df.withColumn("tested", F.transform(kept, lambda s: F.struct(s["start"], s["end"], s["t"]["encoding"].alias("encoding"), s["t"]["p"].alias("p")))).drop("_windows", "_tested")
 
 
 def _bin(p: Column, length: Column, mean_length: Column) -> Column:
@@ -154,9 +159,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: f
 
 def _scan(rows: DataFrame, keep: list[str], fdr: float) -> DataFrame:
     """``keep`` columns and the four arrays; what is kept is written to the checkpoint folder once."""
-    text = F.coalesce("text", F.lit(""))
-    assign = F.filter(find_spans(text, ASSIGN), lambda s: F.length(F.regexp_extract(F.substr(text, s["start"] + 1, s["end"] - s["start"]), ASSIGN, 2)) >= ASSIGN_CHARS)
-    found = rows.select(*keep, assign.alias("assign"), find_spans(text, ACCESS).alias("access"), find_spans(text, HEX).alias("hex"), candidates(text).alias("tested"))
+    rows = rows.select(*keep, F.coalesce("text", F.lit("")).alias("_scanned"))
+    found = _with_spans(rows, "_scanned", {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "_candidates": CANDIDATE})
+    value = lambda s: F.regexp_extract(F.substr(F.col("_scanned"), s["start"] + 1, s["end"] - s["start"]), ASSIGN, 2)
+    found = found.withColumn("assign", F.filter("assign", lambda s: F.length(value(s)) >= ASSIGN_CHARS))
+    found = _with_tested(found, "_scanned", "_candidates").select(*keep, "assign", "access", "hex", "tested")
     found = materialize(found)  # the corpus is scanned once
     each = found.select(F.explode("tested").alias("t")).select("t.p", (F.col("t.end") - F.col("t.start")).alias("length"))
     mean = each.agg(F.coalesce(F.avg("length"), F.lit(1.0)).alias("mean"))
