@@ -41,7 +41,8 @@ SPARSITY = 0.01
 SCALE = 50.0
 #: Words with a zero vector that every average takes in, so that no single word decides over a short text.
 EMPTY_WORDS = 20
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
+CACHE_GRAMS = 400_000
 
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 
@@ -50,12 +51,20 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
+def grams(word: str) -> list[str]:
+    """The whole word and its 3- to 5-grams with boundary marks, with repeats (of a word over 40 characters, of both ends)."""
+    marked = f"<{word}>" if len(word) <= 40 else f"<{word[:20]}{word[-20:]}>"
+    n = len(marked)
+    return [f"={word}", *[marked[i : i + 3] for i in range(n - 2)], *[marked[i : i + 4] for i in range(n - 3)], *[marked[i : i + 5] for i in range(n - 4)]]
+
+
+def bucket(gram: str) -> int:
+    return zlib.crc32(gram.encode("utf-8", "replace")) % BUCKETS
+
+
 def features(word: str) -> list[int]:
-    """Hashed features: the whole word and its 3- to 5-grams (of at most 40 characters of a longer word)."""
-    marked = f"<{word[:20]}{word[-20:] if len(word) > 40 else word[20:]}>"
-    grams = {marked[i : i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1)}
-    grams.add(f"={word}")
-    return sorted({zlib.crc32(g.encode("utf-8", "replace")) % BUCKETS for g in grams})
+    """Hashed features of a word."""
+    return [bucket(g) for g in grams(word)]
 
 
 @dataclass
@@ -204,13 +213,32 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return map_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), factory, f"`{id_col}` {key_type}, score double, predicted int")
 
 
+class _Weights(dict):
+    """Weights of n-grams met so far: far fewer than words, so a new word costs lookups and no hashing."""
+
+    def __init__(self, model: Model) -> None:
+        super().__init__()
+        self.weight = model.weight
+
+    def __missing__(self, gram: str) -> float:
+        value = float(self.weight[bucket(gram)])
+        if len(self) >= CACHE_GRAMS:
+            self.clear()
+        if gram[0] != "=":  # whole words are remembered as words
+            self[gram] = value
+        return value
+
+
 class _Shares(dict):
+    """Shares of words met so far."""
+
     def __init__(self, model: Model) -> None:
         super().__init__()
-        self.model = model
+        self.weights = _Weights(model)
 
     def __missing__(self, word: str) -> float:
-        value = self.model.word(word)
+        found = grams(word)
+        value = sum(map(self.weights.__getitem__, found)) / len(found)
         if len(self) >= CACHE_WORDS:
             self.clear()
         if len(word) <= 40:
