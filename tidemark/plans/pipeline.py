@@ -6,6 +6,7 @@ import argparse
 import json
 import sys
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -160,7 +161,7 @@ def run_report(spark: SparkSession, config: Config) -> str:
     moods = [{"label": f["label"], "value": f["estimate"], "error": (f["ci_high"] - f["ci_low"]) / 2} for f in payload["findings"] if f["kind"] == "sentiment"]
     ranked = [{"label": f["feature"], "value": f["importance"]} for f in (metrics or {}).get("importance", [])[:12]]
     folder = config.paths.reports_dir
-    sinks.write_text(f"{folder}/.charts", "")
+    Path(folder).mkdir(parents=True, exist_ok=True)
     charts = {"prevalence": report.draw(f"{folder}/prevalence.png", "prevalence", [r.asDict() for r in band.collect()]), "sentiment": report.draw(f"{folder}/sentiment.png", "bars", moods), "importance": report.draw(f"{folder}/importance.png", "bars", ranked)}
     text = report.insight_report(payload, metrics, charts)
     sinks.write_text(config.report.output_md, text)
