@@ -105,6 +105,14 @@ def test_simhash_nulls_repeats_and_keep_one(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_keep_one_goes_by_row_not_by_id(spark):
+    texts = ["alpha beta gamma delta", "one two three four", "stones lie in the river", "alpha beta gamma delta", "rain falls on hills", "wind moves old trees", "rain falls on hills", None]
+    kept = simhash.keep_one(docs(spark, texts, [None, None, None, 1, 9, 9, 9, None])).collect()
+    want = [(1, texts[0]), (9, texts[4]), (9, texts[5]), (None, texts[1]), (None, texts[2]), (None, None)]
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in kept))) == sorted(map(str, want))
+    assert simhash.keep_one(docs(spark, [])).count() == 0
+
+
 def test_connected_components(spark):
     edges = [(i, i + 1) for i in range(0, 30)] + [(100, i) for i in range(101, 140)] + [(5, 5)]
     got = dict(common.connected_components(spark.createDataFrame(edges, "src long, dst long")).collect())

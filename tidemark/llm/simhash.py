@@ -22,10 +22,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import connected_components, forest, map_rows, materialize
+from tidemark.llm.common import connected_components, forest, fresh, map_rows, materialize
 
 RADIUS = 2
 SHINGLE_WORDS = 3
@@ -242,12 +242,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, of which one of each near-duplicate group stays: that whose id
-    is the component's. Of rows that repeat one id, one stays."""
-    keep = near_duplicates(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_keep_id")).distinct()
-    kept = docs.join(keep, docs[id_col].eqNullSafe(F.col("_keep_id")), "left_semi")
-    ids = kept.groupBy(id_col).count().where("count > 1").limit(1)
-    if ids.isEmpty():
-        return kept
-    order = Window.partitionBy(id_col).orderBy(F.xxhash64(*[c for c, t in kept.dtypes if not t.startswith("map")]))
-    return kept.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
+    """The rows of ``docs``, all columns, of which one row of each near-duplicate group stays.
+
+    It is the row with the smallest id, nulls last, then with the smallest row hash. Groups are those of
+    the texts: rows that share an id, or have none, but not a text all stay. A row is known by two hashes
+    of its columns, so copies of one text are dealt by row and no id or text is a hot key; rows equal in
+    all columns are collapsed before they are shuffled.
+    """
+    plain = [F.col(c) for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
+    nulls = [F.col(c).isNull() for c in (id_col, text_col)]
+    one, two = fresh("hash"), fresh("hash")
+    keyed = docs.withColumns({one: F.xxhash64(*plain, *nulls), two: F.xxhash64(F.lit(1), *plain, *nulls)})
+    keys = keyed.select(F.col(id_col).alias("id"), F.col(one).alias("h1"), F.col(two).alias("h2"), F.col(text_col).alias("text"))
+    rows = fingerprints(keys, "text", ("id", "h1", "h2"))
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "h1", "h2")).alias("first")
+    distinct = materialize(rows.groupBy("fp").agg(first))
+    roots = connected_components(links(distinct.select("fp")))
+    labelled = distinct.join(roots, distinct.fp == roots.node, "left").select("first", F.coalesce("root", "fp").alias("root"))
+    keep = labelled.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.h1").alias(one), F.col("first.h2").alias(two))
+    whole = keyed.groupBy(one, two).agg(F.first(F.struct(*docs.columns)).alias("row"))
+    return whole.join(keep, [one, two], "left_semi").select("row.*")
