@@ -240,6 +240,20 @@ def test_battery_finds_random_strings_and_leaves_text(spark):
     assert all("random" not in got[i]["spans"] for i in range(1, 21))
 
 
+BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+
+
+def test_battery_takes_long_keys_whole(spark):
+    rng = random.Random(11)
+    sizes = [511, 512, 513, 600, 767, 768, 769, 1024, 1025, 1300]
+    keys = ["".join(rng.choice(BASE64) for _ in range(n)) for n in sizes]
+    got = scanned(spark, [f"see {key} there" for key in keys])
+    assert [got[i]["spans"] for i in range(len(keys))] == [f"random:4:{4 + n}" for n in sizes]
+    short = spark.createDataFrame([("7",), ("a",)], "s string").select(secrets.battery(F.col("s")).alias("t"))
+    assert all(0 <= r["t"]["p"] <= 1 for r in short.collect())
+    assert by_id(secrets.redact(docs(spark, [f"see {key} there" for key in keys])))[2]["text"] == "see [SECRET] there"
+
+
 def test_redact(spark):
     df = docs(spark, [*SECRET_TEXTS[:3], None, "plain"])
     out = secrets.redact(df)

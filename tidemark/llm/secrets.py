@@ -50,7 +50,7 @@ LEAST_EXCESS = 0.7
 TEXT_CHANGES = 0.15
 #: Size of the serial correlation that stands for structure.
 TEXT_CORRELATION = 0.45
-#: Candidates longer than this are cut into windows of this length, each tested by itself.
+#: Candidates longer than this are cut into windows of this length, each tested by itself; finds that meet become one.
 WINDOW_CHARS = 512
 FDR = 0.01
 #: A test whose p-value is over this sides with text; then the others can't outvote it.
@@ -107,6 +107,7 @@ def battery(s: Column) -> Column:
         fits = s.rlike(pattern)
         encoding, size = F.when(fits, F.lit(name)).otherwise(encoding), F.when(fits, F.lit(float(k))).otherwise(size)
     n = F.length(s).cast("double")
+    pairs = F.greatest(n - 1, F.lit(1.0))
     # An encoding of random bytes has few hyphens and underscores; a string with more is words and separators.
     separators = F.length(F.regexp_replace(s, "[^_-]", "")).cast("double")
     encoding = F.when(separators <= n / 32 + 3 * F.sqrt(n / 32), encoding)
@@ -117,10 +118,10 @@ def battery(s: Column) -> Column:
     excess = F.greatest(size * F.lit(TEXT_COINCIDENCE) - 1, F.lit(LEAST_EXCESS)) * n
     p_chi = _p_value(((size - 1) + excess - chi) / F.sqrt(2 * (size - 1) + 4 * excess))
     changes = (_classes(s) - 1).cast("double")
-    p_runs = _p_value((changes - (n - 1) * TEXT_CHANGES - 0.5) / F.sqrt((n - 1) * (TEXT_CHANGES * (1 - TEXT_CHANGES))))
+    p_runs = _p_value((changes - pairs * TEXT_CHANGES - 0.5) / F.sqrt(pairs * (TEXT_CHANGES * (1 - TEXT_CHANGES))))
     mean = F.aggregate(codes, F.lit(0.0), lambda acc, x: acc + x) / n
     spread = F.aggregate(codes, F.lit(0.0), lambda acc, x: acc + x * x) / n - mean * mean
-    lagged = F.aggregate(F.zip_with(F.slice(codes, 1, F.length(s) - 1), F.slice(codes, 2, F.length(s) - 1), lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x) / (n - 1) - mean * mean
+    lagged = F.aggregate(F.zip_with(F.slice(codes, 1, F.greatest(F.length(s) - 1, F.lit(0))), F.slice(codes, 2, F.greatest(F.length(s) - 1, F.lit(0))), lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x) / pairs - mean * mean
     correlation = F.when(spread > 0, F.abs(lagged / spread)).otherwise(F.lit(1.0))
     p_serial = _p_value((F.lit(TEXT_CORRELATION) - correlation) * F.sqrt(n))
     x = -(F.log(p_chi) + F.log(p_runs) + F.log(p_serial))  # half of Fisher's statistic; survival of chi-squared with 6 degrees
@@ -130,10 +131,19 @@ def battery(s: Column) -> Column:
 
 
 def _with_tested(df: DataFrame, text: str, spans: str) -> DataFrame:
-    """``df`` with ``tested``: (start, end, encoding, p) of the candidates that have a digit, long ones by windows."""
+    """``df`` with ``tested``: (start, end, encoding, p) of the candidates that have a digit, long ones by windows.
+
+    Windows lie half over each other, and the last one takes the rest of the run, so none is short.
+    """
     piece = lambda s: F.substr(F.col(text), s["start"] + 1, s["end"] - s["start"])
     digits = F.filter(spans, lambda s: piece(s).rlike("[0-9]"))
-    windows = F.flatten(F.transform(digits, lambda s: F.transform(F.sequence(s["start"], s["end"] - 1, F.lit(WINDOW_CHARS)), lambda at: F.struct(at.alias("start"), F.least(at + WINDOW_CHARS, s["end"]).alias("end")))))
+
+    def cut(s: Column) -> Column:
+        step = WINDOW_CHARS // 2
+        last = F.greatest(F.floor((s["end"] - s["start"] - WINDOW_CHARS) / step), F.lit(0)).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.struct((s["start"] + i * step).alias("start"), F.when(i == last, s["end"]).otherwise(s["start"] + i * step + WINDOW_CHARS).alias("end")))
+
+    windows = F.flatten(F.transform(digits, cut))
     df = df.withColumn("_windows", F.transform(windows, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), piece(s).alias("s"))))
     tested = F.transform("_windows", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), battery(s["s"]).alias("t")))
     df = df.withColumn("_tested", tested)
@@ -141,6 +151,14 @@ def _with_tested(df: DataFrame, text: str, spans: str) -> DataFrame:
     return df.withColumn("tested", F.transform(kept, lambda s: F.struct(s["start"], s["end"], s["t"]["encoding"].alias("encoding"), s["t"]["p"].alias("p")))).drop("_windows", "_tested")
 
 
+def _merged(spans: Column) -> Column:
+    """Spans sorted, those that overlap made one."""
+    return F.aggregate(
+        F.array_sort(spans), F.array().cast("array<struct<start:int,end:int>>"),
+        lambda acc, s: F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["end"] > s["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.get(acc, F.size(acc) - 1)["start"].alias("start"), F.greatest(F.get(acc, F.size(acc) - 1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(s))),
+    )
+
+
 def _bin(p: Column, length: Column, mean_length: Column) -> Column:
     """The bin of the weighted p-value, rounded towards the larger p-value: the rule stays on the safe side."""
     weighted = p * mean_length / F.greatest(length.cast("double"), F.lit(1.0))
@@ -176,7 +194,7 @@ def _scan(rows: DataFrame, keep: list[str], fdr: float) -> DataFrame:
     base = F.concat("assign", "access", "hex")
     significant = F.filter("tested", lambda t: (_bin(t["p"], t["end"] - t["start"], F.col("mean")) >= F.col("limit")) & ~t["encoding"].isin(*SILENT))
     clear = F.filter(significant, lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    return judged.select(*keep, "assign", "access", "hex", F.transform(clear, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"))).alias("random"))
+    return judged.select(*keep, "assign", "access", "hex", _merged(F.transform(clear, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end")))).alias("random"))
 
 
 def joined(*kinds: tuple[str, Column]) -> Column:
@@ -197,11 +215,8 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", text_col: str = "text", fdr:
     found = _scan(docs.withColumnRenamed(text_col, "text"), docs.withColumnRenamed(text_col, "text").columns, fdr)
     text = F.col("text")
     value = F.transform("assign", lambda s: F.struct((s["start"] + F.length(F.regexp_extract(F.substr(text, s["start"] + 1, s["end"] - s["start"]), ASSIGN, 1))).alias("start"), s["end"].alias("end")))
-    spans = F.array_sort(F.concat(value, "access", "hex", "random"))
-    merged = F.aggregate(
-        spans, F.array().cast("array<struct<start:int,end:int>>"),
-        lambda acc, s: F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["end"] > s["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.get(acc, F.size(acc) - 1)["start"].alias("start"), F.greatest(F.get(acc, F.size(acc) - 1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(s))),
-    )
+    spans = F.concat(value, "access", "hex", "random")
+    merged = _merged(spans)
     begins = F.concat(F.array(F.lit(0)), F.transform("_spans", lambda s: s["end"]))
     ends = F.concat(F.transform("_spans", lambda s: s["start"]), F.array(F.length(text)))
     pieces = F.zip_with(begins, ends, lambda a, b: F.substr(text, a + 1, b - a))
