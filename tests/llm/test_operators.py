@@ -254,6 +254,25 @@ def test_battery_takes_long_keys_whole(spark):
     assert by_id(secrets.redact(docs(spark, [f"see {key} there" for key in keys])))[2]["text"] == "see [SECRET] there"
 
 
+def test_battery_finds_values_and_keys_after_paths(spark):
+    rng = random.Random(12)
+    draw = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    plain, url = BASE64[:-2], BASE64[:-2] + "_-"
+    made = [
+        ("AWS_SECRET_ACCESS_KEY=", draw(BASE64, 40), ""), ("export SIGNING_KEY=", draw(plain, 40), "\nNEXT=1"), ("https://a.example/b?key=", draw(plain, 40), "&x=1"), ("/v1/user_x/", draw(plain, 40), ""),
+        ("/v1/user_accounts/of_the_customer/", draw(url, 60), ""), ("MY_SETTING_NAME=", draw(BASE64, 58) + "==", " end"), ("sk_live_", draw(plain, 40), ""),
+    ]
+    texts = [a + key + b for a, key, b in made]
+    words = [f"path/to/some_long_file-name_{i}/another_directory=value_of_{i}/internationalisation{i}" for i in range(20)]
+    got = scanned(spark, texts + words)
+    for i, (a, key, _) in enumerate(made):
+        found = [tuple(map(int, s.split(":")[1:])) for s in got[i]["spans"].split(",") if s.startswith("random")]
+        assert any(start <= len(a) and end == len(a) + len(key) for start, end in found), (texts[i], got[i]["spans"])
+    assert all(got[len(made) + i]["spans"] == "" for i in range(len(words)))
+    clean = by_id(secrets.redact(docs(spark, texts)))
+    assert all(made[i][1][:8] not in clean[i]["text"] for i in range(len(made))) and clean[0]["text"] == "AWS_SECRET_ACCESS_KEY=[SECRET]"
+
+
 def test_redact(spark):
     df = docs(spark, [*SECRET_TEXTS[:3], None, "plain"])
     out = secrets.redact(df)

@@ -3,8 +3,8 @@
 Base kinds are found by regular expressions, leftmost and non-overlapping: the pieces between a
 pattern's matches (split) and the matches (regexp_extract_all) add up to the matches' offsets.
 
-The battery takes every maximal run of key characters (``CANDIDATE``) as a candidate, infers its
-encoding (the smallest alphabet among ENCODINGS that holds all its characters) and asks how
+The battery takes every maximal run of key characters (``CANDIDATE``) and the pieces between its
+separators as candidates, infers each one's encoding (the smallest alphabet among ENCODINGS that holds all its characters) and asks how
 likely ordinary text, written in that alphabet, would look as random as it does:
 
 * chi-squared: the characters' frequencies against uniformity over the alphabet. Text repeats its
@@ -19,7 +19,9 @@ method combines the three, unless one of them sides with text outright: a counte
 classes, yet no secret. The false discovery rate over all candidates of the corpus is held at
 ``FDR`` by the Benjamini-Hochberg rule with weights that grow with length (longer strings carry more
 evidence; weights average one). The rule needs only counts by p-value bin: a table of at most
-``BINS`` rows, whatever the corpus, and never a ranking of all candidates in one task.
+``BINS`` rows, whatever the corpus, and never a ranking of all candidates in one task. A run and its
+pieces share characters, so their p-values go together, which the rule allows. What is reported is the
+union of a run's significant spans: a path is reported along with its key if both together are significant.
 """
 
 from __future__ import annotations
@@ -35,8 +37,12 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 
 ASSIGN_CHARS = 6
-#: Candidates of the battery: maximal runs of key characters with a digit, of this many characters or more.
-CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
+#: Candidates of the battery: maximal runs of key characters with a digit, of this many characters or more. '=' is
+#: in a run only as padding at its end; else it parts a name from its value.
+CANDIDATE_CHARS = 16
+CANDIDATE = r"[A-Za-z0-9+/_-]{16,}(?:={1,6}(?![A-Za-z0-9+/_=-]))?"
+#: A run is tested whole and by the pieces between the separators of each set: a path or a prefix may stand before a key.
+SEPARATORS = ("[/]", "[_-]", "[/_-]")
 #: The whole string must look like an encoding of random bytes: pattern, alphabet size, in this order.
 ENCODINGS = [
     ("decimal", "^[0-9]+$", 10), ("hex", "^(?:[0-9a-f]+|[0-9A-F]+)$", 16), ("base32", "^[A-Z2-7]+=*$", 32),
@@ -136,7 +142,18 @@ def _with_tested(df: DataFrame, text: str, spans: str) -> DataFrame:
     Windows lie half over each other, and the last one takes the rest of the run, so none is short.
     """
     piece = lambda s: F.substr(F.col(text), s["start"] + 1, s["end"] - s["start"])
-    digits = F.filter(spans, lambda s: piece(s).rlike("[0-9]"))
+
+
+    def parts(s: Column, separators: str) -> Column:
+        # One step a piece: its start is the end before it plus the separator.
+        sizes = F.transform(F.split(piece(s), separators, -1), lambda x: F.length(x))
+        start = F.struct(s["start"].alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+        long = lambda acc, n: F.when(n >= CANDIDATE_CHARS, F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), (acc["at"] + n).alias("end"))))).otherwise(acc["out"])
+        return F.aggregate(sizes, start, lambda acc, n: F.struct((acc["at"] + n + 1).alias("at"), long(acc, n).alias("out")), lambda acc: acc["out"])
+
+    runs = F.filter(spans, lambda s: piece(s).rlike("[0-9]"))
+    df = df.withColumn("_runs", F.array_distinct(F.flatten(F.transform(runs, lambda s: F.concat(F.array(s), *[parts(s, x) for x in SEPARATORS])))))
+    digits = F.filter("_runs", lambda s: piece(s).rlike("[0-9]"))
 
     def cut(s: Column) -> Column:
         step = WINDOW_CHARS // 2
@@ -148,7 +165,7 @@ def _with_tested(df: DataFrame, text: str, spans: str) -> DataFrame:
     tested = F.transform("_windows", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), battery(s["s"]).alias("t")))
     df = df.withColumn("_tested", tested)
     kept = F.filter("_tested", lambda s: s["t"]["p"].isNotNull())
-    return df.withColumn("tested", F.transform(kept, lambda s: F.struct(s["start"], s["end"], s["t"]["encoding"].alias("encoding"), s["t"]["p"].alias("p")))).drop("_windows", "_tested")
+    return df.withColumn("tested", F.transform(kept, lambda s: F.struct(s["start"], s["end"], s["t"]["encoding"].alias("encoding"), s["t"]["p"].alias("p")))).drop("_runs", "_windows", "_tested")
 
 
 def _merged(spans: Column) -> Column:
