@@ -230,3 +230,16 @@ def test_config_and_dotenv(tmp_path, monkeypatch):
     monkeypatch.delenv("TIDE_A", raising=False)
     assert C.load_dotenv(env) == {"TIDE_A": "x y"}
     monkeypatch.delenv("TIDE_A")
+
+
+def test_nearest_many_in_blocks(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 6))
+    index = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>").repartition(3)
+    asked = index.where("id % 2 = 0").withColumnRenamed("id", "query_id")
+    rows = lambda n: sorted(map(tuple, embed.nearest_many(index, asked, 3, "id", query_rows=n).collect()))
+    whole = rows(10_000)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert {(q, i) for q, i, _, _ in whole} == {(q, int(i)) for q in range(0, 60, 2) for i in np.argsort(-(unit[q] @ unit.T))[:3]}
+    assert len(whole) == 90 and rows(7) == whole and rows(30) == whole and rows(29) == whole
+    assert embed.nearest_many(index, asked.where("false"), 3, "id").count() == 0

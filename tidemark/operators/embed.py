@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -117,15 +118,41 @@ def nearest(index: DataFrame, query: list[float] | Column, k: int = 5, id_col: s
 
 
 def nearest_many(index: DataFrame, queries: DataFrame, k: int, id_col: str = "record_id", query_id: str = "query_id", vector_col: str = "embedding", query_rows: int = 10_000) -> DataFrame:
-    """(query_id, id, distance, rank) for a set of queries of checked size, broadcast in blocks to the index's tasks.
+    """(query_id, id, distance, rank) for a set of queries of any size, in blocks of ``query_rows``, each broadcast to the index's tasks.
 
     Each task keeps k rows a query, so the shuffle carries tasks * queries * k rows and never all pairs.
+    The queries stream through the driver; of several blocks each one's result is materialized, and its
+    broadcast freed, before the next. The index is read once a block.
     """
+    from itertools import batched
+
+    blocks = batched(queries.select(query_id, vector_col).toLocalIterator(), query_rows)
+    one, more = next(blocks, ()), next(blocks, ())
+    if not more:
+        return _nearest_block(index, queries, one, k, id_col, query_id, vector_col)[0]
+    sc, found = index.sparkSession.sparkContext, None
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
+    while one:
+        part, shared = _nearest_block(index, queries, one, k, id_col, query_id, vector_col)
+        part = part.checkpoint()
+        shared.destroy()
+        found = part if found is None else found.unionByName(part)
+        one, more = more, next(blocks, ())
+    return _ranked(found.drop("rank"), k, query_id, id_col)
+
+
+def _ranked(found: DataFrame, k: int, query_id: str, id_col: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    rank = F.row_number().over(Window.partitionBy(query_id).orderBy("distance", id_col))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _nearest_block(index: DataFrame, queries: DataFrame, rows, k: int, id_col: str, query_id: str, vector_col: str):
+    """The result of one block of query rows, and the block's broadcast."""
     import numpy as np
 
-    rows = queries.select(query_id, vector_col).limit(query_rows + 1).collect()
-    if len(rows) > query_rows:
-        raise ValueError(f"more than {query_rows} queries; split the set")
     q = np.array([r[vector_col] for r in rows], dtype=np.float64)
     shared = index.sparkSession.sparkContext.broadcast(([r[query_id] for r in rows], q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300) if len(rows) else q))
     types = {**dict(queries.dtypes), **dict(index.dtypes)}
@@ -140,14 +167,12 @@ def nearest_many(index: DataFrame, queries: DataFrame, k: int, id_col: str = "re
             x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
             d = np.hstack([held_d, np.maximum(0.0, np.round(1 - unit @ x.T, 6))])
             names = np.hstack([held_i, np.tile(frame[id_col].to_numpy(dtype=object), (len(ids), 1))])
-            order = np.array([sorted(range(d.shape[1]), key=lambda j, r=r: (d[r, j], names[r, j]))[:k] for r in range(len(ids))])
+            far = np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] > k else d.max(axis=1)
+            order = np.array([sorted(np.flatnonzero(d[r] <= far[r]), key=lambda j, r=r: (d[r, j], names[r, j]))[:k] for r in range(len(ids))])
             held_d, held_i = np.take_along_axis(d, order, 1), np.take_along_axis(names, order, 1)
         for r, query in enumerate(ids):
             if held_d.shape[1]:
                 yield pd.DataFrame({query_id: query, id_col: held_i[r], "distance": held_d[r]})
 
-    from pyspark.sql import Window
-
     found = index.select(id_col, vector_col).mapInPandas(run, f"{query_id} {types[query_id]}, {id_col} {types[id_col]}, distance double")
-    rank = F.row_number().over(Window.partitionBy(query_id).orderBy("distance", id_col))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return _ranked(found, k, query_id, id_col), shared
