@@ -113,6 +113,26 @@ def test_keep_one_goes_by_row_not_by_id(spark):
     assert simhash.keep_one(docs(spark, [])).count() == 0
 
 
+def test_keep_one_by_exact_five_word_similarity(spark):
+    rng = random.Random(21)
+    words, texts = [f"w{i}" for i in range(3000)], []
+    for n in (60, 150, 400):
+        for _ in range(8):
+            base = [rng.choice(words) for _ in range(n)]
+            texts.append(" ".join(base))
+            for edits in (1, 2, 3, n // 40, n // 20):
+                copy = list(base)
+                for at in rng.sample(range(n), edits):
+                    copy[at] = "edited"
+                texts.append(" ".join(copy))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    root = components(len(texts), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    far = [(simhash.fingerprint(texts[a]) ^ simhash.fingerprint(texts[a + 1])).bit_count() for a in range(0, len(texts), 6)]
+    assert max(far) > 2
+    kept = {r["doc_id"] for r in simhash.keep_one(docs(spark, texts)).collect()}
+    assert 24 <= len(set(root)) < len(texts) and kept == set(root)
+
+
 def test_connected_components(spark):
     edges = [(i, i + 1) for i in range(0, 30)] + [(100, i) for i in range(101, 140)] + [(5, 5)]
     got = dict(common.connected_components(spark.createDataFrame(edges, "src long, dst long")).collect())

@@ -241,11 +241,62 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(classes, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_copies")
 
 
+#: The rule of keep_one: texts are near copies whose sets of five-word shingles have at least this Jaccard similarity.
+KEEP_WORDS = 5
+SIMILARITY = 0.8
+#: MinHash bands: a pair at SIMILARITY agrees on no band with probability (1 - 0.8^4)^16 = 0.0002.
+BANDS, BAND_ROWS = 16, 4
+#: A member of a bucket is compared with so many before it, by the next band's key.
+WINDOW = 8
+_MIX = np.random.default_rng(1).integers(0, 1 << 63, (2, BANDS * BAND_ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingles(text: str | None, shingle_words: int = KEEP_WORDS) -> np.ndarray:
+    """Sorted distinct XXH64 hashes of the text's shingles, lower-cased; none for a wordless text."""
+    import xxhash
+
+    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    n = max(1, len(words) - shingle_words + 1) if words else 0
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle_words]), 42) for i in range(n)), dtype=np.uint64, count=n))
+
+
+def sketch(values: np.ndarray) -> tuple[int, list[int]]:
+    """(hash of the set, a hash for each band), signed. A wordless text has no bands."""
+    import xxhash
+
+    if not len(values):
+        return 0, []
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(values), 1 << 12):
+        least = np.minimum(least, (values[at : at + (1 << 12), None] * _MIX[0] + _MIX[1]).min(axis=0))
+    return _signed(xxhash.xxh64_intdigest(values.tobytes())), [_signed(xxhash.xxh64_intdigest(b.tobytes())) for b in least.reshape(BANDS, BAND_ROWS)]
+
+
+def _candidates(distinct: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets that meet in a bucket and whose sizes allow SIMILARITY; linear in the sets, whatever the buckets."""
+    bands = F.transform("bands", lambda key, i: F.struct(i.alias("band"), key.alias("key"), F.get("bands", (i + 1) % BANDS).alias("next")))
+    dealt = distinct.select("fp", "n", F.explode(bands).alias("o")).select("o.band", "o.key", "o.next", "fp", "n")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, before = None, []
+        for batch in batches:
+            found = []
+            for band, key, _, fp, n in zip(*(c.to_pylist() for c in batch.columns)):
+                if (band, key) != current:
+                    current, before = (band, key), []
+                found += ((min(fp, x), max(fp, x)) for x, m in before if min(n, m) >= SIMILARITY * max(n, m))
+                before = [*before[1 - WINDOW :], (fp, n)] if WINDOW > 1 else [(fp, n)]
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], type=pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return dealt.repartition("band", "key").sortWithinPartitions("band", "key", "next", "fp").mapInArrow(run, "a long, b long").distinct()
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, of which one row of each near-duplicate group stays.
 
-    It is the row with the smallest id, nulls last, then with the smallest row hash. Groups are those of
-    the texts: rows that share an id, or have none, but not a text all stay. A row is known by two hashes
+    A group is a component of texts linked by SIMILARITY of their five-word shingles: MinHash bands give
+    the candidates, the whole sets decide. The row kept has the smallest id, nulls last, then the smallest
+    row hash. Rows that share an id, or have none, but not a text all stay. A row is known by two hashes
     of its columns, so copies of one text are dealt by row and no id or text is a hot key; rows equal in
     all columns are collapsed before they are shuffled.
     """
@@ -253,11 +304,34 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     nulls = [F.col(c).isNull() for c in (id_col, text_col)]
     one, two = fresh("hash"), fresh("hash")
     keyed = docs.withColumns({one: F.xxhash64(*plain, *nulls), two: F.xxhash64(F.lit(1), *plain, *nulls)})
-    keys = keyed.select(F.col(id_col).alias("id"), F.col(one).alias("h1"), F.col(two).alias("h2"), F.col(text_col).alias("text"))
-    rows = fingerprints(keys, "text", ("id", "h1", "h2"))
-    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "h1", "h2")).alias("first")
-    distinct = materialize(rows.groupBy("fp").agg(first))
-    roots = connected_components(links(distinct.select("fp")))
+    keys = keyed.select(F.col(id_col).alias("id"), F.col(one).alias("h1"), F.col(two).alias("h2"), F.col(text_col).cast("string").alias("text"))
+
+    def sketched():
+        def run(no_id, id_, h1, h2, text):
+            values = shingles(text)
+            fp, bands = sketch(values)
+            return no_id, id_, h1, h2, fp, len(values), bands
+
+        return run
+
+    kind = dict(keys.dtypes)["id"]
+    rows = map_rows(keys.select(F.col("id").isNull().alias("no_id"), "id", "h1", "h2", "text"), sketched, f"no_id boolean, id {kind}, h1 long, h2 long, fp long, n int, bands array<long>")
+    distinct = materialize(rows.groupBy("fp").agg(F.min(F.struct("no_id", "id", "h1", "h2")).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    pairs = materialize(_candidates(distinct))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(distinct, "fp").select("first.h1", "first.h2")
+    texts = keys.join(wanted, ["h1", "h2"], "left_semi").select("text")
+
+    def whole_set():
+        def run(text):
+            values = shingles(text)
+            return sketch(values)[0], values.view(np.int64).tolist()
+
+        return run
+
+    sets = materialize(map_rows(texts, whole_set, "fp long, v array<long>").groupBy("fp").agg(F.first("v").alias("v")))
+    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("v").alias("va")), "a").join(sets.select(F.col("fp").alias("b"), F.col("v").alias("vb")), "b")
+    shared = both.select("a", "b", F.size(F.array_intersect("va", "vb")).alias("i"), (F.size("va") + F.size("vb")).alias("n"))
+    roots = connected_components(shared.where(F.col("i") >= SIMILARITY * (F.col("n") - F.col("i"))).select(F.col("a").alias("src"), F.col("b").alias("dst")))
     labelled = distinct.join(roots, distinct.fp == roots.node, "left").select("first", F.coalesce("root", "fp").alias("root"))
     keep = labelled.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.h1").alias(one), F.col("first.h2").alias(two))
     whole = keyed.groupBy(one, two).agg(F.first(F.struct(*docs.columns)).alias("row"))
