@@ -23,16 +23,18 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_rows
+from tidemark.llm.common import Memory, map_rows
 
 #: Bytes up to which a half is merged directly; short enough that most leaves are remembered.
 LEAF_BYTES = 8
 #: Bytes up to which the plain merge is used for a window; a heap takes longer ones.
 PLAIN_BYTES = 64
-#: Distinct pieces whose tokens a worker remembers; the memory is emptied when it is full.
-CACHE_PIECES = 500_000
-#: Pieces over this length are not remembered.
+#: Pieces, leaves and pairs of tokens that each generation of a task's memory holds; there are two generations of each.
+CACHE_PIECES = 150_000
+#: Pieces over this length are not remembered, so what a task remembers has a bound in bytes (about 80 MB).
 CACHE_BYTES = 64
+#: Ids whose bytes make one leaf of the tree that decodes.
+LEAF_IDS = 1 << 12
 
 
 class Encoder:
@@ -44,15 +46,9 @@ class Encoder:
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.findall = regex.compile(pattern).findall
-        self.cache = _Pieces(self.piece)
-        size = max(self.tokens, default=-1) + 1
-        self.known, self.sizes = np.zeros(size, dtype=bool), np.zeros(size, dtype=np.int64)
-        for rank, token in self.tokens.items():
-            self.known[rank], self.sizes[rank] = True, len(token)
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        self.flat = np.frombuffer(b"".join(self.tokens[r] for r in sorted(self.tokens)), dtype=np.uint8)
-        self.parts: dict[bytes, list[int]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.cache = Memory(self.piece, CACHE_PIECES, CACHE_BYTES)
+        self.parts = Memory(self._merged, CACHE_PIECES, CACHE_BYTES)
+        self.pairs = Memory(self._settles, CACHE_PIECES, CACHE_BYTES)
         #: Tokens that the merges do not make from their own bytes.
         self.unreachable = self._find_unreachable()
 
@@ -78,39 +74,33 @@ class Encoder:
                 pairs[i - 1] = get(piece[cuts[i - 1] : cuts[i + 1]], none)
         return [self.ranks[piece[x:y]] for x, y in zip(cuts, cuts[1:])]
 
-    def _settled(self, left: int, right: int) -> bool:
+    def forget(self) -> None:
+        """Give up what was remembered, as at the end of a task; the vocabulary stays."""
+        for memory in (self.cache, self.parts, self.pairs):
+            memory.forget()
+
+    def _settles(self, pair: tuple[int, int]) -> bool:
         """Whether merging the joint bytes of two neighbours gives both back."""
-        known = self.pairs.get((left, right))
-        if known is None:
-            known = left not in self.unreachable and right not in self.unreachable
-            known = known and self._window(self.tokens[left] + self.tokens[right]) == [left, right]
-            if len(self.pairs) >= CACHE_PIECES:
-                self.pairs.clear()
-            self.pairs[left, right] = known
-        return known
-
-    def _window(self, data: bytes) -> list[int]:
-        """The definition applied to a leaf or a window, remembered if short. Callers don't change the list."""
-        known = self.parts.get(data)
-        if known is None:
-            known = self.merge(data) if len(data) <= PLAIN_BYTES else self._heap_merge(data)
-            if len(data) <= CACHE_BYTES:
-                if len(self.parts) >= CACHE_PIECES:
-                    self.parts.clear()
-                self.parts[data] = known
-        return known
+        left, right = pair
+        if left in self.unreachable or right in self.unreachable:
+            return False
+        return self.parts[self.tokens[left] + self.tokens[right]] == [left, right]
+
+    def _merged(self, data: bytes) -> list[int]:
+        """The definition applied to a leaf or a window. Callers don't change the list."""
+        return self.merge(data) if len(data) <= PLAIN_BYTES else self._heap_merge(data)
 
     def join(self, a: list[int], b: list[int]) -> list[int]:
         """The monoid's operation: the encoding of two byte strings' concatenation from their encodings."""
         if not a or not b:
             return a or b
-        if self._settled(a[-1], b[0]):
+        if self.pairs[a[-1], b[0]]:
             return a + b
         i, j = 1, 1
         while True:
-            window = self._window(b"".join(map(self.tokens.__getitem__, a[len(a) - i :] + b[:j])))
-            left = i < len(a) and not self._settled(a[-i - 1], window[0])
-            right = j < len(b) and not self._settled(window[-1], b[j])
+            window = self.parts[b"".join(map(self.tokens.__getitem__, a[len(a) - i :] + b[:j]))]
+            left = i < len(a) and not self.pairs[a[-i - 1], window[0]]
+            right = j < len(b) and not self.pairs[window[-1], b[j]]
             if not left and not right:
                 return a[: len(a) - i] + window + b[j:]
             i, j = min(len(a), i + left * i), min(len(b), j + right * j)
@@ -145,7 +135,7 @@ class Encoder:
     def tree(self, data: bytes) -> list[int]:
         """Encode halves, then join them."""
         if len(data) <= LEAF_BYTES:
-            return self._window(data)
+            return self.parts[data]
         half = len(data) // 2
         return self.join(self.tree(data[:half]), self.tree(data[half:]))
 
@@ -160,35 +150,15 @@ class Encoder:
         return np.frombuffer(b"".join(map(self.cache.__getitem__, self.findall(text))), dtype="<u4")
 
     def decode(self, ids: np.ndarray | list[int]) -> bytes:
-        """The tokens' bytes, concatenated by one gather from the vocabulary's bytes."""
+        """The tokens' bytes, concatenated up a tree: leaves of LEAF_IDS ids, then neighbours in pairs."""
         ids = np.asarray(ids, dtype=np.int64)
-        if not len(ids):
-            return b""
-        if ids.min() < 0 or ids.max() >= len(self.known) or not self.known[ids].all():
-            raise ValueError("an id outside the vocabulary")
-        if len(ids) < 16:
-            return b"".join(map(self.tokens.__getitem__, ids.tolist()))
-        sizes = self.sizes[ids]
-        ends = np.cumsum(sizes)
-        where = np.repeat(self.starts[ids] - (ends - sizes), sizes)
-        where += np.arange(ends[-1])
-        return self.flat[where].tobytes()
-
-
-class _Pieces(dict):
-    """Packed ids by piece, worked out when first asked for; emptied when full."""
-
-    def __init__(self, work) -> None:
-        super().__init__()
-        self.work = work
-
-    def __missing__(self, piece: str) -> bytes:
-        packed = self.work(piece)
-        if len(piece) <= CACHE_BYTES:
-            if len(self) >= CACHE_PIECES:
-                self.clear()
-            self[piece] = packed
-        return packed
+        try:
+            parts = [b"".join(map(self.tokens.__getitem__, ids[at : at + LEAF_IDS].tolist())) for at in range(0, len(ids), LEAF_IDS)]
+        except KeyError as e:
+            raise ValueError("an id outside the vocabulary") from e
+        while len(parts) > 1:
+            parts = [b"".join(parts[i : i + 2]) for i in range(0, len(parts), 2)]
+        return parts[0] if parts else b""
 
 
 @lru_cache(maxsize=2)
@@ -218,6 +188,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             decoded = hashlib.sha256(one_encoder.decode(found)).hexdigest()
             return (key, len(found), digest, decoded) + ((found.tolist(),) if ids else ())
 
+        one.close = one_encoder.forget
         return one
 
     return map_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), factory, schema)

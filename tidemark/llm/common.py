@@ -38,7 +38,8 @@ def map_rows(df: DataFrame, row_fn_factory, schema: str) -> DataFrame:
     """Apply a row function to ``df`` in Arrow batches.
 
     ``row_fn_factory()`` runs once in each task and returns ``f(*values) -> tuple`` over the
-    columns of ``df``, so that models and caches are built once a task, not once a row.
+    columns of ``df``, so that models and caches are built once a task, not once a row. An attribute
+    ``close`` of f is called at the task's end, since the worker lives on.
     """
     bound_batches(df.sparkSession)
     names = [part.strip().split()[0] for part in split_schema(schema)]
@@ -51,11 +52,40 @@ def map_rows(df: DataFrame, row_fn_factory, schema: str) -> DataFrame:
             columns = [c.to_pylist() for c in batch.columns]
             rows = [fn(*values) for values in zip(*columns)]
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), types)], names=names)
+            del columns, rows
+        getattr(fn, "close", lambda: None)()
 
     types = arrow_types(schema)
     return df.mapInArrow(run, schema)
 
 
+class Memory(dict):
+    """Values by key, worked out when first asked for; at most two generations of ``limit`` keys.
+
+    A full generation becomes the old one, of which only what is asked for again stays. Keys longer
+    than ``longest`` are not remembered, so the memory has a bound in bytes.
+    """
+
+    def __init__(self, work, limit: int, longest: int) -> None:
+        super().__init__()
+        self.work, self.limit, self.longest, self.old = work, limit, longest, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.work(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.limit:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
+
 def split_schema(schema: str) -> list[str]:
     """Split a DDL schema at its top-level commas."""
     parts, depth, start = [], 0, 0

@@ -143,7 +143,6 @@ def _with_tested(df: DataFrame, text: str, spans: str) -> DataFrame:
     """
     piece = lambda s: F.substr(F.col(text), s["start"] + 1, s["end"] - s["start"])
 
-
     def parts(s: Column, separators: str) -> Column:
         # One step a piece: its start is the end before it plus the separator.
         sizes = F.transform(F.split(piece(s), separators, -1), lambda x: F.length(x))
@@ -188,30 +187,38 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: f
     A null text is taken as empty. ``random`` holds the battery's finds that touch no base span.
     Repeated rows stay; an empty table gives no rows; other columns aren't read.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return _scan(rows, ["id"], fdr).withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(id_col).alias("row"), F.col(text_col).cast("string").alias("text"))
+    found = materialize(_found(rows).drop("text"))  # spans only; the corpus is scanned once
+    kinds = ("assign", "access", "hex", "random")
+    return _judged(found, _limit(found, fdr)).select(F.col("row").alias(id_col), *kinds)
 
 
-def _scan(rows: DataFrame, keep: list[str], fdr: float) -> DataFrame:
-    """``keep`` columns and the four arrays; what is kept is written to the checkpoint folder once."""
-    rows = rows.select(*keep, F.coalesce("text", F.lit("")).alias("_scanned"))
-    found = _with_spans(rows, "_scanned", {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "_candidates": CANDIDATE})
-    value = lambda s: F.regexp_extract(F.substr(F.col("_scanned"), s["start"] + 1, s["end"] - s["start"]), ASSIGN, 2)
+def _found(rows: DataFrame) -> DataFrame:
+    """``rows`` (row, text) with the spans assign, access, hex and the tested candidates. The caller's columns are inside ``row``."""
+    rows = rows.select("row", F.coalesce("text", F.lit("")).alias("text"))
+    found = _with_spans(rows, "text", {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "candidates": CANDIDATE})
+    value = lambda s: F.regexp_extract(F.substr(F.col("text"), s["start"] + 1, s["end"] - s["start"]), ASSIGN, 2)
     found = found.withColumn("assign", F.filter("assign", lambda s: F.length(value(s)) >= ASSIGN_CHARS))
-    found = _with_tested(found, "_scanned", "_candidates").select(*keep, "assign", "access", "hex", "tested")
-    found = materialize(found)  # the corpus is scanned once
-    each = found.select(F.explode("tested").alias("t")).select("t.p", (F.col("t.end") - F.col("t.start")).alias("length"))
+    return _with_tested(found, "text", "candidates").select("row", "text", "assign", "access", "hex", "tested")
+
+
+def _limit(found: DataFrame, fdr: float) -> DataFrame:
+    """One row: the least bin that the false discovery rule lets pass, and the mean length. Counts by bin, never a ranking."""
+    each = materialize(found.select(F.explode("tested").alias("t")).select("t.p", (F.col("t.end") - F.col("t.start")).alias("length")))
     mean = each.agg(F.coalesce(F.avg("length"), F.lit(1.0)).alias("mean"))
     bins = each.crossJoin(F.broadcast(mean)).groupBy(_bin(F.col("p"), F.col("length"), F.col("mean")).alias("bin")).agg(F.count("*").alias("n"))
     total = Window.partitionBy()
     ranked = bins.withColumn("m", F.sum("n").over(total)).withColumn("r", F.sum("n").over(Window.orderBy(F.desc("bin"))))
     passing = ranked.where(F.pow(F.lit(10.0), -F.col("bin") / STEPS) <= F.col("r") * fdr / F.col("m"))
-    limit = passing.agg(F.coalesce(F.min("bin"), F.lit(BINS + 1)).alias("limit")).crossJoin(mean)
-    judged = found.crossJoin(F.broadcast(limit))
+    return passing.agg(F.coalesce(F.min("bin"), F.lit(BINS + 1)).alias("limit")).crossJoin(mean)
+
+
+def _judged(found: DataFrame, limit: DataFrame) -> DataFrame:
+    """``found`` with ``random``: the significant candidates that touch no base span."""
     base = F.concat("assign", "access", "hex")
     significant = F.filter("tested", lambda t: (_bin(t["p"], t["end"] - t["start"], F.col("mean")) >= F.col("limit")) & ~t["encoding"].isin(*SILENT))
     clear = F.filter(significant, lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    return judged.select(*keep, "assign", "access", "hex", _merged(F.transform(clear, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end")))).alias("random"))
+    return found.crossJoin(F.broadcast(limit)).withColumn("random", _merged(F.transform(clear, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end")))))
 
 
 def joined(*kinds: tuple[str, Column]) -> Column:
@@ -226,16 +233,22 @@ def joined(*kinds: tuple[str, Column]) -> Column:
 def redact(docs: DataFrame, mark: str = "[SECRET]", text_col: str = "text", fdr: float = FDR) -> DataFrame:
     """``docs`` with each secret of ``text_col`` replaced by ``mark``; all columns kept, in order.
 
-    Of an assignment the value is replaced and the name stays. Overlapping spans become one mark. Rows
-    are carried along, not joined, so repeated rows and null ids do no harm. A null text stays null.
+    Two passes over the texts, neither of which writes one: the first yields the p-values that the false
+    discovery rule needs, the second scans again and redacts. Of an assignment the value is replaced and
+    the name stays. Overlapping spans become one mark. Rows are carried along in one struct, not joined,
+    so repeated rows, null ids and columns of any name do no harm. A null text stays null; an empty table
+    stays empty.
     """
-    found = _scan(docs.withColumnRenamed(text_col, "text"), docs.withColumnRenamed(text_col, "text").columns, fdr)
     text = F.col("text")
+    limit = materialize(_limit(_found(docs.select(F.lit(0).alias("row"), F.col(text_col).cast("string").alias("text"))), fdr))
+    rest = [c for c in docs.columns if c != text_col]
+    packed = F.struct(F.col(text_col).isNull().alias("none"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)])
+    found = _judged(_found(docs.select(packed.alias("row"), F.col(text_col).cast("string").alias("text"))), limit)
     value = F.transform("assign", lambda s: F.struct((s["start"] + F.length(F.regexp_extract(F.substr(text, s["start"] + 1, s["end"] - s["start"]), ASSIGN, 1))).alias("start"), s["end"].alias("end")))
-    spans = F.concat(value, "access", "hex", "random")
-    merged = _merged(spans)
-    begins = F.concat(F.array(F.lit(0)), F.transform("_spans", lambda s: s["end"]))
-    ends = F.concat(F.transform("_spans", lambda s: s["start"]), F.array(F.length(text)))
+    marked = found.select("row", "text", _merged(F.concat(value, "access", "hex", "random")).alias("spans"))
+    begins = F.concat(F.array(F.lit(0)), F.transform("spans", lambda s: s["end"]))
+    ends = F.concat(F.transform("spans", lambda s: s["start"]), F.array(F.length(text)))
     pieces = F.zip_with(begins, ends, lambda a, b: F.substr(text, a + 1, b - a))
-    clean = F.when(F.size("_spans") == 0, text).otherwise(F.array_join(pieces, mark))
-    return found.withColumn("_spans", merged).withColumn("text", clean).select(*[F.col("text").alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    clean = F.when(F.size("spans") == 0, text).otherwise(F.array_join(pieces, mark))
+    made = marked.select("row", F.when(~F.col("row.none"), clean).alias("text"))
+    return made.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.c{rest.index(c)}").alias(c) for c in docs.columns])

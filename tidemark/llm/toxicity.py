@@ -21,12 +21,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bound_batches, map_rows
+from tidemark.llm.common import Memory, bound_batches, map_rows, materialize
 
 #: Toxic rows that training reads at most (by hash of the id); of clean rows it reads twice as many.
 SAMPLE_ROWS = 2000
-#: Longest text that the training sample takes; longer labelled texts are left to scoring.
-SAMPLE_CHARS = 20_000
 BUCKETS = 1 << 16
 DIM = 8
 EPOCHS = 60
@@ -43,8 +41,11 @@ TOXIC_WEIGHT = 2.0
 SCALE = 50.0
 #: Words with a zero vector that every average takes in, so that no single word decides over a short text.
 EMPTY_WORDS = 20
-CACHE_WORDS = 400_000
-CACHE_GRAMS = 400_000
+#: Words, and n-grams, that each of two generations of a task's memory holds, and the longest word remembered.
+CACHE_WORDS = 150_000
+CACHE_CHARS = 40
+#: Characters of a word whose n-grams are made at a time, which bounds memory for scripts without spaces.
+GRAM_BLOCK = 1 << 12
 
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 
@@ -53,11 +54,13 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def grams(word: str) -> list[str]:
-    """The whole word and its 3- to 5-grams with boundary marks, with repeats (of a word over 40 characters, of both ends)."""
-    marked = f"<{word}>" if len(word) <= 40 else f"<{word[:20]}{word[-20:]}>"
-    n = len(marked)
-    return [f"={word}", *[marked[i : i + 3] for i in range(n - 2)], *[marked[i : i + 4] for i in range(n - 3)], *[marked[i : i + 5] for i in range(n - 4)]]
+def grams(word: str) -> Iterator[list[str]]:
+    """The whole word and all its 3- to 5-grams with boundary marks, with repeats, in blocks."""
+    yield [f"={word}"]
+    marked = f"<{word}>"
+    for at in range(0, len(marked), GRAM_BLOCK):
+        part = marked[at : at + GRAM_BLOCK + 4]
+        yield [part[i : i + size] for size in (3, 4, 5) for i in range(min(GRAM_BLOCK, len(part) - size + 1))]
 
 
 def bucket(gram: str) -> int:
@@ -66,7 +69,7 @@ def bucket(gram: str) -> int:
 
 def features(word: str) -> list[int]:
     """Hashed features of a word."""
-    return [bucket(g) for g in grams(word)]
+    return [bucket(g) for block in grams(word) for g in block]
 
 
 @dataclass
@@ -76,9 +79,6 @@ class Model:
     weight: np.ndarray
     bias: float
 
-    def word(self, word: str) -> float:
-        return float(self.weight[features(word)].mean())
-
     def score(self, shares: list[float]) -> float:
         z = self.bias + SCALE * sum(shares) / (len(shares) + EMPTY_WORDS)
         return float(1.0 / (1.0 + np.exp(-np.clip(z, -40.0, 40.0))))
@@ -113,20 +113,28 @@ class _Rows:
         return out
 
 
-def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, dim: int = DIM, sparsity: float = SPARSITY, min_texts: int = MIN_TEXTS, seed: int = 7) -> Model:
-    """Fit embeddings and softmax together. One class, or none: every text gets that class's smoothed share."""
+def train(texts: list[str], labels: list[int], min_texts: int = MIN_TEXTS, **settings) -> Model:
+    """Fit to texts in memory: those of ``words`` in ``min_texts`` texts or more count."""
+    counted = [Counter(words(text)) for text in texts]
+    texts_with = Counter(w for c in counted for w in c)
+    vocabulary = sorted(w for w, n in texts_with.items() if n >= min_texts)
+    at = {w: i for i, w in enumerate(vocabulary)}
+    bags = [[at[w] for w in c if w in at] for c in counted]
+    return train_bags(vocabulary, bags, [[n / (c.total() + EMPTY_WORDS) for w, n in c.items() if w in at] for c in counted], labels, **settings)
+
+
+def train_bags(vocabulary: list[str], bags: list[list[int]], shares: list[list[float]], labels: list[int], epochs: int = EPOCHS, dim: int = DIM, sparsity: float = SPARSITY, seed: int = 7) -> Model:
+    """Fit embeddings and softmax together. One class, or none: every text gets that class's smoothed share.
+
+    ``bags``: the places in the vocabulary of each text's words; ``shares``: their shares in the text's average.
+    """
     y = np.array(labels, dtype=np.int64)
     ones = int(y.sum())
     prior = float(np.log((ones + 1) / (len(y) - ones + 1)))
     if not len(y) or ones in (0, len(y)):
         return Model(np.zeros(BUCKETS, dtype=np.float32), prior)
-    counted = [Counter(words(text)) for text in texts]
-    texts_with = Counter(w for c in counted for w in c)
-    vocabulary = {w: i for i, w in enumerate(sorted(w for w, n in texts_with.items() if n >= min_texts))}
-    bags = [[vocabulary[w] for w in c if w in vocabulary] for c in counted]
-    shares = [[n / (c.total() + EMPTY_WORDS) for w, n in c.items() if w in vocabulary] for c in counted]
-    grams = [features(w) for w in vocabulary]
-    by_word = _Rows(grams, [[1.0 / len(g)] * len(g) for g in grams], BUCKETS)
+    found = [features(w) for w in vocabulary]
+    by_word = _Rows(found, [[1.0 / len(g)] * len(g) for g in found], BUCKETS)
     by_text = _Rows(bags, shares, len(vocabulary))
     return Model(*_descend(by_word, by_text, y, prior, dim, epochs, sparsity, DAMPING, seed))
 
@@ -174,19 +182,40 @@ def _descend(by_word: _Rows, by_text: _Rows, y: np.ndarray, prior: float, dim: i
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model:
     """Train on at most ``sample_rows`` toxic and twice as many clean labelled texts, taken in the order of a hash of the id.
 
-    Rows with a null id, text or label, and ids with contradicting labels, teach nothing.
+    Texts of any length are taken, whole: executors count their words, and the driver reads only the counts
+    of words in MIN_TEXTS texts or more. Rows with a null id, text or label, empty texts, and ids with
+    contradicting labels, teach nothing; of rows that share an id one text counts, that of the smallest hash.
     """
     votes = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id"))
     one = votes.agg(F.min(label_col).alias("low"), F.max(label_col).alias("high")).where("low = high").select("id", F.col("low").cast("int").alias("y"))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.length("text").between(1, SAMPLE_CHARS))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.length("text") > 0)
     # The ids are chosen first, by a bounded top-k for each class; only their texts are then read out.
     known = texts.select("id").join(one, "id").select("id", "y", F.xxhash64(F.col("id").cast("string"), F.lit("sample")).alias("h"))
     chosen = None
     for y in (0, 1):
         top = known.where(F.col("y") == y).orderBy("h", "id").limit(sample_rows * (2 - y))
         chosen = top if chosen is None else chosen.unionByName(top)
-    rows = texts.join(F.broadcast(chosen.select("id", "y").distinct()), "id").select("id", "y", "text").orderBy(F.xxhash64("id"), "text").limit(3 * sample_rows).collect()
-    return train([r["text"] for r in rows], [r["y"] for r in rows])
+    chosen = F.broadcast(chosen.select("id", "y").distinct())
+    picked = texts.join(chosen, "id").groupBy("id", "y").agg(F.min(F.xxhash64("text")).alias("t"))
+    sample = texts.withColumn("t", F.xxhash64("text")).join(F.broadcast(picked), ["id", "t"]).select(F.xxhash64("id").alias("h"), "t", "y", "text")
+
+    def factory():
+        def one(h, t, y, text):
+            counted = Counter(words(text))
+            return h, t, y, counted.total(), list(counted), list(counted.values())
+
+        return one
+
+    each = map_rows(sample, factory, "h long, t long, y int, total long, words array<string>, counts array<int>")
+    rows = materialize(each.groupBy("h", "t").agg(*[F.first(c).alias(c) for c in ("y", "total", "words", "counts")]))
+    vocabulary = sorted(r["w"] for r in rows.select(F.explode("words").alias("w")).groupBy("w").count().where(F.col("count") >= MIN_TEXTS).select("w").collect())
+    places = rows.sparkSession.createDataFrame(list(zip(vocabulary, range(len(vocabulary)))), "w string, at int")
+    pairs = rows.select("h", "t", F.explode(F.arrays_zip("words", "counts")).alias("p")).select("h", "t", F.col("p.words").alias("w"), F.col("p.counts").alias("n"))
+    known = pairs.join(F.broadcast(places), "w").groupBy("h", "t").agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("known"))
+    bags = rows.join(known, ["h", "t"], "left").select("h", "t", "y", "total", F.coalesce("known.at", F.array().cast("array<int>")).alias("at"), F.coalesce("known.n", F.array().cast("array<int>")).alias("n")).toArrow()
+    bags = bags.sort_by([("h", "ascending"), ("t", "ascending")]).to_pydict()
+    shares = [[x / (total + EMPTY_WORDS) for x in n] for n, total in zip(bags["n"], bags["total"])]
+    return train_bags(vocabulary, bags["at"], shares, bags["y"])
 
 
 def held_out(id_col: str = "doc_id"):
@@ -205,7 +234,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def factory():
         model = shared.value
-        shares = _Shares(model)
+        shares = _shares(model)
 
         def one(key, text):
             value = model.score(list(map(shares.__getitem__, words(text))))
@@ -216,37 +245,18 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return map_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), factory, f"`{id_col}` {key_type}, score double, predicted int")
 
 
-class _Weights(dict):
-    """Weights of n-grams met so far: far fewer than words, so a new word costs lookups and no hashing."""
-
-    def __init__(self, model: Model) -> None:
-        super().__init__()
-        self.weight = model.weight
-
-    def __missing__(self, gram: str) -> float:
-        value = float(self.weight[bucket(gram)])
-        if len(self) >= CACHE_GRAMS:
-            self.clear()
-        if gram[0] != "=":  # whole words are remembered as words
-            self[gram] = value
-        return value
-
-
-class _Shares(dict):
-    """Shares of words met so far."""
+def _shares(model: Model) -> Memory:
+    """A word's share: the mean weight of its features. N-grams are far fewer than words, so a new word costs lookups and no hashing."""
+    weights = Memory(lambda gram: float(model.weight[bucket(gram)]), CACHE_WORDS, 5)
 
-    def __init__(self, model: Model) -> None:
-        super().__init__()
-        self.weights = _Weights(model)
+    def share(word: str) -> float:
+        total, n = 0.0, 0
+        for block in grams(word):
+            total += sum(map(weights.__getitem__, block))
+            n += len(block)
+        return total / n
 
-    def __missing__(self, word: str) -> float:
-        found = grams(word)
-        value = sum(map(self.weights.__getitem__, found)) / len(found)
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        if len(word) <= 40:
-            self[word] = value
-        return value
+    return Memory(share, CACHE_WORDS, CACHE_CHARS)
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
@@ -257,7 +267,7 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold:
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = shared.value
-        shares = _Shares(model)
+        shares = _shares(model)
         for texts in batches:
             yield pd.Series([model.score(list(map(shares.__getitem__, words(t)))) for t in texts], dtype="float64")
 
