@@ -8,12 +8,14 @@ aggregates over the table:
   becomes a wildcard for that shape;
 * where a node has many children for its size, that is, a share of ``VARIABLE_SHARE`` or more of
   its URLs (and ``VARIABLE_MIN``) have segments of their own, its segments become one wildcard;
-* sibling branches whose labelled purity and share of labelled URLs don't differ significantly
-  (two-proportion tests against the node's own rates) are merged into a wildcard too.
+* sibling branches with labels of their own whose labelled purity and share of labelled URLs don't
+  differ significantly (two-proportion tests against the node's own rates) are merged into a wildcard too.
 
-A template's purity is its share of blocked among its labelled URLs, smoothed towards its
-parent's at each level up to the host, the host's domain and the whole table. A URL is rejected if its
-template's smoothed purity is over ``REJECT``.
+A template's purity is its share of blocked among its labelled URLs, smoothed at each level towards what
+the level above lets expect: that level's purity, as far as its URLs are labelled, and ``NEUTRAL`` for the
+rest, from the host's domain down to the template. So labels on one branch say little about an unlabelled branch
+beside it. A URL is rejected if its template's smoothed purity is over ``REJECT`` and its host has at
+least ``SUPPORT`` labels.
 
 Labels are either a column of the table or what the rules say. Each level is one pre-aggregated
 shuffle on (host, template so far); a hot host only makes a few more counts in each task.
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialize
 
-#: Levels of the tree; what lies deeper is one wildcard.
+#: Levels of the tree; what lies deeper is judged as one segment.
 DEPTH = 6
 VARIABLE_SHARE = 0.5
 VARIABLE_MIN = 8
@@ -35,6 +37,12 @@ APART_Z = 2.576
 #: Weight, in URLs, of the parent's purity in a template's.
 SMOOTHING = 4.0
 REJECT = 0.5
+#: Purity that is expected where nothing is labelled.
+NEUTRAL = 0.2
+#: Labels that a host must have before a template of it rejects.
+SUPPORT = 3
+#: Labels that a branch must have before it merges with its siblings.
+MERGE_LABELS = 2
 
 # Shapes of variable segments, first that matches.
 SHAPES = [
@@ -76,12 +84,18 @@ def _shape(segment: Column) -> Column:
     return out
 
 
+def shaped(path: Column) -> Column:
+    """A path's segments, variable ones as the name of their shape; a literal that looks like such a name, or a wildcard, is escaped."""
+    segments = F.filter(F.split(path, "/"), lambda s: s != "")
+    return F.transform(segments, lambda s: F.coalesce(_shape(s), F.when(s.rlike(r"^[{*\\]"), F.concat(F.lit("\\"), s)).otherwise(s)))
+
+
 def templates(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """``counts`` (host, segments, n, labelled, blocked) with ``template``, an array that grows by levels."""
+    """``counts`` (host, segments as ``shaped``, n, labelled, blocked) with ``template``, an array that grows by levels."""
     rows = counts.withColumn("template", F.array().cast("array<string>"))
     for level in range(depth):
-        segment = F.get("segments", F.lit(level))
-        rows = rows.withColumn("segment", F.coalesce(_shape(segment), segment))
+        deeper = F.array_join(F.slice("segments", level + 1, F.greatest(F.size("segments") - level, F.lit(0))), "/")
+        rows = rows.withColumn("segment", F.when(F.size("segments") > level, deeper) if level == depth - 1 else F.get("segments", F.lit(level)))
         node = ["host", "template"]
         children = rows.where("segment is not null").groupBy(*node, "segment").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
         nodes = children.groupBy(*node).agg(F.count("*").alias("kids"), F.sum("n").alias("node_n"), F.sum("labelled").alias("node_labelled"), F.sum("blocked").alias("node_blocked"), F.sum((F.col("n") == 1).cast("long")).alias("single"))
@@ -93,35 +107,48 @@ def templates(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
             spread = F.sqrt(F.greatest(F.col(expected) * (1 - F.col(expected)) * F.col(trials), F.lit(0.0)))
             return F.abs(F.col(successes) - F.col(expected) * F.col(trials)) <= APART_Z * spread + 1e-9
 
-        alike = same("labelled", "n", "rate") & same("blocked", "labelled", "purity") & (F.col("kids") > 1)
-        shaped = F.col("segment").startswith("{")
-        part = F.when(shaped, F.col("segment")).when(variable | alike, F.lit("*")).otherwise(F.col("segment"))
+        alike = same("labelled", "n", "rate") & same("blocked", "labelled", "purity") & (F.col("kids") > 1) & (F.col("labelled") >= MERGE_LABELS)
+        part = F.when(F.col("segment").startswith("{"), F.col("segment")).when(variable | alike, F.lit("*")).otherwise(F.col("segment"))
         named = joined.select(*node, "segment", part.alias("part"))
         rows = rows.join(named, [*node, "segment"], "left").withColumn("template", F.when(F.col("part").isNotNull(), F.concat("template", F.array("part"))).otherwise(F.col("template"))).drop("segment", "part")
         if level % 2:
             rows = materialize(rows)
-    deeper = F.size("segments") > depth
-    return rows.withColumn("template", F.when(deeper, F.concat("template", F.array(F.lit("**")))).otherwise(F.col("template")))
+    return rows
+
 
+def _smoothed(blocked: Column, labelled: Column, expected: Column) -> Column:
+    return (blocked + SMOOTHING * expected) / (labelled + SMOOTHING)
 
-def _smoothed(blocked: Column, labelled: Column, parent: Column) -> Column:
-    return (blocked + SMOOTHING * parent) / (labelled + SMOOTHING)
 
+def _expected(purity: Column, labelled: Column, n: Column) -> Column:
+    """What a level lets the one below it expect: its purity for the labelled share of its URLs, NEUTRAL for the rest."""
+    return NEUTRAL + (purity - NEUTRAL) * labelled / n
 
-def purities(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(host, template, purity) of each template in ``rows``, smoothed from the table down to the template."""
-    total = rows.agg(F.coalesce(_smoothed(F.sum("blocked"), F.sum("labelled"), F.lit(0.0)), F.lit(0.0)).alias("all"))
+
+def purities(rows: DataFrame) -> DataFrame:
+    """(host, template, purity, support) of each template in ``rows``, smoothed from the domain down to the template.
+
+    support: the host's labels.
+    """
     domain = F.substring_index("host", ".", -2)
-    leaf = rows.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
-    domains = leaf.groupBy(domain.alias("domain")).agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b")).crossJoin(F.broadcast(total)).select("domain", _smoothed(F.col("b"), F.col("l"), F.col("all")).alias("of_domain"))
-    hosts = leaf.groupBy("host").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b")).withColumn("domain", domain).join(domains, "domain").select("host", _smoothed(F.col("b"), F.col("l"), F.col("of_domain")).alias("purity"))
-    out = leaf.join(hosts, "host")
-    prefixes = leaf.select("host", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("template"), F.lit(1))), lambda k: F.slice("template", 1, k))).alias("prefix"), "labelled", "blocked")
-    sums = prefixes.groupBy("host", "prefix").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
-    chain = leaf.select("host", "template", F.posexplode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("template"), F.lit(1))), lambda k: F.slice("template", 1, k))).alias("k", "prefix")).join(sums, ["host", "prefix"])
-    steps = chain.groupBy("host", "template").agg(F.array_sort(F.collect_list(F.struct("k", "l", "b"))).alias("steps"))  # at most depth + 1 each
-    walked = F.aggregate("steps", F.col("purity"), lambda acc, s: (s["b"] + SMOOTHING * acc) / (s["l"] + SMOOTHING))
-    return out.join(steps, ["host", "template"]).select("host", "template", walked.alias("purity"))
+    sums = [F.sum("labelled").alias("l"), F.sum("blocked").alias("b"), F.sum("n").alias("n")]
+    leaf = rows.groupBy("host", "template").agg(*[F.sum(c).alias(c) for c in ("labelled", "blocked", "n")])
+    by_host = leaf.groupBy("host").agg(*sums).withColumn("domain", domain)
+    by_domain = by_host.groupBy("domain").agg(*[F.sum(c).alias(c) for c in ("l", "b", "n")])
+    expected = by_domain.select("domain", _expected(_smoothed(F.col("b"), F.col("l"), F.lit(NEUTRAL)), F.col("l"), F.col("n")).alias("expected"))
+    hosts = by_host.join(expected, "domain").withColumn("purity", _smoothed(F.col("b"), F.col("l"), F.col("expected")))
+    hosts = hosts.select("host", F.col("l").alias("support"), _expected(F.col("purity"), F.col("l"), F.col("n")).alias("expected"))
+    prefixes = F.transform(F.sequence(F.lit(1), F.greatest(F.size("template"), F.lit(1))), lambda k: F.slice("template", 1, k))
+    counted = leaf.select("host", F.explode(prefixes).alias("prefix"), "labelled", "blocked", "n").groupBy("host", "prefix").agg(*sums)
+    chain = leaf.select("host", "template", F.posexplode(prefixes).alias("k", "prefix")).join(counted, ["host", "prefix"])
+    steps = chain.groupBy("host", "template").agg(F.array_sort(F.collect_list(F.struct("k", "l", "b", "n"))).alias("steps"))  # at most one a level
+
+    def step(acc: Column, s: Column) -> Column:
+        purity = _smoothed(s["b"], s["l"], acc["expected"])
+        return F.struct(purity.alias("purity"), _expected(purity, s["l"], s["n"]).alias("expected"))
+
+    walked = F.aggregate("steps", F.struct(F.lit(0.0).alias("purity"), F.col("expected").alias("expected")), step, lambda acc: acc["purity"])
+    return steps.join(hosts, "host").select("host", "template", walked.alias("purity"), "support")
 
 
 def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", label: Column | None = None, depth: int = DEPTH) -> DataFrame:
@@ -135,13 +162,11 @@ def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col:
     split = base.select("id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "given")
     split = split.withColumn("r", by_rules(F.col("host"), F.col("path"), rules))
     marked = split.withColumn("bad", F.col("given") if label is not None else F.col("r.verdict") == "block")
-    segments = F.filter(F.split("path", "/"), lambda s: s != "")
     # Shapes are taken before counting, so that the counts have a row a shape and not one a URL.
-    shaped = F.transform(segments, lambda s: F.coalesce(_shape(s), s))
-    marked = marked.withColumn("segments", shaped)
+    marked = marked.withColumn("segments", shaped(F.col("path")))
     counts = materialize(marked.groupBy("host", "segments").agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.sum(F.coalesce(F.col("bad").cast("long"), F.lit(0))).alias("blocked")))
     placed = materialize(templates(counts, depth))
-    known = placed.select("host", "segments", "template").join(purities(placed, depth), ["host", "template"])
+    known = placed.select("host", "segments", "template").join(purities(placed), ["host", "template"])
     out = marked.join(known, ["host", "segments"], "left")
-    own = F.when(F.col("purity") > REJECT, F.lit("block")).otherwise(F.lit("allow"))
+    own = F.when((F.col("purity") > REJECT) & (F.col("support") >= SUPPORT), F.lit("block")).otherwise(F.lit("allow"))
     return out.select(F.col("id").alias(id_col), "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", own).alias("verdict"), F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), F.round("purity", 9).alias("purity"))
