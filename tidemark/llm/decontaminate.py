@@ -9,13 +9,15 @@ k-th word of the normalised text is the k-th word of the original, which maps of
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bound_batches, map_rows
+from tidemark.llm.common import arrow_types, bound_batches
 
 WINDOW_WORDS = 10
 #: Normalised characters of all windows that one automaton may hold (about 32 bytes a node): a
@@ -55,16 +57,20 @@ def automaton(items: list[tuple[int, str | None]], size: int = WINDOW_WORDS):
     return built if owners else None
 
 
-def scan(built, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
-    """Merged word ranges [start, end) inside occurrences, and the indices of the items that occur."""
-    if built is None or not words:
+def joined(words: list[bytes]) -> str:
+    """The normalised text, a space around every word, a character a byte."""
+    return f" {b' '.join(words).decode('latin-1')} " if words else ""
+
+
+def scan(built, text: str) -> tuple[list[tuple[int, int]], set[int]]:
+    """Merged word ranges [start, end) of a ``joined`` text inside occurrences, and the indices of the items that occur."""
+    if built is None or not text:
         return [], set()
-    text = b" " + b" ".join(words) + b" "
     ranges: list[list[int]] = []
     items: set[int] = set()
     at = seen = 0
-    for end, (length, indices) in built.iter(text.decode("latin-1")):
-        seen += text.count(b" ", at, end)  # spaces before the match's last one: words that have ended
+    for end, (length, indices) in built.iter(text):
+        seen += text.count(" ", at, end)  # spaces before the match's last one: words that have ended
         at = end
         items.update(indices)
         start = seen - length
@@ -95,7 +101,7 @@ def _groups(items: list[tuple[int, str | None]], size: int, chars: int) -> list[
 
 
 def _scanner(spark, benchmark: DataFrame, item_col: str, item_text_col: str, window: int, automaton_chars: int):
-    """The sorted names of the items, and a maker of f(words) -> (ranges, indices of items) for a task."""
+    """The sorted names of the items, and f(texts) -> (ranges, indices of items) for each text of a batch."""
     wanted = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).cast("string").alias("text"))
     weight = wanted.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)))).first()[0] or 0
     if weight > BENCHMARK_BYTES:
@@ -104,24 +110,20 @@ def _scanner(spark, benchmark: DataFrame, item_col: str, item_text_col: str, win
     names = sorted({name for name, _ in rows})
     index = {name: i for i, name in enumerate(names)}
     shared = spark.sparkContext.broadcast(_groups([(index[name], text) for name, text in rows], window, automaton_chars))
-
-    def make():
-        groups = shared.value
-        single = automaton(groups[0], window) if len(groups) == 1 else None
-
-        def find(words: list[bytes]):
-            if len(groups) == 1:
-                return scan(single, words)
-            ranges, items = [], set()
-            for i in range(len(groups)):
-                found, which = scan(_one_group(groups, i, window), words)
-                ranges += found
+    token = uuid.uuid4().hex
+
+    def find(texts: list[str]) -> list[tuple[list[tuple[int, int]], set[int]]]:
+        """Ranges and items of each text of a batch; of several automata each reads the whole batch before the next is built."""
+        found = [([], set()) for _ in texts]
+        for i in range(len(shared.value)):
+            built = _kept_automaton(token, shared.value, i, window)
+            for (ranges, items), text in zip(found, texts):
+                more, which = scan(built, text)
+                ranges += more
                 items |= which
-            return _merge(ranges), items
+        return [(_merge(ranges) if len(shared.value) > 1 else ranges, items) for ranges, items in found]
 
-        return find
-
-    return names, make
+    return names, find
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW_WORDS, automaton_chars: int = AUTOMATON_CHARS) -> DataFrame:
@@ -133,50 +135,54 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     that share an id count once. Repeated documents repeat their rows; an empty benchmark hits nothing.
     The benchmark is read on the driver, behind a check of its size, and broadcast. Other columns aren't read.
     """
-    names, make = _scanner(docs.sparkSession, benchmark, item_col, item_text_col, window, automaton_chars)
+    names, find = _scanner(docs.sparkSession, benchmark, item_col, item_text_col, window, automaton_chars)
+    bound_batches(docs.sparkSession)
     key_type = dict(docs.dtypes)[id_col]
+    schema = f"`{id_col}` {key_type}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans string"
+    types = arrow_types(schema)
 
-    def factory():
-        find = make()
-
-        def one(key, text):
-            words = normalise(text)
-            ranges, items = find(words)
-            digest = hashlib.sha256(",".join(names[i] for i in sorted(items)).encode()).hexdigest()
-            places = ",".join(f"{a}:{b}" for a, b in spans(text, ranges)) if ranges else ""
-            hit = sum(b - a for a, b in ranges)
-            return key, len(words), hit, len(items), digest, hit > 0, places
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            normal = [joined(normalise(text)) for text in texts]
+            out = []
+            for text, plain, (ranges, items) in zip(texts, normal, find(normal)):
+                digest = hashlib.sha256(",".join(names[i] for i in sorted(items)).encode()).hexdigest()
+                places = ",".join(f"{a}:{b}" for a, b in spans(text, ranges)) if ranges else ""
+                hit = sum(b - a for a, b in ranges)
+                out.append((max(plain.count(" ") - 1, 0), hit, len(items), digest, hit > 0, places))
+            columns = list(zip(*out)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types[1:]))], names=[id_col, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"])
 
-        return one
+    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
-    schema = f"`{id_col}` {key_type}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans string"
-    return map_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), factory, schema)
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW_WORDS, automaton_chars: int = AUTOMATON_CHARS) -> DataFrame:
+    """The rows of ``docs``, all columns, without an occurrence of any window. Only the text goes to Python.
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW_WORDS) -> DataFrame:
-    """The rows of ``docs``, all columns, without an occurrence of any window. Only the text goes to Python."""
+    Null and wordless texts stay, repeated rows are judged alike, an empty table stays empty, and an empty
+    benchmark drops nothing. Columns may have any name.
+    """
     bound_batches(docs.sparkSession)
-    _, make = _scanner(docs.sparkSession, benchmark, item_col, item_text_col, window, AUTOMATON_CHARS)
+    _, find = _scanner(docs.sparkSession, benchmark, item_col, item_text_col, window, automaton_chars)
 
     @F.pandas_udf("boolean")
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        find = make()
         for texts in batches:
-            yield pd.Series([not find(normalise(t))[0] for t in texts], dtype=bool)
+            yield pd.Series([not ranges for ranges, _ in find([joined(normalise(t)) for t in texts])], dtype=bool)
 
     return docs.where(clean(F.col(text_col).cast("string")))
 
 
-_kept_group: dict = {}
+_kept: dict = {}
 
 
-def _one_group(groups, i: int, window: int):
-    """The automaton of group i; one is kept at a time, so that memory holds one whatever the benchmark."""
-    key = (id(groups), i)
-    if key not in _kept_group:
-        _kept_group.clear()
-        _kept_group[key] = automaton(groups[i], window)
-    return _kept_group[key]
+def _kept_automaton(token: str, groups, i: int, window: int):
+    """The automaton of group i; a worker keeps one at a time, from task to task, so that memory holds one whatever the benchmark."""
+    if (token, i) not in _kept:
+        _kept.clear()
+        _kept[token, i] = automaton(groups[i], window)
+    return _kept[token, i]
 
 
 def _merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
