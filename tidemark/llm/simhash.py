@@ -244,10 +244,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 #: The rule of keep_one: texts are near copies whose sets of five-word shingles have at least this Jaccard similarity.
 KEEP_WORDS = 5
 SIMILARITY = 0.8
-#: MinHash bands: a pair at SIMILARITY agrees on no band with probability (1 - 0.8^4)^16 = 0.0002.
+#: Bits by which the SimHashes of two such sets differ at most: at SIMILARITY 9.7 of 64 are expected, with a
+#: deviation of 2.9, so that about one pair in two thousand at the very threshold differs in more.
+KEEP_RADIUS = 20
+#: MinHash bands, which deal the sets into shards: a pair at SIMILARITY shares no shard with probability (1 - 0.8^4)^16 = 0.0002.
 BANDS, BAND_ROWS = 16, 4
-#: A member of a bucket is compared with so many before it, by the next band's key.
-WINDOW = 8
+#: Sets of one tree above which a shard is dealt by hash into several, anew in each round.
+CELL_ROWS = 1024
 _MIX = np.random.default_rng(1).integers(0, 1 << 63, (2, BANDS * BAND_ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -260,48 +263,176 @@ def shingles(text: str | None, shingle_words: int = KEEP_WORDS) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle_words]), 42) for i in range(n)), dtype=np.uint64, count=n))
 
 
+def set_hash(values: np.ndarray) -> int:
+    """Signed hash of a set of shingles; 0 for the empty one."""
+    import xxhash
+
+    return _signed(xxhash.xxh64_intdigest(values.tobytes())) if len(values) else 0
+
+
 def sketch(values: np.ndarray) -> tuple[int, list[int]]:
-    """(hash of the set, a hash for each band), signed. A wordless text has no bands."""
+    """(SimHash of the set, a hash for each band), signed. A wordless text has no bands."""
     import xxhash
 
-    if not len(values):
-        return 0, []
-    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    least, ones = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, dtype=np.uint64), np.zeros(64, dtype=np.int64)
     for at in range(0, len(values), 1 << 12):
-        least = np.minimum(least, (values[at : at + (1 << 12), None] * _MIX[0] + _MIX[1]).min(axis=0))
-    return _signed(xxhash.xxh64_intdigest(values.tobytes())), [_signed(xxhash.xxh64_intdigest(b.tobytes())) for b in least.reshape(BANDS, BAND_ROWS)]
+        block = values[at : at + (1 << 12)]
+        least = np.minimum(least, (block[:, None] * _MIX[0] + _MIX[1]).min(axis=0))
+        ones += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    bits = int(np.packbits(ones * 2 > len(values), bitorder="little").view("<u8")[0])
+    return _signed(bits), [_signed(xxhash.xxh64_intdigest(b.tobytes())) for b in least.reshape(BANDS, BAND_ROWS)] if len(values) else []
+
 
+def cell_pairs(members: list[tuple[int, int, int, int]], refuted: set[tuple[int, int]], extra: int, radius: int = KEEP_RADIUS) -> tuple[list[tuple[int, int]], bool]:
+    """Candidate pairs of one cell that join its components, and whether others were left out.
 
-def _candidates(distinct: DataFrame) -> DataFrame:
-    """Pairs (a, b) of sets that meet in a bucket and whose sizes allow SIMILARITY; linear in the sets, whatever the buckets."""
-    bands = F.transform("bands", lambda key, i: F.struct(i.alias("band"), key.alias("key"), F.get("bands", (i + 1) % BANDS).alias("next")))
-    dealt = distinct.select("fp", "n", F.explode(bands).alias("o")).select("o.band", "o.key", "o.next", "fp", "n")
+    ``members``: (set hash, size of the set, SimHash, component). A BK-tree over the SimHashes gives the pairs
+    within the radius; those whose sizes rule SIMILARITY out, that are refuted or inside a component are
+    none. Of the rest a spanning forest over the components is taken, and of what then remains ``extra`` pairs a
+    member: however many pairs a cell has, what leaves it is linear in its members.
+    """
+    members = sorted(members)
+    roots = {m[3]: m[3] for m in members}
+
+    def find(x: int) -> int:
+        while roots[x] != x:
+            roots[x] = roots[roots[x]]
+            x = roots[x]
+        return x
+
+    tree, at, same = BKTree(), [], {}
+    taken: list[tuple[int, int]] = []
+    room, more = extra * len(members), False
+    for i, (fp, n, sim, comp) in enumerate(members):
+        sim &= (1 << 64) - 1
+        for j in sorted(j for node in tree.within(sim, radius) for j in at[node]):
+            other = members[j]
+            if other[3] == comp or min(n, other[1]) < SIMILARITY * max(n, other[1]) or (other[0], fp) in refuted:
+                continue
+            a, b = find(comp), find(other[3])
+            if a != b:
+                roots[max(a, b)] = min(a, b)
+            elif room:
+                room -= 1
+            else:
+                more = True
+                continue
+            taken.append((other[0], fp))
+        if sim in same:
+            at[same[sim]].append(i)
+        else:
+            same[sim] = len(at)
+            tree.add(sim)
+            at.append([i])
+    return taken, more
+
+
+def _candidates(cells: DataFrame, extra: int) -> DataFrame:
+    """(bucket, a, b, more) of every cell's pairs. ``cells``: cell, bucket, fp, n, sim, comp, and other (a refuted pair's second, else null)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, before = None, []
+        rest = None
+
+        def found(table: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
+            out: list[tuple[int, int, int, bool]] = []
+            for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if end - start < 2:
+                    continue
+                rows = list(zip(*(table.column(c).slice(start, end - start).to_pylist() for c in ("bucket", "fp", "n", "sim", "comp", "other"))))
+                pairs, more = cell_pairs([r[1:5] for r in rows if r[5] is None], {(r[1], r[5]) for r in rows if r[5] is not None}, extra)
+                out += ((rows[0][0], a, b, more) for a, b in pairs)
+            columns = list(zip(*out)) or [(), (), (), ()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], names=["bucket", "a", "b", "more"])
+
         for batch in batches:
-            found = []
-            for band, key, _, fp, n in zip(*(c.to_pylist() for c in batch.columns)):
-                if (band, key) != current:
-                    current, before = (band, key), []
-                found += ((min(fp, x), max(fp, x)) for x, m in before if min(n, m) >= SIMILARITY * max(n, m))
-                before = [*before[1 - WINDOW :], (fp, n)] if WINDOW > 1 else [(fp, n)]
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], type=pa.int64()) for k in (0, 1)], names=["a", "b"])
+            table = pa.Table.from_batches([batch] if rest is None else [rest, batch]).combine_chunks()
+            cell = table.column("cell").to_numpy()
+            cuts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+            yield found(table, cuts)
+            last = table.slice(int(cuts[-1]))
+            rest = last.combine_chunks().to_batches()[0] if last.num_rows else None
+        if rest is not None:
+            yield found(pa.Table.from_batches([rest]), np.array([0, rest.num_rows]))
+
+    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a cell costs work, not bytes: not to be coalesced by size
+    return cells.repartition(parts, "cell").sortWithinPartitions("cell", "fp").mapInArrow(run, "bucket long, a long, b long, more boolean")
+
+
+def _judged(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, linked) by the whole sets."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            linked = []
+            for one, two in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(one.as_py(), dtype=np.uint32), np.frombuffer(two.as_py(), dtype=np.uint32)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                linked.append(shared >= SIMILARITY * (len(x) + len(y) - shared))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+
+    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("v").alias("va")), "a").join(sets.select(F.col("fp").alias("b"), F.col("v").alias("vb")), "b")
+    return both.select("a", "b", "va", "vb").mapInArrow(run, "a long, b long, linked boolean")
+
+
+def near_copies(distinct: DataFrame, sets_of) -> DataFrame:
+    """(node, root) for the sets of ``distinct`` (fp, n, sim, bands) that are not their component's smallest.
 
-    return dealt.repartition("band", "key").sortWithinPartitions("band", "key", "next", "fp").mapInArrow(run, "a long, b long").distinct()
+    Rounds: every shard's tree proposes a spanning forest of its candidate pairs, the whole sets judge
+    them, and a shard whose pairs were refuted while others had been left out proposes again, ever
+    more pairs a member, until none is left to propose. Shards over CELL_ROWS are dealt into cells by
+    hash, anew in each round, for as long as a round links more of them. ``sets_of(fps)`` gives (fp, v): the sets.
+    """
+    dealt = distinct.select("fp", "n", "sim", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "fp", "n", "sim")
+    shards = dealt.groupBy("bucket").count().where("count > 1")
+    shards = materialize(shards.select("bucket", F.ceil(F.col("count") / CELL_ROWS).alias("cells")))
+    active, sets, links, refuted, roots, turn = shards, None, None, None, None, 0
+    while True:
+        cells = dealt.join(active, "bucket").withColumn("comp", F.col("fp"))
+        if roots is not None:
+            cells = cells.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("root", "fp")).drop("root")
+        dealt_again = F.xxhash64("bucket", F.pmod(F.xxhash64("fp", F.lit(turn)), F.col("cells")))
+        cells = cells.select(F.when(F.col("cells") > 1, dealt_again).otherwise(F.col("bucket")).alias("cell"), "bucket", "fp", "n", "sim", "comp", F.lit(None).cast("long").alias("other"))
+        if refuted is not None:
+            cells = cells.unionByName(refuted.join(active.where("cells = 1"), "bucket").select(F.col("bucket").alias("cell"), "bucket", F.col("a").alias("fp"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("sim"), F.lit(0).cast("long").alias("comp"), F.col("b").alias("other")))
+        proposed = materialize(_candidates(cells, 16**turn - 1))
+        pairs = materialize(proposed.select("a", "b").distinct())
+        if pairs.isEmpty():
+            break
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+        new = wanted if sets is None else materialize(wanted.join(sets, "fp", "left_anti"))
+        if sets is None or not new.isEmpty():
+            found = materialize(sets_of(new))
+            sets = found if sets is None else sets.unionByName(found)
+        judged = materialize(_judged(pairs, sets))
+        linked = judged.where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+        links = linked if links is None else links.unionByName(linked)
+        outcome = materialize(proposed.join(judged, ["a", "b"]))
+        now = outcome.where("not linked").select("bucket", "a", "b")
+        refuted = now if refuted is None else refuted.unionByName(now)
+        again = outcome.groupBy("bucket").agg(F.max(F.col("more") & ~F.col("linked")).alias("open"), F.max("linked").alias("found"), F.max("more").alias("more"))
+        active = materialize(active.join(again, "bucket").where(F.when(F.col("cells") > 1, F.col("found")).otherwise(F.col("open"))).select("bucket", "cells"))
+        turn += 1
+        if active.isEmpty():
+            break
+        roots = connected_components(links)
+    if links is None:
+        return distinct.select(F.col("fp").alias("node"), F.col("fp").alias("root")).limit(0)
+    return connected_components(links)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, of which one row of each near-duplicate group stays.
 
-    A group is a component of texts linked by SIMILARITY of their five-word shingles: MinHash bands give
-    the candidates, the whole sets decide. The row kept has the smallest id, nulls last, then the smallest
-    row hash. Rows that share an id, or have none, but not a text all stay. A row is known by two hashes
-    of its columns, so copies of one text are dealt by row and no id or text is a hot key; rows equal in
-    all columns are collapsed before they are shuffled.
+    A group is a component of texts linked by SIMILARITY of their five-word shingles. The texts' SimHashes
+    are searched by BK-trees, one for each shard that MinHash bands make, within KEEP_RADIUS; the whole
+    sets (as 32-bit hashes of shingles) decide. Wordless and null texts are one group. The row kept has
+    the smallest id, nulls last, then the smallest row hash. Rows that share an id, or have none, but not a
+    text all stay. A row is known by two hashes of its columns, so copies of one text are dealt by row and no
+    id or text is a hot key; rows equal in all columns are collapsed before they are shuffled. An empty
+    table stays empty; columns may have any name.
     """
-    plain = [F.col(c) for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
-    nulls = [F.col(c).isNull() for c in (id_col, text_col)]
+    plain = [F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
+    nulls = [F.col(f"`{c}`").isNull() for c in (id_col, text_col)]
     one, two = fresh("hash"), fresh("hash")
     keyed = docs.withColumns({one: F.xxhash64(*plain, *nulls), two: F.xxhash64(F.lit(1), *plain, *nulls)})
     keys = keyed.select(F.col(id_col).alias("id"), F.col(one).alias("h1"), F.col(two).alias("h2"), F.col(text_col).cast("string").alias("text"))
@@ -309,30 +440,29 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def sketched():
         def run(no_id, id_, h1, h2, text):
             values = shingles(text)
-            fp, bands = sketch(values)
-            return no_id, id_, h1, h2, fp, len(values), bands
+            sim, bands = sketch(values)
+            return no_id, id_, h1, h2, set_hash(values), len(values), sim, bands
 
         return run
 
     kind = dict(keys.dtypes)["id"]
-    rows = map_rows(keys.select(F.col("id").isNull().alias("no_id"), "id", "h1", "h2", "text"), sketched, f"no_id boolean, id {kind}, h1 long, h2 long, fp long, n int, bands array<long>")
-    distinct = materialize(rows.groupBy("fp").agg(F.min(F.struct("no_id", "id", "h1", "h2")).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands")))
-    pairs = materialize(_candidates(distinct))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(distinct, "fp").select("first.h1", "first.h2")
-    texts = keys.join(wanted, ["h1", "h2"], "left_semi").select("text")
-
-    def whole_set():
-        def run(text):
-            values = shingles(text)
-            return sketch(values)[0], values.view(np.int64).tolist()
+    rows = map_rows(keys.select(F.col("id").isNull().alias("no_id"), "id", "h1", "h2", "text"), sketched, f"no_id boolean, id {kind}, h1 long, h2 long, fp long, n int, sim long, bands array<long>")
+    distinct = materialize(rows.groupBy("fp").agg(F.min(F.struct("no_id", "id", "h1", "h2")).alias("first"), *[F.first(c).alias(c) for c in ("n", "sim", "bands")]))
 
-        return run
+    def sets_of(fps: DataFrame) -> DataFrame:
+        def whole_set():
+            def run(text):
+                values = shingles(text)
+                return set_hash(values), np.unique(values.astype(np.uint32)).tobytes()
 
-    sets = materialize(map_rows(texts, whole_set, "fp long, v array<long>").groupBy("fp").agg(F.first("v").alias("v")))
-    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("v").alias("va")), "a").join(sets.select(F.col("fp").alias("b"), F.col("v").alias("vb")), "b")
-    shared = both.select("a", "b", F.size(F.array_intersect("va", "vb")).alias("i"), (F.size("va") + F.size("vb")).alias("n"))
-    roots = connected_components(shared.where(F.col("i") >= SIMILARITY * (F.col("n") - F.col("i"))).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+            return run
+
+        firsts = fps.join(distinct, "fp").select("first.h1", "first.h2")
+        texts = keys.join(firsts, ["h1", "h2"], "left_semi").select("text")
+        return map_rows(texts, whole_set, "fp long, v binary").groupBy("fp").agg(F.first("v").alias("v"))
+
+    roots = near_copies(distinct.select("fp", "n", "sim", "bands"), sets_of)
     labelled = distinct.join(roots, distinct.fp == roots.node, "left").select("first", F.coalesce("root", "fp").alias("root"))
     keep = labelled.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.h1").alias(one), F.col("first.h2").alias(two))
-    whole = keyed.groupBy(one, two).agg(F.first(F.struct(*docs.columns)).alias("row"))
+    whole = keyed.groupBy(one, two).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row"))
     return whole.join(keep, [one, two], "left_semi").select("row.*")
