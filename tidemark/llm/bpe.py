@@ -20,10 +20,11 @@ import struct
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Memory, map_rows
+from tidemark.llm.common import Memory, bound_batches, map_rows
 
 #: Bytes up to which a half is merged directly; short enough that most leaves are remembered.
 LEAF_BYTES = 8
@@ -176,22 +177,23 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     encoded whole however long. Repeated rows stay; an empty table gives no rows; other columns are not
     read. ``path`` must be readable on every worker, as installed vocabulary files are.
     """
+    bound_batches(docs.sparkSession)
     key_type = dict(docs.dtypes)[id_col]
     schema = f"`{id_col}` {key_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
 
-    def factory():
+    def run(batches):
         one_encoder = encoder(path, pattern)
-
-        def one(key, text):
-            found = one_encoder.encode(text or "")
-            digest = hashlib.sha256(found.tobytes()).hexdigest()
-            decoded = hashlib.sha256(one_encoder.decode(found)).hexdigest()
-            return (key, len(found), digest, decoded) + ((found.tolist(),) if ids else ())
-
-        one.close = one_encoder.forget
-        return one
-
-    return map_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), factory, schema)
+        for batch in batches:
+            # Ids stay packed until they are a column: no id becomes an object.
+            made = [one_encoder.encode(text or "") for text in batch.column(1).to_pylist()]
+            columns = [batch.column(0), pa.array([len(x) for x in made], pa.int64()), pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in made]), pa.array([hashlib.sha256(one_encoder.decode(x)).hexdigest() for x in made])]
+            if ids:
+                offsets = np.cumsum([0, *(len(x) for x in made)], dtype=np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*made, np.empty(0, dtype="<u4")]).astype(np.int32))))
+            yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * ids])
+        one_encoder.forget()
+
+    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def decode(rows: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
