@@ -159,6 +159,50 @@ def test_licenses(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_licence_texts_are_told_apart():
+    matcher = licenses.Matcher({}, 1000)
+    for name, text in licenses.TEMPLATES:
+        assert matcher.best(f"some words\n\n{text}\n\nother words here")[0] == name
+        wrapped, line = [], ""
+        for word in text.split():
+            if len(line) > 50:
+                wrapped.append(line)
+                line = ""
+            line += word + " "
+        assert matcher.best("#!/bin/sh\n" + "\n".join(f"# {x}" for x in [*wrapped, line]) + "\nx = 1")[0] == name
+        assert matcher.best("lorem ipsum dolor " * 300 + text + " sit amet consetetur" * 300)[0] == name or len(text.split()) < 12
+    assert matcher.best("SPDX-License-Identifier: GPL-2.0-or-later")[0] == "GPL-2.0" and matcher.best("SPDX-License-Identifier: Foo-1.0")[0] is None
+    assert matcher.best("my driving license was revoked")[0] is None and matcher.best("")[0] is None and matcher.best("x " * 100_000)[0] is None
+
+
+def plain_cosine(matcher, part, template):
+    idf = lambda t: matcher.idf.get(t, matcher.unseen)
+    a, b = ({t: words.count(t) * idf(t) for t in words} for words in (part, licenses.terms(template)))
+    return sum(w * b.get(t, 0) for t, w in a.items()) / (sum(w * w for w in a.values()) * sum(w * w for w in b.values())) ** 0.5
+
+
+def test_licence_scan_against_brute_force(spark):
+    rng = random.Random(8)
+    pool = [w for _, text in licenses.TEMPLATES for w in text.split()]
+    texts = [". ".join(" ".join(rng.choice(pool) if rng.random() < 0.5 else f"w{rng.randint(0, 40)}" for _ in range(rng.randint(0, 30))) for _ in range(4)) for _ in range(30)]
+    texts += [f"w1 w2\n{text}\nw3" for _, text in licenses.TEMPLATES[:8]] + ["", None, "the"]
+    df = spark.createDataFrame([(i, None, t) for i, t in enumerate(texts)], "doc_id long, path string, text string")
+    got = by_id(licenses.scan(df))
+    words = {t for _, text in licenses.TEMPLATES for t in licenses.terms(text)}
+    found, n = licenses.frequencies(df.select("text"))
+    assert n == len(texts) and all(found.get(w, 0) == sum(w in licenses.terms(t or "") for t in texts) for w in words)
+    matcher = licenses.Matcher(found, n)
+    for i, t in enumerate(texts):
+        # Every word is an anchor here: the bound must not lose a piece that passes.
+        parts = [p for p in licenses.pieces(t or "", False, frozenset(licenses.terms(t or ""))) if p[0]]
+        near = [(c * sum(matcher.idf[w] ** 2 for w in set(licenses.terms(text)) & set(flat)), -k, c) for p, flat in parts for k, (_, text) in enumerate(licenses.TEMPLATES) if (c := plain_cosine(matcher, p, text)) >= licenses.THRESHOLD]
+        if near:
+            score, k, cosine = max(near)
+            assert got[i]["license"] and abs(got[i]["similarity"] - cosine) < 1e-6 or sum(abs(x[0] - score) < 1e-9 for x in near) > 1
+        else:
+            assert got[i]["license"] is None and got[i]["similarity"] == 0
+
+
 # op3
 
 
@@ -190,33 +234,118 @@ def test_surrogates(spark):
         surrogates.pseudonymize(docs(spark, []), b"")
 
 
+def swapped(text, key=b"k"):
+    made, out, at = surrogates.Surrogates(key), [], 0
+    for start, end, kind in surrogates.detect(text):
+        out += [text[at:start], made.replace(kind, text[start:end])]
+        at = end
+    return "".join([*out, text[at:]])
+
+
+def test_names_keep_coreference():
+    out = swapped("Mr. Smith met Mr. John Smith. John Smith left; SMITH too. John stayed, a smith did not.")
+    first, lone = re.match(r"Mr\. (\w+) met Mr\. (\w+) ", out).groups()
+    assert out == f"Mr. {first} met Mr. {lone} {first}. {lone} {first} left; {first.upper()} too. {lone} stayed, a smith did not."
+    assert "Smith" not in out and lone.lower() in surrogates.NAMES["m", "latin"]
+    assert swapped("Frau Smith").split()[1] == first
+    assert re.match(r"Mr (\w+) is", swapped("Mr Anna is"))[1].lower() in surrogates.NAMES["f", "latin"]
+
+
+def test_names_of_other_scripts_and_forms():
+    out = swapped("Г-н Иван Петров и г-жа Анна Петрова. Петров ушёл.")
+    assert not re.search("Иван|Анна|Петров", out) and re.fullmatch(r"Г-н [а-яёА-ЯЁ]+ [а-яёА-ЯЁ]+ и г-жа [а-яёА-ЯЁ]+ [а-яёА-ЯЁ]+\. [а-яёА-ЯЁ]+ ушёл\.", out)
+    out = swapped("Mr. 王伟 went, 李小龙先生 came, 王伟 too")
+    assert "王伟" not in out and "李小龙" not in out and "先生" in out and re.match(r"Mr\. ([\u4e00-\u9fff]{2}) went, [\u4e00-\u9fff]{3}先生 came, \1 too", out)
+    assert re.fullmatch(r"Dr\. [A-Z]'[A-Z][a-z]{4} and Mrs\. [A-Z][a-z]{3}-[A-Z][a-z]{4}", out := swapped("Dr. O'Brien and Mrs. Anna-Maria")) and "Maria" not in out
+    assert not re.search("Łukasz|Żółć|محمد|علي", swapped("Mr. Łukasz Żółć, السيد محمد علي"))
+    assert re.fullmatch("call [٠-٩]{3} [٠-٩]{3} [٠-٩]{4} now", out := swapped("call ٠١٢ ٣٤٥ ٦٧٨٩ now")) and "٣٤٥ ٦٧٨٩" not in out
+
+
+def test_ibans_stay_valid_or_invalid():
+    for iban, rest in (("GB82 WEST 1234 5698 7654 32", 1), ("DE89370400440532013000", 1), ("GB83WEST12345698765432", None)):
+        out = swapped(f"pay {iban} now")[4:-4]
+        assert out != iban and re.sub("[A-Z]", "A", re.sub("[0-9]", "0", out)) == re.sub("[A-Z]", "A", re.sub("[0-9]", "0", iban))
+        assert (surrogates._iban(out.replace(" ", "").lower()) == 1) == (rest == 1)
+
+
 def test_surrogates_are_distinct():
     s = surrogates.Surrogates(b"k")
     made = {s.replace("phone", f"({a:03d}) 555-{b:04d}") for a in range(10) for b in range(100)}
     assert len(made) == 1000
+    listed = [n for names in surrogates.NAMES.values() for n in names]
+    words = listed + [a + b for a in "bcd" for b in "aeiou"] + [f"王{c}" for c in "伟芳娜敏静"] + ["łu", "śu", "ğı", "ω", "ש"]
+    made = [s.made("name", w) for w in words]
+    assert len(set(made)) == len(words) and all(m != w for m, w in zip(made, words))
+
+
+def test_check_finds_no_collision_and_every_planted_one(spark, monkeypatch):
+    df = docs(spark, ["Mr. John Smith j@a.com", "Frau Anna Kohl, 8.196.197.208", None, "", "Mr. John Smith " * 2000, "Mr. John Smith j@a.com"])
+    assert surrogates.check(df, b"k").count() == 0
+    assert surrogates.check(df.limit(0), b"k").count() == 0
 
 
 # op4
 
 
+def plain_log_probability(net, ids, i):
+    """By the definition: every decision on the token's path, from both sides' embeddings."""
+    side = [ids[i + k] if 0 <= i + k < len(ids) else net.pad for k in (-2, -1, 1, 2)]
+    h = np.tanh(np.concatenate([net.e[k] for k in side]).astype(float) @ net.w[:-1] + net.w[-1])
+    total, start = 0.0, net.tree.starts[ids[i]]
+    for k in range(start, start + net.tree.lengths[ids[i]]):
+        z = (net.u[net.tree.nodes[k], :-1] @ h + net.u[net.tree.nodes[k], -1]) * net.tree.signs[k]
+        total -= np.log1p(np.exp(-z))
+    return total
+
+
 def test_pseudo_likelihood(spark):
     rng = random.Random(2)
     good = [" ".join("the cat sat on the mat and the dog ran to the cat".split() * 8) for _ in range(40)]
     bad = " ".join(rng.sample("the cat sat on mat and dog ran to".split() * 10, 80))
-    df = docs(spark, [*good, bad, None, "", "word"])
+    texts = [*good, bad, None, "", "word", "cat " * 40_000, "x" * 5000, "cat"]
+    df = docs(spark, texts)
     words = pseudolm.vocabulary(df)
-    assert words[0] == "the" and "cat" in words
-    net = pseudolm.train(df, words, every=1)
-    got = by_id(pseudolm.score(df, words, net))
+    assert words.words[0] == "cat" and "the" in words.words and words.counts.sum() == sum(len(pseudolm.tokens(t)) for t in texts)
+    rows = pseudolm.encode(df, words)
+    net = pseudolm.train(rows, words, every=1)
+    got = by_id(pseudolm.score(rows, net))
     assert got[0]["mean_pll"] > got[40]["mean_pll"] and got[0]["n_tokens"] == 104
-    assert got[41]["pll"] == 0 and got[41]["mean_pll"] is None and got[42]["n_tokens"] == 0 and got[43]["n_tokens"] == 1
-    ids = pseudolm.Ids(words).encode("the cat sat on the mat")
-    padded = np.concatenate([[pseudolm.PAD] * 2, ids, [pseudolm.PAD] * 2])
-    for i, p in enumerate(net.log_probabilities(ids)):
-        context = [padded[i], padded[i + 1], padded[i + 3], padded[i + 4]]
-        z = np.tanh(net.e[context].reshape(-1) @ net.w + net.b) @ net.u + net.c
-        assert abs(p - (z[ids[i]] - np.log(np.exp(z).sum()))) < 1e-4
-    assert pseudolm.score(docs(spark, []), words, net).count() == 0
+    assert got[41]["pll"] == 0 and got[41]["mean_pll"] is None and got[42]["n_tokens"] == 0 and got[43]["n_tokens"] == 1 and got[44]["n_tokens"] == 40_000
+    known = words.ids()
+    for i in (0, 40, 43, 45, 46):
+        ids = [known[w] for w in pseudolm.tokens(texts[i])]
+        assert abs(got[i]["pll"] - sum(plain_log_probability(net, ids, k) for k in range(len(ids)))) < 1e-2
+    # The tokens' probabilities in one context add up to one.
+    ids = [known[w] for w in "the cat sat on the".split()]
+    assert abs(sum(np.exp(plain_log_probability(net, [*ids[:2], t, *ids[3:]], 2)) for t in range(words.size)) - 1) < 1e-3
+    assert pseudolm.score(rows.limit(0), net).count() == 0
+
+
+def test_pseudo_likelihood_does_not_depend_on_partitions(spark):
+    rng = random.Random(4)
+    df = docs(spark, [" ".join(rng.choice(["a", "b", "c", "d", "e"]) for _ in range(rng.randint(0, 60))) for _ in range(60)])
+    words = pseudolm.vocabulary(df)
+    rows = pseudolm.encode(df, words)
+    one, two = pseudolm.train(rows, words, every=2), pseudolm.train(pseudolm.encode(df.repartition(7), words), words, every=2)
+    assert all((x == y).all() for x, y in zip(one.parts(), two.parts()))
+
+
+def test_untrained_network_is_the_unigram_model(spark):
+    words = pseudolm.vocabulary(docs(spark, ["a a a b", None, "c"]))
+    net = pseudolm.train(pseudolm.encode(docs(spark, [None, ""]), words), words)
+    share = (words.counts + 1) / (words.counts + 1).sum()
+    for t in (0, 1, 2, 1000):
+        assert abs(plain_log_probability(net, [0, t, 1], 1) - np.log(share[t])) < 1e-4
+
+
+def test_every_text_gives_an_example():
+    for n in (1, 2, 7, 100):
+        for key in (0, 12345, 2**61 + 7):
+            x = np.arange(n, dtype="<u2")
+            found = [r for turn in range(3) for r in pseudolm.examples(x, key, turn, 999, 3, 8).tolist()]
+            assert len(found) >= 1 and len({r[0] for r in found}) == len(found)
+            for target, *context in found:
+                assert context == [target + k if 0 <= target + k < n else 999 for k in (-2, -1, 1, 2)]
 
 
 # op5
@@ -365,6 +494,7 @@ def test_contamination_against_brute_force(spark, chars):
     df = docs(spark, texts).withColumn("n_words", F.lit("clash"))
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = by_id(decontaminate.contamination(df, bench, automaton_chars=chars))
+    assert {r["doc_id"] for r in decontaminate.drop_contaminated(df, bench, automaton_chars=chars).collect()} == {i for i, r in got.items() if not r["contaminated"]}
     for i, t in enumerate(texts):
         r = got[i]
         assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) == plain_contamination(t, items), t
@@ -412,10 +542,83 @@ def test_url_filter(spark):
 
 def test_url_purity(spark):
     rows = [(i, f"http://h.org/bad/{i}", True) for i in range(40)] + [(100 + i, f"http://h.org/good/{i}", False) for i in range(40)] + [(200, "http://h.org/bad/999", None), (201, "http://h.org/good/999", None)]
+    rows += [(300 + i, f"http://unlabelled.org/x/{i}", None) for i in range(10)] + [(400, "http://{num}.org/{num}/*/\\", None), (401, "http://d.org/" + "a/" * 40 + "1", None), (402, "http://d.org/" + "a/" * 40 + "1", None)]
     df = spark.createDataFrame(rows, "page_id long, url string, label boolean")
     got = by_id(urlfilter.judge(df, [], label=F.col("label")), "page_id")
     assert got[200]["verdict"] == "block" and got[201]["verdict"] == "allow"
     assert got[200]["template"] == "/bad/{num}"
+    assert all(got[300 + i]["verdict"] == "allow" for i in range(10))
+    assert got[400]["template"] == "/\\{num}/\\*/\\\\" and got[401]["template"].count("a") == 40
+    # Labels of one branch do not reject an unlabelled branch beside it.
+    df = spark.createDataFrame([(i, f"http://n.net/{'fr' if i % 4 == 0 else 'de'}/{i}", True if i % 4 == 0 else None) for i in range(80)], "page_id long, url string, label boolean")
+    got = by_id(urlfilter.judge(df, [], label=F.col("label")), "page_id")
+    assert all(got[i]["verdict"] == ("block" if i % 4 == 0 else "allow") for i in range(80)) and got[1]["template"] == "/de/{num}"
+
+
+def plain_templates(rows, depth):
+    """Path templates level by level over (host, segments, n, labelled, blocked), as dictionaries."""
+    out = {(h, s): () for h, s, *_ in rows}
+    for level in range(depth):
+        kids = {}
+        for h, s, n, lab, bad in rows:
+            if len(s) > level:
+                seg = "/".join(s[level:]) if level == depth - 1 else s[level]
+                c = kids.setdefault((h, out[h, s]), {}).setdefault(seg, [0, 0, 0])
+                c[:] = [c[0] + n, c[1] + lab, c[2] + bad]
+        new = dict(out)
+        for h, s, *_ in rows:
+            if len(s) <= level:
+                continue
+            seg = "/".join(s[level:]) if level == depth - 1 else s[level]
+            node = kids[h, out[h, s]]
+            total = [sum(c[i] for c in node.values()) for i in range(3)]
+            n, lab, bad = node[seg]
+            rate, purity = total[1] / total[0], total[2] / total[1] if total[1] else 0.0
+            near = lambda x, k, p: abs(x - p * k) <= urlfilter.APART_Z * (p * (1 - p) * k) ** 0.5 + 1e-9
+            alike = near(lab, n, rate) and near(bad, lab, purity) and len(node) > 1 and lab >= urlfilter.MERGE_LABELS
+            variable = len(node) >= urlfilter.VARIABLE_MIN and len(node) >= total[0] * urlfilter.VARIABLE_SHARE
+            new[h, s] = (*out[h, s], seg if seg.startswith("{") or not (variable or alike) else "*")
+        out = new
+    return out
+
+
+def plain_purity(rows, placed, host, template):
+    smooth = lambda b, l, e: (b + urlfilter.SMOOTHING * e) / (l + urlfilter.SMOOTHING)
+
+    def sums(keep):
+        return [sum(r[i] for r in rows if keep(r)) for i in (2, 3, 4)]
+
+    def down(expected, keep):
+        n, lab, bad = sums(keep)
+        p = smooth(bad, lab, expected)
+        return p, urlfilter.NEUTRAL + (p - urlfilter.NEUTRAL) * lab / n
+
+    p, e = down(urlfilter.NEUTRAL, lambda r: ".".join(r[0].split(".")[-2:]) == ".".join(host.split(".")[-2:]))
+    p, e = down(e, lambda r: r[0] == host)
+    for k in range(1, max(1, len(template)) + 1):
+        p, e = down(e, lambda r: r[0] == host and placed[r[0], r[1]][:k] == template[:k] and len(placed[r[0], r[1]]) >= len(template[:k]) and (template or not placed[r[0], r[1]]))
+    return p
+
+
+def test_templates_and_purities_against_brute_force(spark):
+    rng = random.Random(9)
+    rows = {}
+    for _ in range(400):
+        host = rng.choice(["a.x.org", "b.x.org", "y.net"])
+        path = tuple(rng.choice(["en", "fr", "de", "{num}", "{hash}", f"s{rng.randint(0, 30)}"]) for _ in range(rng.randint(0, 5)))
+        n = rng.randint(1, 5)
+        lab = rng.randint(0, n) if rng.random() < 0.6 else 0
+        rows[host, path] = (host, path, n, lab, rng.randint(0, lab) if path[:1] != ("fr",) else lab)
+    rows = sorted(rows.values())
+    depth = 4
+    df = spark.createDataFrame([(h, list(s), n, lab, bad) for h, s, n, lab, bad in rows], "host string, segments array<string>, n long, labelled long, blocked long")
+    placed = urlfilter.templates(df, depth)
+    want = plain_templates(rows, depth)
+    got = {(r["host"], tuple(r["segments"])): tuple(r["template"]) for r in placed.collect()}
+    assert got == want and any("*" in t for t in got.values())
+    for r in urlfilter.purities(placed).collect():
+        assert abs(r["purity"] - plain_purity(rows, want, r["host"], tuple(r["template"]))) < 1e-9
+        assert r["support"] == sum(x[3] for x in rows if x[0] == r["host"])
 
 
 # op9
