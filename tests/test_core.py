@@ -191,12 +191,12 @@ def test_batches_resume_and_cap(spark, tmp_path):
     settings = C.Llm(controlled_vocab=VOCAB)
     todo = spark.createDataFrame([(i, f"narrative {i} about a fee") for i in range(8)], "record_id long, text string")
     log = str(tmp_path / "log")
-    extract.run_batch(spark, todo, lambda: extract.MockClient(VOCAB), settings, log)
+    extract.run_batch(spark, todo, extract.MockClient(VOCAB), settings, log)
     done = extract.read_checkpoint(spark, log)
     assert done.count() == 8 and extract.remaining(todo, done).count() == 0
     many = spark.createDataFrame([(i, f"narrative {i} " * 20) for i in range(50)], "record_id long, text string")
     capped = str(tmp_path / "capped")
-    extract.run_batch(spark, many, lambda: extract.MockClient(VOCAB), C.Llm(controlled_vocab=VOCAB, max_spend_usd=0.001), capped, batch=2)
+    extract.run_batch(spark, many, extract.MockClient(VOCAB), C.Llm(controlled_vocab=VOCAB, max_spend_usd=0.001), capped, batch=2)
     assert 1 <= extract.read_checkpoint(spark, capped).where("ok").count() < 50
 
 
@@ -243,3 +243,96 @@ def test_nearest_many_in_blocks(spark):
     assert {(q, i) for q, i, _, _ in whole} == {(q, int(i)) for q in range(0, 60, 2) for i in np.argsort(-(unit[q] @ unit.T))[:3]}
     assert len(whole) == 90 and rows(7) == whole and rows(30) == whole and rows(29) == whole
     assert embed.nearest_many(index, asked.where("false"), 3, "id").count() == 0
+
+
+def test_zero_vectors_are_near_nothing(spark):
+    index = spark.createDataFrame([(0, [0.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 2.0])], "id long, embedding array<double>")
+    asked = index.withColumnRenamed("id", "query_id")
+    found = {(r["query_id"], r["id"]) for r in embed.nearest_many(index, asked, 3, "id").collect()}
+    assert found == {(q, i) for q in (1, 2) for i in (1, 2)}
+    assert {r["id"] for r in embed.nearest(index, [1.0, 0.0], 3, "id").collect()} == {1, 2}
+
+
+def test_live_runs_need_an_endpoint_and_a_key(monkeypatch, tmp_path):
+    settings = C.Llm(api_key_env="TIDE_KEY")
+    monkeypatch.delenv("TIDE_KEY", raising=False)
+    assert isinstance(extract.get_client(settings, True), extract.MockClient)
+    with pytest.raises(extract.PermanentError, match="endpoint"):
+        extract.get_client(settings, False)
+    with pytest.raises(extract.PermanentError, match="TIDE_KEY"):
+        extract.get_client(settings, False, "http://localhost/x")
+    monkeypatch.setenv("TIDE_KEY", "k")
+    client = extract.get_client(C.Llm(api_key_env="TIDE_KEY", url="http://localhost/x"), False)
+    client.send = lambda url, headers, body: (200, {"text": headers["Authorization"], "input_tokens": 1, "output_tokens": 2})
+    assert client.complete("s", "u").text == "Bearer k"
+    for status, error in ((429, extract.RetryableError), (503, extract.RetryableError), (400, extract.PermanentError)):
+        client.send = lambda url, headers, body, status=status: (status, {})
+        with pytest.raises(error):
+            client.complete("s", "u")
+    (tmp_path / "extract_v2.txt").write_text("Mine: {{NARRATIVE}}")
+    assert extract.load_prompts(str(tmp_path))["v2"] == "Mine: {{NARRATIVE}}" and extract.load_prompts(str(tmp_path))["v1"] == extract.PROMPTS["v1"]
+    (tmp_path / "extract_v9.txt").write_text("no place")
+    with pytest.raises(ValueError):
+        extract.load_prompts(str(tmp_path))
+
+
+def test_quantiles_by_ranges(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=3000), np.full(1500, 0.25), rng.integers(0, 5, 500)])
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    shares = [0.0, 0.1, 0.333, 0.5, 0.75, 0.95, 1.0]
+    want = np.quantile(x, shares)
+    for rows, ranges in ((10**6, 1024), (50, 16), (400, 64)):
+        assert np.allclose(S.quantiles(df, F.col("x"), shares, rows, ranges), want)
+    assert S.quantiles(df.where("false"), F.col("x"), [0.5]) == [None]
+
+
+def test_range_of(spark):
+    cuts = [1.0, 2.0, 2.5, 7.0, 9.0]
+    df = spark.createDataFrame([(float(v),) for v in (0, 1, 1.5, 2, 2.6, 7, 8, 9, 10)], "x double")
+    got = [tuple(r) for r in df.select("x", S.range_of(F.col("x"), F.lit(cuts), 8)).collect()]
+    assert all(n == sum(c < x for c in cuts) for x, n in got)
+    assert value(spark, S.range_of(F.lit(1.0), F.array().cast("array<double>"), 8)) == 0
+
+
+def test_benjamini_hochberg_of_many(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    p = np.round(np.concatenate([rng.uniform(0, 0.01, 300), rng.uniform(0, 1, 3000), np.full(200, 0.5)]), 5)
+    got = {r["i"]: r for r in S.benjamini_hochberg(spark.createDataFrame([(i, float(v)) for i, v in enumerate(p)], "i int, p double"), "p").collect()}
+    order = np.argsort(p, kind="stable")
+    q = np.minimum.accumulate((p[order] * len(p) / np.arange(1, len(p) + 1))[::-1])[::-1]
+    want = np.empty(len(p))
+    want[order] = np.minimum(q, 1)
+    assert all(abs(got[i]["q"] - want[i]) < 1e-12 and got[i]["reject"] == (want[i] <= 0.05) for i in range(len(p)))
+
+
+def test_keep_first_and_cleaning(spark):
+    rows = [(i, t, t.lower(), "2021-01-01" if i % 5 else "none") for i, t in enumerate(["one two three four five", "One two three four five", "one two three four five", "few words", "ONE TWO, three four five!", "a b c d e", "a b c d e", "six words are in this text"])]
+    df = spark.createDataFrame(rows, "_ord long, text string, text_clean string, _raw_date string")
+    assert sorted(r["_ord"] for r in ingest.dedup_exact(df).collect()) == [0, 1, 3, 4, 5, 7]
+    assert sorted(r["_ord"] for r in ingest.dedup_near(df).collect()) == [0, 3, 5, 7]
+    for settings, want in ((C.Ingest(min_tokens=5), [7]), (C.Ingest(min_tokens=5, dedup_near=False), [1, 4, 7]), (C.Ingest(min_tokens=5, dedup_near=False, dedup_exact=False), [1, 2, 4, 6, 7])):
+        assert sorted(r["_ord"] for r in ingest.clean_records(df, settings).collect()) == want
+    funnel = [(r["label"], r["before"], r["after"]) for r in ingest.quality_funnel(df, C.Ingest(min_tokens=5), D.parse_date(F.col("_raw_date")).isNotNull()).orderBy("step").collect()]
+    assert funnel == [("min tokens", 8, 7), ("exact duplicates", 7, 5), ("near duplicates", 5, 3), ("invalid dates", 3, 1)]
+
+
+def test_cleaning_plan_sorts_no_text(spark):
+    df = spark.range(10).select(F.col("id").alias("_ord"), F.col("id").cast("string").alias("text"), F.col("id").cast("string").alias("text_clean"), F.lit("2021-01-01").alias("_raw_date"))
+    plan = ingest.clean_records(df, C.Ingest(min_tokens=1)).select("date")._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
+
+
+def test_density_of_more_rows_than_are_fitted(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    centres = np.array([[5.0, 0, 0], [0, 5.0, 0], [0, 0, 5.0]])
+    x = np.concatenate([c + rng.normal(scale=0.2, size=(150, 3)) for c in centres] + [rng.uniform(20, 60, size=(20, 3))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "record_id long, embedding array<double>")
+    monkeypatch.setattr(themes, "DENSITY_ROWS", 200)
+    got = {r["record_id"]: r["theme_id"] for r in themes.density(df, 15, 5, components=2).collect()}
+    assert len(got) == len(x)
+    for k in range(3):
+        labels = [got[i] for i in range(150 * k, 150 * (k + 1))]
+        top = max(set(labels), key=labels.count)
+        assert top >= 0 and labels.count(top) > 120
+    assert sum(got[i] == -1 for i in range(450, 470)) >= 15

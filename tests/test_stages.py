@@ -28,11 +28,41 @@ def test_all_stages(spark, tmp_path):
     pipeline.run_themes(spark, config)
     pipeline.run_extract(spark, config, dry_run=True)
     assert readers.done_ids(spark, f"{tmp_path}/p/extractions").count() > 0
+    config.predict.boosting_iterations, config.predict.backend = 3, "xgboost"
+    metrics = pipeline.run_predict(spark, config)
+    assert metrics["n_train"] > metrics["n_test"] > 0 and 0 <= metrics["base_rate"] <= 1 and {"roc_auc", "pr_auc", "brier", "calibration"} <= set(metrics["boosting"])
+    config.paths.gold_csv = f"{tmp_path}/gold.csv"
+    pipeline.run_gold(spark, config, 20, auto=True, mapping={"Mortgage": "loan_servicing"})
+    gold = readers.read_gold(spark, config.paths.gold_csv)
+    assert gold.count() == 20 and gold.where("issue_category is null").count() == 0
+    best = pipeline.run_evaluation(spark, config, dry_run=True)
+    assert best["variant"] in ("v1", "v2", "v3") and 0 <= best["acc_issue_category"] <= 1
     payload = pipeline.run_stats(spark, config)
     assert payload["design_n"] == 1068 and {f["kind"] for f in payload["findings"]} >= {"sentiment"}
     text = pipeline.run_report(spark, config)
     assert "## Headlines" in text and "<h1>" in open(config.report.output_html).read()
-    assert {"data_quality.md", "themes.md", "run_summary.md", "statistics.md"} <= set(os.listdir(config.paths.reports_dir))
+    assert {"evaluation.md", "predictive_model.md", "data_quality.md", "themes.md", "run_summary.md", "statistics.md"} <= set(os.listdir(config.paths.reports_dir))
+
+
+def test_sample_builder(spark, tmp_path):
+    config = C.Config()
+    config.paths = C.Paths(raw_csv=f"{tmp_path}/raw.csv", sample_csv=f"{tmp_path}/sample.csv")
+    pipeline.run_sample(spark, config, 50)  # no full file: synthetic records
+    assert readers.read_csv(spark, config.paths.sample_csv).count() == 50
+    rows = [(i, None if i % 5 == 0 else " " if i % 7 == 0 else f"text\n{i}", "a" if i % 2 else "b") for i in range(700)]
+    sinks.write_csv(spark.createDataFrame(rows, ["Complaint ID", "Consumer complaint narrative", "Product"]), config.paths.raw_csv)
+    pipeline.run_sample(spark, config, 100)
+    made = readers.read_csv(spark, config.paths.sample_csv)
+    assert abs(made.count() - 100) <= 1 and made.where("trim(`Consumer complaint narrative`) = ''").count() == 0
+
+
+def test_live_run_without_endpoint_is_an_error(spark, tmp_path):
+    config = C.Config()
+    config.paths = C.Paths(processed_dir=f"{tmp_path}/p", reports_dir=f"{tmp_path}/r")
+    sinks.write_parquet(spark.createDataFrame([(1, "a fee", "x")], "record_id long, text string, category string"), f"{tmp_path}/p/records.parquet")
+    with pytest.raises(pipeline.extract.PermanentError):
+        pipeline.run_extract(spark, config, dry_run=False, yes=True)
+    assert not readers.exists(spark, f"{tmp_path}/p/extractions")
 
 
 def test_missing_inputs(spark, tmp_path):
@@ -76,6 +106,10 @@ def test_stream(spark, tmp_path):
     stream.write_stream(records, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
     out = spark.read.parquet(f"{tmp_path}/out")
     assert out.count() == 2 and {r["year_month"] for r in out.collect()} == {"2021-01", "2021-02"}
+    counted = stream.windowed_counts(spark.readStream.schema(out.schema).parquet(f"{tmp_path}/out").withColumn("date", F.col("date").cast("timestamp")))
+    running = counted.writeStream.format("memory").queryName("counted").outputMode("complete").trigger(availableNow=True).start()
+    running.awaitTermination()
+    assert spark.table("counted").agg(F.sum("count")).first()[0] == 2
 
 
 SF = "/root/testdata/sf0.001"

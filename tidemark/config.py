@@ -8,6 +8,9 @@ from pathlib import Path
 from typing import Any
 
 
+# Names and defaults of the settings.
+
+
 @dataclass
 class Columns:
     text_column: str = "Consumer complaint narrative"
@@ -28,6 +31,7 @@ class Paths:
     gold_csv: str = "data/sample/gold.csv"
     processed_dir: str = "data/processed"
     reports_dir: str = "reports"
+    prompts_dir: str | None = None
 
 
 @dataclass
@@ -62,6 +66,7 @@ class Themes:
 class Llm:
     model: str = ""
     api_key_env: str = "EXTRACTION_API_KEY"
+    url: str = ""
     prompt_version: str = "v3"
     max_concurrency: int = 8
     max_records: int = 2000
@@ -77,6 +82,8 @@ class Llm:
 @dataclass
 class Predict:
     target: str = "timely_response"
+    backend: str = "gbt"
+    boosting_iterations: int = 300
     test_fraction: float = 0.25
     threshold: float = 0.5
     embedding_pca_components: int = 16

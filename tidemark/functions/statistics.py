@@ -54,14 +54,88 @@ def two_proportion(x1: Column, n1: Column, x2: Column, n2: Column) -> Column:
     return F.struct(z.alias("z"), p.alias("p"), F.when(empty, F.lit(0.0)).otherwise(p1 - p2).alias("diff"))
 
 
+#: Ranges that a total order is cut into, so that no task sorts, or counts through, the whole table.
+RANGES = 1024
+
+
+def range_cuts(values: Column, ranges: int = RANGES) -> Column:
+    """Aggregate: sorted distinct values that cut a column into about equal ranges."""
+    return F.array_distinct(F.percentile_approx(values, [i / ranges for i in range(1, ranges)], 10_000))
+
+
+def range_of(value: Column, cuts: Column, ranges: int = RANGES) -> Column:
+    """How many of the sorted ``cuts`` are below the value, by binary search."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(ranges.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, k: F.when(F.coalesce(F.get(cuts, at + k - 1) < value, F.lit(False)), at + k).otherwise(at))
+
+
+#: Rows up to which a quantile is left to the engine's exact aggregate, which holds every distinct value in one task.
+EXACT_ROWS = 1_000_000
+
+
+def quantiles(df: DataFrame, value: Column, shares: list[float], exact_rows: int = EXACT_ROWS, ranges: int = RANGES) -> list[float | None]:
+    """Exact quantiles of a column, interpolated between neighbours; null without values. Runs jobs.
+
+    Over ``exact_rows`` values the column is cut into ranges and counted; only the ranges that hold a wanted
+    rank are looked into, by the same means, until they are small.
+    """
+    values = df.select(value.cast("double").alias("x")).where("x is not null")
+    n = values.count()
+    if not n:
+        return [None] * len(shares)
+    if n <= exact_rows:
+        return list(values.agg(F.percentile("x", F.array(*[F.lit(float(q)) for q in shares]))).first()[0])
+    at = [q * (n - 1) for q in shares]
+    found = _ranked(values, {k for r in at for k in (math.floor(r), math.ceil(r))}, exact_rows, ranges)
+    return [found[math.floor(r)] if r == math.floor(r) else (math.ceil(r) - r) * found[math.floor(r)] + (r - math.floor(r)) * found[math.ceil(r)] for r in at]
+
+
+def _ranked(values: DataFrame, ranks: set[int], exact_rows: int, ranges: int) -> dict[int, float]:
+    """The values (column x) of given ranks, from 0."""
+    cuts, low, high = values.agg(range_cuts(F.col("x"), ranges), F.min("x"), F.max("x")).first()
+    if low == high:
+        return dict.fromkeys(ranks, low)
+    if not low <= cuts[0] < high:  # the largest value fills every range: it is taken off alone
+        cuts = [values.where(F.col("x") < high).agg(F.max("x")).first()[0]]
+    counted = values.groupBy(range_of(F.col("x"), F.lit(cuts), ranges).alias("b")).agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+    out, before = {}, 0
+    for r in sorted(counted.collect()):  # one row a range
+        inside = {k - before for k in ranks if before <= k < before + r["n"]}
+        if inside and r["low"] == r["high"]:
+            out |= {k + before: r["low"] for k in inside}
+        elif inside:
+            part = values.where(F.col("x").between(r["low"], r["high"]))
+            if r["n"] <= exact_rows:
+                ordered = part.groupBy("x").count().orderBy("x").collect()  # at most exact_rows values
+                places, total = [], 0
+                for v in ordered:
+                    places += [(k, v["x"]) for k in inside if total <= k < total + v["count"]]
+                    total += v["count"]
+                out |= {k + before: x for k, x in places}
+            else:
+                out |= {k + before: x for k, x in _ranked(part, inside, exact_rows, ranges).items()}
+        before += r["n"]
+    return out
+
+
 def benjamini_hochberg(tests: DataFrame, p_col: str, alpha: float = 0.05) -> DataFrame:
-    """``tests`` with q and reject. Hypotheses are few (one a theme), so one ordered window is enough."""
-    total = Window.partitionBy()
-    order = Window.orderBy(F.asc(p_col))
-    ranked = tests.withColumn("_m", F.count("*").over(total)).withColumn("_r", F.row_number().over(order))
-    back = Window.orderBy(F.asc("_r")).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    q = F.least(F.min(F.col(p_col) * F.col("_m") / F.col("_r")).over(back), F.lit(1.0))
-    return ranked.withColumn("q", q).withColumn("reject", F.col("q") <= alpha).drop("_m", "_r")
+    """``tests`` with q and reject, for any number of tests.
+
+    Ranks and the minima from behind go by ranges of p: windows inside a range, and one over the ranges.
+    """
+    cuts = tests.agg(range_cuts(F.col(p_col)).alias("_cuts"), F.count("*").alias("_m"))
+    ranged = tests.crossJoin(F.broadcast(cuts)).withColumn("_b", range_of(F.col(p_col), F.col("_cuts"))).drop("_cuts")
+    inside = Window.partitionBy("_b").orderBy(p_col)
+    ahead = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    base = ranged.groupBy("_b").agg(F.count("*").alias("_n")).select("_b", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+    ranked = ranged.withColumn("_r", F.row_number().over(inside)).join(F.broadcast(base), "_b")  # at most RANGES rows
+    raw = ranked.withColumn("_q", F.col(p_col) * F.col("_m") / (F.col("_before") + F.col("_r")))
+    back = Window.partitionBy("_b").orderBy("_r").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    behind = Window.orderBy("_b").rowsBetween(1, Window.unboundedFollowing)
+    later = raw.groupBy("_b").agg(F.min("_q").alias("_least")).select("_b", F.min("_least").over(behind).alias("_later"))
+    out = raw.withColumn("_q", F.min("_q").over(back)).join(F.broadcast(later), "_b")
+    q = F.least("_q", F.coalesce("_later", F.lit(1.0)), F.lit(1.0))
+    return out.withColumn("q", q).withColumn("reject", F.col("q") <= alpha).drop("_m", "_r", "_b", "_before", "_q", "_later")
 
 
 def sample_size(margin: float, confidence: float = 0.95, p: float = 0.5, population: int | None = None) -> int:

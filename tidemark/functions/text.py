@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: What Python's str.split and \s treat as white space, for Java's and RE2's regular expressions alike.
 WS = r"[\t\n\x0B\f\r \x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
+#: The same characters one by one, but for the plain space.
+SPACES = "".join(map(chr, [*range(0x20), 0x7F, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 # Fixed value: masks such as XX/XX/XXXX.
 REDACTION = r"(?iU)\bx{2,}(?:[\s/.\-]+x{2,})*\b"
 
@@ -23,8 +25,11 @@ FOLDINGS = {"ß": "ss", "ſ": "s", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ":
 
 
 def normalize_whitespace(text: Column) -> Column:
-    """Control characters and white space runs become one space; ends are trimmed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, CONTROL, " "), f"{WS}+", " "))
+    """Control characters and white space runs become one space; ends are trimmed.
+
+    Exotic spaces are translated first: a pattern for them all would be tried at every character.
+    """
+    return F.trim(F.regexp_replace(F.translate(text, SPACES, " " * len(SPACES)), " {2,}", " "))
 
 
 def display_text(text: Column) -> Column:
@@ -32,15 +37,24 @@ def display_text(text: Column) -> Column:
     return normalize_whitespace(F.coalesce(text.cast("string"), F.lit("")))
 
 
+def count_words(clean: Column) -> Column:
+    """Tokens of a text whose white space is normalized already: its gaps and one."""
+    return F.when(clean == "", F.lit(0)).otherwise(F.length(clean) - F.length(F.replace(clean, F.lit(" "), F.lit(""))) + 1)
+
+
 def count_tokens(text: Column) -> Column:
     """White space separated tokens; null and blank count 0."""
-    clean = display_text(text)
-    return F.when(clean == "", F.lit(0)).otherwise(F.size(F.split(clean, " ")))
+    return count_words(display_text(text))
 
 
 def clustering_text(text: Column) -> Column:
     """Lower case without masked spans."""
-    return normalize_whitespace(F.regexp_replace(F.lower(display_text(text)), REDACTION, " "))
+    return unmasked(F.lower(display_text(text)))
+
+
+def unmasked(lowered: Column) -> Column:
+    """A lower-cased display text without masked spans; the pattern is tried only on texts that can hold one."""
+    return F.when(F.contains(lowered, F.lit("xx")), normalize_whitespace(F.regexp_replace(lowered, REDACTION, " "))).otherwise(lowered)
 
 
 def company_tokens(company: Column) -> Column:
@@ -65,7 +79,7 @@ def casefold(text: Column) -> Column:
 
 def canonical_form(text: Column) -> Column:
     """Key of near duplicates: folded, a-z and 0-9 only, single spaces."""
-    return normalize_whitespace(F.regexp_replace(casefold(display_text(text)), f"[^a-z0-9]", " "))
+    return F.trim(F.regexp_replace(casefold(F.coalesce(text.cast("string"), F.lit(""))), "[^a-z0-9]+", " "))
 
 
 def embed_tokens(text: Column) -> Column:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 
+_TOKEN = re.compile("[a-z0-9]+")
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -46,24 +51,32 @@ def hashed_counts(docs: DataFrame, id_col: str, text_col: str, dim: int) -> Data
     return exploded.groupBy(id_col, md5_bucket(F.col("token"), dim).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def hashed_embedding(text: Column, dim: int) -> Column:
-    """Unit vector of hashed counts, built inside the row: no shuffle."""
-    buckets = F.transform(T.embed_tokens(text), lambda t: md5_bucket(t, dim))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"))
-    return l2_normalize(counts)
+#: Tokens whose BLAKE2b bucket a worker remembers.
+CACHE_TOKENS = 200_000
+_buckets: dict[str, int] = {}
+
+
+def _blake(token: str) -> int:
+    """The first 8 bytes of a token's BLAKE2b, remembered."""
+    known = _buckets.get(token)
+    if known is None:
+        known = int.from_bytes(hashlib.blake2b(token.encode(), digest_size=8).digest(), "little")
+        if len(_buckets) >= CACHE_TOKENS:
+            _buckets.clear()
+        if len(token) <= 64:
+            _buckets[token] = known
+    return known
 
 
 def blake_embed(texts: list[str], dim: int):
     """Hashing embedder by BLAKE2b (8 bytes, little endian) in numpy, for parity with stored vectors."""
-    import hashlib
-    import re
-
     import numpy as np
 
     out = np.zeros((len(texts), dim), dtype=np.float32)
     for row, text in enumerate(texts):
-        words = re.findall("[a-z0-9]+", (text or "").lower())
-        for token in [*words, *(f"{a}_{b}" for a, b in zip(words, words[1:]))]:
-            out[row, int.from_bytes(hashlib.blake2b(token.encode(), digest_size=8).digest(), "little") % dim] += 1
+        words = _TOKEN.findall((text or "").lower())
+        found = [_blake(t) % dim for t in words]
+        found += [_blake(f"{a}_{b}") % dim for a, b in zip(words, words[1:])]
+        out[row] = np.bincount(found, minlength=dim) if found else 0
     sizes = np.linalg.norm(out, axis=1, keepdims=True)
     return out / np.where(sizes == 0, 1, sizes)

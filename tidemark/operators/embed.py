@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -10,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.checkpoints import materialize
 from tidemark.config import Embed
 from tidemark.functions import vectors as V
 
@@ -121,7 +121,7 @@ def nearest_many(index: DataFrame, queries: DataFrame, k: int, id_col: str = "re
     """(query_id, id, distance, rank) for a set of queries of any size, in blocks of ``query_rows``, each broadcast to the index's tasks.
 
     Each task keeps k rows a query, so the shuffle carries tasks * queries * k rows and never all pairs.
-    The queries stream through the driver; of several blocks each one's result is materialized, and its
+    Zero vectors, of the index or of the queries, are near nothing, as in ``nearest``. The queries stream through the driver; of several blocks each one's result is materialized, and its
     broadcast freed, before the next. The index is read once a block.
     """
     from itertools import batched
@@ -130,12 +130,10 @@ def nearest_many(index: DataFrame, queries: DataFrame, k: int, id_col: str = "re
     one, more = next(blocks, ()), next(blocks, ())
     if not more:
         return _nearest_block(index, queries, one, k, id_col, query_id, vector_col)[0]
-    sc, found = index.sparkSession.sparkContext, None
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
+    found = None
     while one:
         part, shared = _nearest_block(index, queries, one, k, id_col, query_id, vector_col)
-        part = part.checkpoint()
+        part = materialize(part)
         shared.destroy()
         found = part if found is None else found.unionByName(part)
         one, more = more, next(blocks, ())
@@ -154,25 +152,38 @@ def _nearest_block(index: DataFrame, queries: DataFrame, rows, k: int, id_col: s
     import numpy as np
 
     q = np.array([r[vector_col] for r in rows], dtype=np.float64)
-    shared = index.sparkSession.sparkContext.broadcast(([r[query_id] for r in rows], q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300) if len(rows) else q))
+    sizes = np.linalg.norm(q, axis=1) if len(rows) else np.zeros(0)
+    names = [r[query_id] for r, size in zip(rows, sizes) if size > 0]
+    shared = index.sparkSession.sparkContext.broadcast((names, q[sizes > 0] / sizes[sizes > 0, None] if names else q))
     types = {**dict(queries.dtypes), **dict(index.dtypes)}
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, unit = shared.value
-        held_d, held_i = np.full((len(ids), 0), 0.0), np.empty((len(ids), 0), dtype=object)
+        held = None
         for frame in frames:
             if frame.empty or not len(ids):
                 continue
             x = np.stack(frame[vector_col].to_numpy()).astype(np.float64)
-            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-            d = np.hstack([held_d, np.maximum(0.0, np.round(1 - unit @ x.T, 6))])
-            names = np.hstack([held_i, np.tile(frame[id_col].to_numpy(dtype=object), (len(ids), 1))])
-            far = np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] > k else d.max(axis=1)
-            order = np.array([sorted(np.flatnonzero(d[r] <= far[r]), key=lambda j, r=r: (d[r, j], names[r, j]))[:k] for r in range(len(ids))])
-            held_d, held_i = np.take_along_axis(d, order, 1), np.take_along_axis(names, order, 1)
-        for r, query in enumerate(ids):
-            if held_d.shape[1]:
-                yield pd.DataFrame({query_id: query, id_col: held_i[r], "distance": held_d[r]})
+            sizes = np.linalg.norm(x, axis=1)
+            x, own = x[sizes > 0] / sizes[sizes > 0, None], frame[id_col].to_numpy()[sizes > 0]
+            if not len(x):
+                continue
+            # Ids are ordered once a batch; ties then go by their rank.
+            own, x = own[order := np.argsort(own, kind="stable")], x[order]
+            d, names = np.maximum(0.0, np.round(1 - unit @ x.T, 6)), np.tile(own, (len(ids), 1))
+            if held is not None:
+                d, names = np.hstack([held[0], d]), np.hstack([held[1], names])
+            if d.shape[1] > k:
+                far = np.partition(d, k - 1, axis=1)[:, k - 1]
+                best = np.empty((len(ids), k), dtype=np.int64)
+                for r in range(len(ids)):
+                    near = np.flatnonzero(d[r] <= far[r])
+                    best[r] = sorted(near.tolist(), key=lambda j, r=r: (d[r, j], names[r, j]))[:k]
+                d, names = np.take_along_axis(d, best, 1), np.take_along_axis(names, best, 1)
+            held = d, names
+        if held is not None:
+            for r, query in enumerate(ids):
+                yield pd.DataFrame({query_id: query, id_col: held[1][r], "distance": held[0][r]})
 
     found = index.select(id_col, vector_col).mapInPandas(run, f"{query_id} {types[query_id]}, {id_col} {types[id_col]}, distance double")
     return _ranked(found, k, query_id, id_col), shared

@@ -4,17 +4,22 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import random
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from pathlib import Path
 from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.checkpoints import delete
 from tidemark.config import Llm
+from tidemark.functions import statistics as S
 from tidemark.functions import text as T
 
 # Keywords by category, in order of priority; words that mark escalation; label sets.
@@ -32,6 +37,7 @@ ESCALATION_WORDS = ("legal action", "attorney", "third complaint", "lawsuit", "f
 DEGRADE_PERCENT = {"v1": 40, "v2": 20, "v3": 0}
 SENTIMENTS = ("negative", "neutral", "positive")
 SEVERITIES = ("low", "medium", "high")
+TRUE, FALSE = ("true", "1", "yes", "on", "t", "y"), ("false", "0", "no", "off", "f", "n")
 EST_OUTPUT_TOKENS = 80
 
 SYSTEM_PROMPT = "Read one customer narrative and answer with exactly one JSON object holding the requested fields; no other text, no code fences."
@@ -110,8 +116,8 @@ def response_cost(input_tokens: Column, output_tokens: Column, settings: Llm) ->
     return input_tokens / 1000.0 * settings.input_cost_per_1k + output_tokens / 1000.0 * settings.output_cost_per_1k
 
 
-def estimate_cost(prompts: DataFrame, n: Column | int, settings: Llm, prompt_col: str = "prompt", order_col: str = "record_id", head: int = 50) -> DataFrame:
-    """One row (avg_input_tokens, estimate_usd) from the first ``head`` prompts."""
+def estimate_cost(prompts: DataFrame, n: Column | int, settings: Llm, prompt_col: str = "prompt", order_col: Column | str = "record_id", head: int = 50) -> DataFrame:
+    """One row (avg_input_tokens, estimate_usd) from the first ``head`` prompts in an order, which may be a Column."""
     first = prompts.orderBy(order_col).limit(head)
     mean = first.agg(F.coalesce(F.avg(F.length(prompt_col) / 4), F.lit(0.0)).alias("avg_input_tokens"))
     rate = F.col("avg_input_tokens") / 1000.0 * settings.input_cost_per_1k + EST_OUTPUT_TOKENS / 1000.0 * settings.output_cost_per_1k
@@ -130,7 +136,7 @@ def parse_response(raw: Column, vocabulary: list[str] | None = None) -> Column:
     sentiment, severity = F.lower(F.trim(parsed["sentiment_label"])), F.lower(F.trim(parsed["severity"]))
     score = parsed["sentiment_score"].try_cast("double")
     flag = F.lower(F.trim(parsed["is_actionable"]))
-    actionable = F.when(flag.isin("true", "1", "yes", "on", "t", "y"), True).when(flag.isin("false", "0", "no", "off", "f", "n"), False)
+    actionable = F.when(flag.isin(*TRUE), True).when(flag.isin(*FALSE), False)
     category = parsed["issue_category"]
     if vocabulary and "other" in vocabulary:
         category = F.when(category.isin(vocabulary), category).when(category.isNotNull(), F.lit("other"))
@@ -164,8 +170,8 @@ def within_cap(planned: DataFrame, cost_col: str, order_col: str, cap: float, bu
     A running sum over a total order, in two levels: sums by ranges of the order, whose prefix is a window over
     at most ``buckets`` rows, then a window inside each range. No task sees all rows.
     """
-    cuts = planned.agg(F.percentile_approx(order_col, [i / buckets for i in range(1, buckets)], 10_000).alias("cuts"))
-    ranged = planned.crossJoin(F.broadcast(cuts)).withColumn("_b", F.size(F.filter(F.array_distinct("cuts"), lambda c: c < F.col(order_col)))).drop("cuts")
+    cuts = planned.agg(S.range_cuts(F.col(order_col), buckets).alias("cuts"))
+    ranged = planned.crossJoin(F.broadcast(cuts)).withColumn("_b", S.range_of(F.col(order_col), F.col("cuts"), buckets)).drop("cuts")
     sums = ranged.groupBy("_b").agg(F.sum(cost_col).alias("_s"))
     before = sums.withColumn("_before", F.coalesce(F.sum("_s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).drop("_s")
     inner = Window.partitionBy("_b").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
@@ -202,7 +208,7 @@ class MockClient:
         self.vocabulary = vocabulary
 
     def complete(self, system: str, user: str, *, variant: str | None = None) -> Response:
-        narrative = user.rsplit("RECORD:", 1)[-1].strip()
+        narrative = user.rpartition("RECORD:")[2].strip()
         lowered = narrative.lower()
         hits = (name for name, words in CATEGORY_KEYWORDS if name in self.vocabulary and any(w in lowered for w in words))
         category = "other" if variant and degraded(narrative, variant) else next(hits, "other")
@@ -214,8 +220,8 @@ class MockClient:
 class HttpClient:
     """A chat endpoint over HTTP (JSON in, JSON out); 429, 5xx and time-outs are retryable."""
 
-    def __init__(self, settings: Llm, url: str, send: Callable[[str, dict, dict], tuple[int, dict]] | None = None) -> None:
-        self.settings, self.url, self.send = settings, url, send or self._post
+    def __init__(self, settings: Llm, url: str, key: str, send: Callable[[str, dict, dict], tuple[int, dict]] | None = None) -> None:
+        self.settings, self.url, self.key, self.send = settings, url, key, send or self._post
 
     @staticmethod
     def _post(url: str, headers: dict, body: dict) -> tuple[int, dict]:
@@ -232,12 +238,7 @@ class HttpClient:
             raise RetryableError(str(e)) from e
 
     def complete(self, system: str, user: str, *, variant: str | None = None) -> Response:
-        import os
-
-        key = os.environ.get(self.settings.api_key_env)
-        if not key:
-            raise PermanentError(f"{self.settings.api_key_env} is not set")
-        status, reply = self.send(self.url, {"Authorization": f"Bearer {key}"}, {"model": self.settings.model, "system": system, "prompt": user, "temperature": 0.0})
+        status, reply = self.send(self.url, {"Authorization": f"Bearer {self.key}"}, {"model": self.settings.model, "system": system, "prompt": user, "temperature": 0.0})
         if status == 429 or status >= 500:
             raise RetryableError(f"status {status}")
         if status >= 400:
@@ -246,7 +247,29 @@ class HttpClient:
 
 
 def get_client(settings: Llm, dry_run: bool, url: str = "") -> Client:
-    return MockClient(settings.controlled_vocab) if dry_run or not url else HttpClient(settings, url)
+    """The offline client for a dry run, else the live one; without an endpoint or a key a live run is an error.
+
+    Made on the driver, where the key is read, and sent to the tasks.
+    """
+    if dry_run:
+        return MockClient(settings.controlled_vocab)
+    if not (url or settings.url):
+        raise PermanentError("a live run needs an endpoint: give --url or llm.url, or run with --dry-run")
+    key = os.environ.get(settings.api_key_env)
+    if not key:
+        raise PermanentError(f"a live run needs a key in {settings.api_key_env}")
+    return HttpClient(settings, url or settings.url, key)
+
+
+def load_prompts(folder: str | None = None) -> dict[str, str]:
+    """Templates by version: those of ``PROMPTS``, and what the files extract_<version>.txt of a folder say instead."""
+    found = dict(PROMPTS)
+    for path in sorted(Path(folder).glob("extract_*.txt")) if folder else []:
+        text = path.read_text(encoding="utf-8")
+        if "{{NARRATIVE}}" not in text:
+            raise ValueError(f"{path} has no {{{{NARRATIVE}}}}")
+        found[path.stem.removeprefix("extract_")] = text
+    return found
 
 
 def backoff_seconds(attempt: int, base: float, cap: float) -> float:
@@ -270,11 +293,11 @@ def parse_text(raw: str, vocabulary: list[str]) -> dict:
         score, category, flag = float(data["sentiment_score"]), data["issue_category"], str(data["is_actionable"]).strip().lower()
     except (KeyError, TypeError) as e:
         raise ValueError(f"missing field {e}") from e
-    if sentiment not in SENTIMENTS or severity not in SEVERITIES or flag not in ("true", "false", "1", "0", "yes", "no") or not isinstance(category, str) or score != score:
+    if sentiment not in SENTIMENTS or severity not in SEVERITIES or flag not in (*TRUE, *FALSE) or not isinstance(category, str) or score != score:
         raise ValueError("invalid field")
     if category not in vocabulary and "other" in vocabulary:
         category = "other"
-    return {"sentiment_label": sentiment, "sentiment_score": max(-1.0, min(1.0, score)), "issue_category": category, "severity": severity, "is_actionable": flag in ("true", "1", "yes")}
+    return {"sentiment_label": sentiment, "sentiment_score": max(-1.0, min(1.0, score)), "issue_category": category, "severity": severity, "is_actionable": flag in TRUE}
 
 
 def extract_one(client: Client, template: str, record_id, narrative: str, settings: Llm, variant: str, sleep: Callable[[float], None] = time.sleep) -> dict:
@@ -303,17 +326,17 @@ def extract_one(client: Client, template: str, record_id, narrative: str, settin
     return row
 
 
-def extract_rows(todo: DataFrame, make_client: Callable[[], Client], settings: Llm, variant: str) -> DataFrame:
+def extract_rows(todo: DataFrame, client: Client, settings: Llm, variant: str, prompts: dict[str, str] | None = None) -> DataFrame:
     """(record_id, text) to result rows: a thread pool in each task keeps a bounded number of calls in flight."""
     from concurrent.futures import ThreadPoolExecutor
 
     names = [part.strip().split()[0] for part in RESULT_SCHEMA.split(",")]
+    template = (prompts or PROMPTS)[variant]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client = make_client()
         with ThreadPoolExecutor(settings.max_concurrency) as pool:
             for frame in frames:
-                rows = list(pool.map(lambda r: extract_one(client, PROMPTS[variant], r[0], r[1], settings, variant), zip(frame["record_id"], frame["text"])))
+                rows = list(pool.map(lambda r: extract_one(client, template, r[0], r[1], settings, variant), zip(frame["record_id"], frame["text"])))
                 yield pd.DataFrame(rows, columns=names)
 
     return todo.select("record_id", "text").mapInPandas(run, RESULT_SCHEMA)
@@ -328,26 +351,38 @@ def read_checkpoint(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RESULT_SCHEMA).json(path)
 
 
-def run_batch(spark: SparkSession, todo: DataFrame, make_client: Callable[[], Client], settings: Llm, path: str, variant: str | None = None, batch: int = 200, prior_spend: bool = False) -> float:
+#: Batches that share a folder of the written plan; a batch reads its folder only.
+WAVE_BATCHES = 64
+
+
+def run_batch(spark: SparkSession, todo: DataFrame, client: Client, settings: Llm, path: str, variant: str | None = None, batch: int = 200, prior_spend: bool = False, prompts: dict[str, str] | None = None) -> float:
     """Micro-batches appended to the log until all rows are done or the spend reaches the cap; returns the spend.
 
     The cap is looked at between batches: it is overshot by one batch at most. ``batch`` bounds that, so
-    small caps want small batches. Rows are bucketed by a hash of their id; nothing is collected but the sums.
+    small caps want small batches. Rows are bucketed by a hash of their id and written beside the log once, a
+    folder for so many batches, so that no batch reads the input again; nothing is collected but the sums.
     """
     variant = variant or settings.prompt_version
     spent = (read_checkpoint(spark, path).agg(F.sum("cost_usd")).first()[0] or 0.0) if prior_spend else 0.0
     n = todo.count()
     parts = max(1, -(-n // batch))
-    marked = todo.withColumn("_part", F.pmod(F.xxhash64(F.col("record_id").cast("string")), F.lit(parts)))
-    for part in range(parts):
-        if spent >= settings.max_spend_usd:
-            break
-        rows = extract_rows(marked.where(F.col("_part") == part), make_client, settings, variant).persist()
-        try:
-            rows.write.mode("append").json(path)
-            spent += rows.agg(F.sum("cost_usd")).first()[0] or 0.0
-        finally:
-            rows.unpersist()
+    part = F.pmod(F.xxhash64(F.col("record_id").cast("string")), F.lit(parts))
+    plan = f"{path.rstrip('/')}_plan_{uuid.uuid4().hex}"
+    marked = todo.select("record_id", "text", part.alias("_part"), F.floor(part / WAVE_BATCHES).alias("_wave"))
+    try:
+        marked.repartition("_wave", F.pmod("_part", F.lit(8))).write.partitionBy("_wave").parquet(plan)
+        for number in range(parts if n else 0):
+            if spent >= settings.max_spend_usd:
+                break
+            mine = spark.read.schema(f"record_id {dict(todo.dtypes)['record_id']}, text string, _part long, _wave long").parquet(plan).where((F.col("_wave") == number // WAVE_BATCHES) & (F.col("_part") == number))
+            rows = extract_rows(mine, client, settings, variant, prompts).persist()
+            try:
+                rows.write.mode("append").json(path)
+                spent += rows.agg(F.sum("cost_usd")).first()[0] or 0.0
+            finally:
+                rows.unpersist()
+    finally:
+        delete(spark, plan)
     return spent
 
 
@@ -355,11 +390,12 @@ def run_batch(spark: SparkSession, todo: DataFrame, make_client: Callable[[], Cl
 
 
 def run_summary(results: DataFrame) -> DataFrame:
-    """One row of totals over a result log."""
+    """One row of totals over a result log. The median is exact, by ranges where the log is long."""
+    median = F.lit(S.quantiles(results, F.col("latency_s"), [0.5])[0]).cast("double")
     return results.agg(
         F.count("*").alias("n"), F.count_if("ok").alias("n_ok"), F.count_if(~F.col("ok")).alias("n_failed"),
         F.coalesce(F.sum("input_tokens"), F.lit(0)).alias("input_tokens"), F.coalesce(F.sum("output_tokens"), F.lit(0)).alias("output_tokens"),
-        F.round(F.coalesce(F.sum("cost_usd"), F.lit(0.0)), 9).alias("spend_usd"), F.round(F.avg("latency_s"), 9).alias("mean_latency_s"), F.round(F.median("latency_s"), 9).alias("median_latency_s"),
+        F.round(F.coalesce(F.sum("cost_usd"), F.lit(0.0)), 9).alias("spend_usd"), F.round(F.avg("latency_s"), 9).alias("mean_latency_s"), F.round(F.max(median), 9).alias("median_latency_s"),
         F.coalesce(F.sum(F.greatest(F.lit(0), F.col("attempts") - 1)), F.lit(0)).cast("long").alias("retries"),
         F.round(F.try_divide(F.sum("cost_usd") * 1000, F.count("*")), 9).alias("usd_per_1k"),
     )

@@ -64,7 +64,7 @@ def change_tests(prevalence: DataFrame, settings: Stats, major: DataFrame | None
     """Early against late share of each (major) theme: z, p, q, significant, direction, interval of the late share."""
     counts = period_counts(prevalence)
     if major is not None:
-        counts = counts.join(F.broadcast(major.select("theme_id")), "theme_id", "left_semi")
+        counts = counts.join(major.select("theme_id"), "theme_id", "left_semi")
     counts = counts.where("early_total > 0 and late_total > 0")
     tested = counts.withColumn("_t", S.two_proportion(F.col("late"), F.col("late_total"), F.col("early"), F.col("early_total"))).withColumn("z", F.col("_t.z")).withColumn("p", F.col("_t.p")).drop("_t")
     tested = S.benjamini_hochberg(tested, "p", settings.fdr_alpha).withColumn("_ci", interval(F.col("late"), F.col("late_total"), settings))
@@ -75,7 +75,7 @@ def change_tests(prevalence: DataFrame, settings: Stats, major: DataFrame | None
 
 def change_findings(prevalence: DataFrame, summary: DataFrame, settings: Stats) -> DataFrame:
     major = summary.where(~F.col("is_outlier") & (F.col("n_docs") >= settings.min_theme_count_for_test))
-    tests = change_tests(prevalence, settings, major).join(F.broadcast(summary.select("theme_id", "label")), "theme_id", "left")
+    tests = change_tests(prevalence, settings, major).join(summary.select("theme_id", "label"), "theme_id", "left")
     label = F.coalesce("label", F.concat(F.lit("theme "), F.col("theme_id")))
     verb, word = F.when(F.col("late_share") > F.col("early_share"), "rose").otherwise("fell"), F.when(F.col("significant"), "a statistically significant").otherwise("no significant")
     said = F.concat(F.lit("Theme '"), label, F.lit("' "), verb, F.lit(" from "), _pct(F.col("early_share")), F.lit(" to "), _pct(F.col("late_share")), F.lit(" from the early to the late period: "), word, F.format_string(" change (z=%.2f, p=%.3f, q=%.3f).", "z", "p", "q"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.config import Predict
+from tidemark.functions import statistics as S
 
 
 def is_no(c: Column) -> Column:
@@ -32,8 +34,8 @@ def severity_rank(c: Column) -> Column:
 def time_split(df: DataFrame, test_fraction: float = 0.25, date_col: str = "date") -> DataFrame:
     """``df`` with ``split``: train up to the (1 - f) quantile of dates (ties included), test after it."""
     micros = F.unix_micros(F.col(date_col).cast("timestamp"))
-    cut = df.agg(F.percentile(micros, F.lit(1.0 - test_fraction)).alias("_cut"))
-    return df.crossJoin(F.broadcast(cut)).withColumn("split", F.when(micros <= F.col("_cut"), "train").otherwise("test")).drop("_cut")
+    cut = S.quantiles(df, micros, [1.0 - test_fraction])[0]
+    return df.withColumn("split", F.when(micros <= F.lit(cut).cast("double"), "train").otherwise("test"))
 
 
 def one_hot(df: DataFrame, column: str, prefix: str, levels: list[str] | None = None, limit: int = 1000) -> DataFrame:
@@ -98,14 +100,23 @@ def fit_logistic(train: DataFrame, features: list[str]):
     return Pipeline(stages=[StandardScaler(withMean=True, withStd=True, inputCol="features", outputCol="scaled"), LogisticRegression(featuresCol="scaled", labelCol="_y", weightCol="_w", regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=1000)]).fit(data)
 
 
-def fit_boosting(train: DataFrame, features: list[str], iterations: int = 300, rate: float = 0.05, seed: int = 42):
-    """Gradient boosted trees with balanced weights."""
+def fit_boosting(train: DataFrame, features: list[str], iterations: int = 300, rate: float = 0.05, seed: int = 42, balanced: bool = True):
+    """Gradient boosted trees, with balanced class weights or none."""
     from pyspark.ml.classification import GBTClassifier
 
-    return GBTClassifier(featuresCol="features", labelCol="_y", weightCol="_w", maxIter=iterations, stepSize=rate, maxDepth=5, seed=seed).fit(_balanced(_vectors(train, features)))
+    data = _vectors(train, features)
+    weight = {"weightCol": "_w"} if balanced else {}
+    return GBTClassifier(featuresCol="features", labelCol="_y", maxIter=iterations, stepSize=rate, maxDepth=5, seed=seed, **weight).fit(_balanced(data) if balanced else data)
+
+
+#: Backends by name, all on the engine's boosted trees; the last has no class weights.
+BOOSTERS = {"sklearn": fit_boosting, "gbt": fit_boosting, "lightgbm": fit_boosting, "xgboost": partial(fit_boosting, balanced=False)}
 
 
-BOOSTERS = {"sklearn": fit_boosting, "gbt": fit_boosting, "lightgbm": fit_boosting, "xgboost": fit_boosting}
+def booster(backend: str):
+    if backend not in BOOSTERS:
+        raise ValueError(f"unknown boosting backend {backend!r}; known: {sorted(BOOSTERS)}")
+    return BOOSTERS[backend]
 
 
 def scores(model, df: DataFrame, features: list[str]) -> DataFrame:
@@ -125,8 +136,8 @@ def _by_score(df: DataFrame, y: str, p: str) -> DataFrame:
 
 def _prefix(scored: DataFrame, order: Column, buckets: int = 512) -> DataFrame:
     """``scored`` with cpos and cneg, the sums of pos and neg before each row, by ranges: no task sorts everything."""
-    cuts = scored.agg(F.percentile_approx("p", [i / buckets for i in range(1, buckets)], 10_000).alias("cuts"))
-    ranged = scored.crossJoin(F.broadcast(cuts)).withColumn("_b", F.size(F.filter(F.array_distinct("cuts"), lambda c: c < F.col("p")))).drop("cuts")
+    cuts = scored.agg(S.range_cuts(F.col("p"), buckets).alias("cuts"))
+    ranged = scored.crossJoin(F.broadcast(cuts)).withColumn("_b", S.range_of(F.col("p"), F.col("cuts"), buckets)).drop("cuts")
     descending = "DESC" in str(order)
     by_bucket = F.desc("_b") if descending else F.asc("_b")
     before = Window.orderBy(by_bucket).rowsBetween(Window.unboundedPreceding, -1)
@@ -159,9 +170,10 @@ def brier_confusion(df: DataFrame, threshold: float = 0.5, y: str = "_y", p: str
 
 def calibration(df: DataFrame, bins: int = 10, y: str = "_y", p: str = "p") -> DataFrame:
     """(bin, n, prob_pred, prob_true) over quantile bins; empty bins are left out; no rows if there is one class."""
-    limits = df.agg(F.percentile(p, F.array(*[F.lit(i / bins) for i in range(bins + 1)])).alias("_q"), (F.countDistinct(y) > 1).alias("_both"))
-    inner = F.slice("_q", 2, bins - 1)
-    at = df.crossJoin(F.broadcast(limits)).where("_both").withColumn("bin", F.size(F.filter(inner, lambda e: e < F.col(p))))
+    edges = S.quantiles(df, F.col(p), [i / bins for i in range(1, bins)])
+    both = df.agg((F.min(y) < F.max(y)).alias("_both"))
+    inner = F.array(*[F.lit(e).cast("double") for e in edges])
+    at = df.crossJoin(F.broadcast(both)).where("_both").withColumn("bin", F.size(F.filter(inner, lambda e: e < F.col(p))))
     return at.groupBy("bin").agg(F.count("*").alias("n"), F.round(F.avg(p), 9).alias("prob_pred"), F.round(F.avg(F.col(y).cast("double")), 9).alias("prob_true"))
 
 

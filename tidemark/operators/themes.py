@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import statistics as S
 from tidemark.functions import text as T
 from tidemark.functions import vectors as V
 
@@ -19,17 +20,17 @@ def centroids(df: DataFrame, theme_col: str = "theme_id", vector_col: str = "emb
     return means.groupBy("theme_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("centroid"))
 
 
-def kmeans(df: DataFrame, k: int, seed: int = 42, restarts: int = 10, vector_col: str = "embedding", sample: int = 100_000) -> DataFrame:
-    """``df`` with theme_id and distance: the best of several k-means|| starts, tried on a bounded sample, then fitted on all."""
+def kmeans(df: DataFrame, k: int, seed: int = 42, restarts: int = 10, vector_col: str = "embedding") -> DataFrame:
+    """``df`` with theme_id and distance: the best of several k-means|| starts, each fitted on all rows."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     data = df.withColumn("_features", array_to_vector(F.transform(vector_col, lambda x: x.cast("double")))).cache()
     n = data.count()
     k = max(1, min(k, n))
-    probe = data.sample(min(1.0, sample / max(n, 1)), seed=seed) if n > sample else data
-    best = min(((KMeans(k=k, seed=seed + i, featuresCol="_features").fit(probe).summary.trainingCost, seed + i) for i in range(restarts)), default=(0.0, seed))[1]
-    model = KMeans(k=k, seed=best, featuresCol="_features", predictionCol="theme_id", maxIter=50).fit(data)
+    fits = [KMeans(k=k, seed=seed + i, featuresCol="_features", predictionCol="theme_id", maxIter=50).fit(data) for i in range(restarts)]
+    model = min(fits, key=lambda m: m.summary.trainingCost)
+    data.unpersist()
     centres = F.lit([[float(x) for x in c] for c in model.clusterCenters()])
     placed = model.transform(data).drop("_features")
     return placed.withColumn("distance", V.euclidean(F.col(vector_col), F.get(centres, F.col("theme_id"))))
@@ -37,18 +38,19 @@ def kmeans(df: DataFrame, k: int, seed: int = 42, restarts: int = 10, vector_col
 
 def outliers(df: DataFrame, quantile: float, distance_col: str = "distance", theme_col: str = "theme_id") -> DataFrame:
     """Farthest share of rows becomes theme -1; probability is 1 - distance / largest, also for outliers."""
-    limits = df.agg(F.percentile(distance_col, F.lit(1.0 - quantile)).alias("_cut"), F.max(distance_col).alias("_far"))
-    out = df.crossJoin(F.broadcast(limits))
+    cut = S.quantiles(df, F.col(distance_col), [1.0 - quantile])[0]
+    out = df.crossJoin(F.broadcast(df.agg(F.max(distance_col).alias("_far")))).withColumn("_cut", F.lit(cut).cast("double"))
     theme = F.when((F.lit(quantile) > 0) & (F.col(distance_col) > F.col("_cut")), F.lit(OUTLIER)).otherwise(F.col(theme_col))
     probability = F.when(F.col("_far") > 0, 1.0 - F.col(distance_col) / F.col("_far")).otherwise(F.lit(1.0))
     return out.withColumn("probability", probability).withColumn(theme_col, theme.cast("int")).drop("_cut", "_far")
 
 
 def density(df: DataFrame, min_cluster_size: int, min_samples: int, id_col: str = "record_id", vector_col: str = "embedding", components: int = 5) -> DataFrame:
-    """Density themes: PCA, blocked exact k-nearest neighbours, mutual reachability, single linkage, stable clusters.
+    """Density themes: PCA, mutual reachability, single linkage, stable clusters.
 
-    (id, theme_id, probability). Neighbour search is distributed; the linkage tree is built from the k-NN graph, which
-    has min_samples edges a row, on one worker: use it for samples up to ``DENSITY_ROWS`` rows.
+    (id, theme_id, probability). The linkage tree is built on one worker, from at most ``DENSITY_ROWS`` rows, the first
+    by a hash of the id. Of more rows, each of the others takes the theme of its nearest fitted row if it lies
+    no further from it than that row's own core distance or the largest of its theme, and is an outlier else.
     """
     import numpy as np
     import pandas as pd
@@ -56,8 +58,6 @@ def density(df: DataFrame, min_cluster_size: int, min_samples: int, id_col: str
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     n = df.count()
-    if n > DENSITY_ROWS:
-        raise ValueError(f"{n} rows; density themes take at most {DENSITY_ROWS}: cluster a sample, or use kmeans")
     data = df.select(F.col(id_col).alias("id"), array_to_vector(F.transform(vector_col, lambda x: x.cast("double"))).alias("v"))
     if n > components + 1 and len(df.first()[vector_col]) > components:
         centred = StandardScaler(withMean=True, withStd=False, inputCol="v", outputCol="c").fit(data).transform(data)
@@ -70,10 +70,33 @@ def density(df: DataFrame, min_cluster_size: int, min_samples: int, id_col: str
         if frame.empty:
             return
         x = np.stack(frame["v"].to_numpy())
-        labels, strength = _condense(x, min_cluster_size, min_samples)
-        yield pd.DataFrame({"id": frame["id"], "theme_id": labels, "probability": strength})
-
-    return points.coalesce(1).mapInPandas(cluster, f"id {kind}, theme_id int, probability double").withColumnRenamed("id", id_col)
+        labels, strength, core = _condense(x, min_cluster_size, min_samples)
+        yield pd.DataFrame({"id": frame["id"], "theme_id": labels, "probability": strength, "core": core, "v": list(x)})
+
+    fitted = points.orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(DENSITY_ROWS)
+    found = fitted.coalesce(1).mapInPandas(cluster, f"id {kind}, theme_id int, probability double, core double, v array<double>")
+    if n <= DENSITY_ROWS:
+        return found.select(F.col("id").alias(id_col), "theme_id", "probability")
+    known = found.select("theme_id", "core", "v").toPandas()  # at most DENSITY_ROWS rows of a few components
+    themes, core = known["theme_id"].to_numpy(), known["core"].to_numpy()
+    reach = np.array([max(c, core[themes == t].max()) if t >= 0 else 0.0 for t, c in zip(themes, core)])
+    shared = df.sparkSession.sparkContext.broadcast((np.stack(known["v"].to_numpy()), themes, core, reach))
+
+    def nearest(frames):
+        y, themes, core, reach = shared.value
+        squares = (y * y).sum(axis=1)
+        for frame in frames:
+            for at in range(0, len(frame), 512):
+                part = frame.iloc[at : at + 512]
+                x = np.stack(part["v"].to_numpy())
+                d = np.sqrt(np.maximum(0, (x * x).sum(axis=1)[:, None] + squares[None] - 2 * x @ y.T))
+                best = d.argmin(axis=1)
+                apart = d[np.arange(len(x)), best]
+                inside = (themes[best] >= 0) & (apart <= reach[best])
+                strength = np.where(inside, np.minimum(1.0, core[best] / np.maximum(np.maximum(apart, core[best]), 1e-12)), 0.0)
+                yield pd.DataFrame({"id": part["id"], "theme_id": np.where(inside, themes[best], OUTLIER).astype("int32"), "probability": strength})
+
+    return points.mapInPandas(nearest, f"id {kind}, theme_id int, probability double").withColumnRenamed("id", id_col)
 
 
 DENSITY_ROWS = 20_000
@@ -120,7 +143,7 @@ def _condense(x, min_cluster_size: int, min_samples: int):
         top[ra] = n + len(left) - 1
     labels, strength = np.full(n, OUTLIER), np.zeros(n)
     if n == 1 or not edges:
-        return labels, strength
+        return labels, strength, core
 
     def members(node):
         stack, out = [node], []
@@ -172,7 +195,7 @@ def _condense(x, min_cluster_size: int, min_samples: int):
         labels[rows] = label
         inner = 1.0 / np.maximum(core[rows], 1e-12)
         strength[rows] = inner / inner.max()
-    return labels, strength
+    return labels, strength, core
 
 
 def ctfidf(docs: DataFrame, theme: Column, text: Column, top_n: int = 10, stop_words: list[str] | None = None) -> DataFrame:
@@ -186,7 +209,7 @@ def ctfidf(docs: DataFrame, theme: Column, text: Column, top_n: int = 10, stop_w
     words = counts.groupBy("theme_id").agg(F.sum("tc").alias("wc"))
     overall = counts.groupBy("term").agg(F.sum("tc").alias("ft"))
     mean = words.agg((F.sum("wc") / F.count("*")).alias("a"))
-    scored = counts.join(F.broadcast(words), "theme_id").join(overall, "term").crossJoin(F.broadcast(mean))
+    scored = counts.join(words, "theme_id").join(overall, "term").crossJoin(F.broadcast(mean))
     scored = scored.select("theme_id", "term", F.round(F.col("tc") / F.col("wc") * F.log1p(F.col("a") / F.col("ft")), 9).alias("score")).where("score > 0")
     rank = F.row_number().over(Window.partitionBy("theme_id").orderBy(F.desc("score"), "term"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= top_n)
@@ -213,10 +236,10 @@ def summary(assigned: DataFrame, keywords: DataFrame, examples: DataFrame | None
     counts = assigned.groupBy("theme_id").agg(F.count("*").alias("n_docs"))
     total = counts.agg(F.sum("n_docs").alias("_total"))
     words = keywords.groupBy("theme_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "term"))), lambda s: s["term"]).alias("keywords"))
-    out = counts.join(F.broadcast(words), "theme_id", "left").crossJoin(F.broadcast(total))
+    out = counts.join(words, "theme_id", "left").crossJoin(F.broadcast(total))
     kw = F.coalesce("keywords", F.array().cast("array<string>"))
     named = F.when(F.size(kw) > 0, F.array_join(F.slice(kw, 1, 4), ", ")).otherwise(F.concat(F.lit("theme "), F.col("theme_id")))
     out = out.select("theme_id", F.when(F.col("theme_id") == OUTLIER, OUTLIER_LABEL).otherwise(named).alias("label"), kw.alias("keywords"), "n_docs", F.round(F.col("n_docs") / F.col("_total"), 9).alias("share"), (F.col("theme_id") == OUTLIER).alias("is_outlier"))
     if examples is not None:
-        out = out.join(F.broadcast(examples), "theme_id", "left").withColumn("examples", F.coalesce("examples", F.array().cast("array<string>")))
+        out = out.join(examples, "theme_id", "left").withColumn("examples", F.coalesce("examples", F.array().cast("array<string>")))
     return out.orderBy(F.desc("n_docs"), "theme_id")

@@ -11,11 +11,11 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.config import Config, load_config
+from tidemark.config import Config, load_config, load_dotenv
 from tidemark.functions import statistics as S
 from tidemark.operators import embed, extract, findings, ingest, predict, themes
 from tidemark.plans import report
-from tidemark.sources import readers, sinks
+from tidemark.sources import readers, samples, sinks
 
 
 def session() -> SparkSession:
@@ -27,12 +27,13 @@ def _at(config: Config, name: str) -> str:
 
 
 def run_ingest(spark: SparkSession, config: Config, full: bool = False) -> None:
-    raw = ingest.standardize(readers.read_source(spark, config, full), config.columns, config.ingest.strip_company)
+    # Written first: the order of arrival is then the same each time, and no file is parsed twice.
+    sinks.write_parquet(ingest.standardize(readers.read_source(spark, config, full), config.columns, config.ingest.strip_company), _at(config, "standardized.parquet"))
+    raw = readers.read_parquet(spark, _at(config, "standardized.parquet"))
     clean = ingest.clean_records(raw, config.ingest)
     sinks.write_parquet(clean.drop("_ord"), _at(config, "records.parquet"))
     records = readers.read_parquet(spark, _at(config, "records.parquet"))
-    dated = ingest.with_dates(raw, ingest.D.parse_date(F.col("_raw_date").cast("string")))
-    funnel = ingest.quality_funnel(raw.join(dated.select("_ord", F.lit(True).alias("_ok")), "_ord", "left"), config.ingest, F.col("_ok").isNotNull())
+    funnel = ingest.quality_funnel(raw, config.ingest, ingest.D.parse_date(F.col("_raw_date").cast("string")).isNotNull())
     text = report.quality_report(funnel, ingest.null_rates(records, records.columns), ingest.distribution(records, "category"), ingest.coverage(records), config.paths.raw_csv if full else config.paths.sample_csv)
     sinks.write_text(f"{config.paths.reports_dir}/data_quality.md", text)
 
@@ -80,28 +81,28 @@ def run_themes(spark: SparkSession, config: Config) -> None:
 
 def run_extract(spark: SparkSession, config: Config, dry_run: bool = False, yes: bool = False, url: str = "", ask=input) -> float:
     records = readers.read_parquet(spark, _at(config, "records.parquet"))
-    log = _at(config, "extractions")
-    sample = extract.sample_records(records, config.llm.max_records, config.seed)
+    settings, log = config.llm, _at(config, "extractions")
+    client, prompts = extract.get_client(settings, dry_run, url), extract.load_prompts(config.paths.prompts_dir)
+    sample = extract.sample_records(records, settings.max_records, config.seed)
     todo = extract.remaining(sample, extract.read_checkpoint(spark, log))
-    prompts = todo.withColumn("prompt", extract.T.fill_prompt(extract.PROMPTS[config.llm.prompt_version], config.llm.controlled_vocab, F.col("text")))
+    filled = todo.withColumn("prompt", extract.T.fill_prompt(prompts[settings.prompt_version], settings.controlled_vocab, F.col("text")))
     n = todo.count()
-    estimate = extract.estimate_cost(prompts, n, config.llm).first()["estimate_usd"]
+    estimate = extract.estimate_cost(filled, n, settings, order_col=extract.sample_order(F.col("record_id"), config.seed)).first()["estimate_usd"]
     if not (dry_run or yes) and ask(f"{n} records, about ${estimate:.2f}. Go on? [y/N] ").strip().lower() not in ("y", "yes"):
         return 0.0
-    settings, mock = config.llm, dry_run
-    spent = extract.run_batch(spark, todo, lambda: extract.get_client(settings, mock, url), settings, log)
+    spent = extract.run_batch(spark, todo, client, settings, log, prompts=prompts)
     sinks.write_text(f"{config.paths.reports_dir}/run_summary.md", report.run_report(extract.run_summary(extract.read_checkpoint(spark, log)), dry_run))
     return spent
 
 
 def run_evaluation(spark: SparkSession, config: Config, dry_run: bool = True, gold_path: str | None = None, url: str = "") -> dict:
     gold = readers.read_gold(spark, gold_path or config.paths.gold_csv)
-    settings = config.llm
+    client, prompts = extract.get_client(config.llm, dry_run, url), extract.load_prompts(config.paths.prompts_dir)
     rows = None
-    for variant in extract.PROMPTS:
-        made = extract.extract_rows(gold, lambda: extract.get_client(settings, dry_run, url), settings, variant)
+    for variant in sorted(prompts):
+        made = extract.extract_rows(gold, client, config.llm, variant, prompts)
         rows = made if rows is None else rows.unionByName(made)
-    predicted = rows.withColumn("record_id", F.col("record_id").cast("long")).cache()
+    predicted = rows.withColumn("record_id", F.col("record_id").cast(gold.schema["record_id"].dataType)).cache()
     evaluated = extract.evaluate(predicted, gold)
     cost = predicted.groupBy("variant").agg(F.avg("latency_s").alias("mean_latency_s"), (F.avg("cost_usd") * 1000).alias("cost_per_1k"))
     best = extract.winner(evaluated).join(cost, "variant").first().asDict()
@@ -131,7 +132,7 @@ def run_predict(spark: SparkSession, config: Config) -> dict:
     sinks.write_parquet(wide, _at(config, "features.parquet"))
     train, test = wide.where("split = 'train'"), wide.where("split = 'test'")
     metrics: dict = {"target": config.predict.target, "base_rate": wide.agg(F.avg("_y")).first()[0], "n_train": train.count(), "n_test": test.count()}
-    models = {"logistic": predict.fit_logistic(train, features), "boosting": predict.fit_boosting(train, features)}
+    models = {"logistic": predict.fit_logistic(train, features), "boosting": predict.booster(config.predict.backend)(train, features, config.predict.boosting_iterations)}
     for name, model in models.items():
         scored = predict.scores(model, test, features).cache()
         metrics[name] = {**predict.roc_auc(scored).first().asDict(), **predict.average_precision(scored).first().asDict(), **predict.brier_confusion(scored, config.predict.threshold).first().asDict(), "calibration": [r.asDict() for r in predict.calibration(scored).orderBy("bin").collect()]}
@@ -170,11 +171,27 @@ def run_report(spark: SparkSession, config: Config) -> str:
     return text
 
 
-def run_all(spark: SparkSession, config: Config, dry_run: bool = False, full: bool = False) -> None:
+def run_sample(spark: SparkSession, config: Config, rows: int = 3000) -> None:
+    """Write a stratified sample of the full file as the sample file; where there is no full file, synthetic records."""
+    c = config.columns
+    if readers.exists(spark, config.paths.raw_csv):
+        made = samples.build_sample(readers.read_csv(spark, config.paths.raw_csv), c.text_column, c.category_column, c.id_column, rows, config.seed)
+    else:
+        made = samples.synthesize(spark, rows, config.seed)
+    sinks.write_csv(made, config.paths.sample_csv)
+
+
+def run_gold(spark: SparkSession, config: Config, n: int = 80, auto: bool = False, mapping: dict[str, str] | None = None) -> None:
+    """Write n records as a gold file, to be labelled by a person or, with ``auto``, by rule."""
+    records = readers.read_parquet(spark, _at(config, "records.parquet"))
+    sinks.write_csv(samples.build_gold(records, n, mapping or {}, auto, config.seed), config.paths.gold_csv)
+
+
+def run_all(spark: SparkSession, config: Config, dry_run: bool = False, full: bool = False, url: str = "") -> None:
     run_ingest(spark, config, full)
     run_embed(spark, config)
     run_themes(spark, config)
-    run_extract(spark, config, dry_run, yes=True)
+    run_extract(spark, config, dry_run, yes=True, url=url)
     run_predict(spark, config)
     run_stats(spark, config)
     run_report(spark, config)
@@ -182,8 +199,9 @@ def run_all(spark: SparkSession, config: Config, dry_run: bool = False, full: bo
 
 COMMANDS = {
     "ingest": lambda s, c, a: run_ingest(s, c, a.full), "embed": lambda s, c, a: run_embed(s, c), "themes": lambda s, c, a: run_themes(s, c),
-    "extract": lambda s, c, a: run_extract(s, c, a.dry_run, a.yes), "evaluate": lambda s, c, a: run_evaluation(s, c, a.dry_run), "predict": lambda s, c, a: run_predict(s, c),
-    "stats": lambda s, c, a: run_stats(s, c), "report": lambda s, c, a: run_report(s, c), "run": lambda s, c, a: run_all(s, c, a.dry_run, a.full),
+    "extract": lambda s, c, a: run_extract(s, c, a.dry_run, a.yes, a.url), "evaluate": lambda s, c, a: run_evaluation(s, c, a.dry_run, url=a.url), "predict": lambda s, c, a: run_predict(s, c),
+    "stats": lambda s, c, a: run_stats(s, c), "report": lambda s, c, a: run_report(s, c), "run": lambda s, c, a: run_all(s, c, a.dry_run, a.full, a.url),
+    "sample": lambda s, c, a: run_sample(s, c, a.rows), "gold": lambda s, c, a: run_gold(s, c, a.rows, a.auto),
 }
 
 
@@ -191,13 +209,17 @@ def build_parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="tidemark", description="Customer feedback analytics on Spark")
     parser.add_argument("command", choices=list(COMMANDS))
     parser.add_argument("--config", default="config/config.yaml")
-    for flag in ("--dry-run", "--full", "--yes"):
+    parser.add_argument("--url", default="", help="endpoint of a live extraction or evaluation")
+    parser.add_argument("--rows", type=int, default=3000, help="rows of a sample or gold file")
+    for flag in ("--dry-run", "--full", "--yes", "--auto"):
         parser.add_argument(flag, action="store_true")
     return parser
 
 
 def main(argv: Sequence[str] | None = None) -> int:
     args = build_parser().parse_args(argv)
+    load_dotenv(Path(args.config).resolve().parent.parent / ".env")
+    load_dotenv(".env")
     COMMANDS[args.command](session(), load_config(args.config), args)
     return 0
 

@@ -201,7 +201,7 @@ def outlier_rule(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def kmeans_themes(spark: SparkSession, d: str) -> DataFrame:
-    placed = themes.kmeans(table(spark, d, "embeddings"), 8, restarts=3)
+    placed = themes.kmeans(table(spark, d, "embeddings"), 8)
     return themes.outliers(placed, 0.05).select("vec_id", "theme_id", "probability")
 
 
@@ -236,7 +236,7 @@ def hash_embed_md5(spark: SparkSession, d: str) -> DataFrame:
 def hashing_embedder(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("record_id"), "text")
     made = embed.embed_records(spark, docs, embed.HashingEmbedder(256))
-    return made.select("record_id", F.size("embedding").alias("dim"), F.round(V.norm(F.col("embedding")), 4).alias("norm"))
+    return made.select("record_id", F.posexplode("embedding").alias("pos", "x")).where("x <> 0").withColumn("x", F.round(F.col("x").cast("double"), 6))
 
 
 @query("""WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0) SELECT vec_id, label, greatest(round(1 - list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]), 6), 0) AS distance FROM embeddings, q ORDER BY distance, vec_id LIMIT 10""")
@@ -422,7 +422,7 @@ def calibration_bins(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _modelled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, list[str]]:
-    data = predict.time_split(_featured(spark, d)).cache()
+    data = predict.time_split(_featured(spark, d))
     names = [c for c in data.columns if c.split("_")[0] in ("cat", "iss", "sent", "theme") and c not in ("theme_id",)] + ["text_length", "n_tokens", "severity_rank"]
     plain = {c: c.replace("-", "m") for c in names}
     for a, b in plain.items():
@@ -451,7 +451,7 @@ def permutation_importance(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def pca_features(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embeddings")
-    return predict.pca_features(v.where("vec_id % 4 <> 0"), v, 16).select("vec_id", F.size("pca").alias("n_components"))
+    return predict.pca_features(v.where("vec_id % 4 <> 0"), v, 16).select("vec_id", F.posexplode("pca").alias("pos", "x")).withColumn("x", F.round("x", 6))
 
 
 # Statistics.

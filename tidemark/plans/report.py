@@ -64,24 +64,21 @@ def statistics_report(payload: dict) -> str:
 
 
 def headlines(findings: list[dict], metrics: dict | None) -> list[str]:
-    """The biggest theme, the surest mover, the model, and negative sentiment."""
-    out = []
-    shares = [f for f in findings if f["kind"] == "prevalence"]
-    if shares:
-        top = max(shares, key=lambda f: f["estimate"])
-        out.append(f"Largest theme: **{top['label']}**, {pct(top['estimate'])} of records (95% CI {pct(top['ci_low'])}–{pct(top['ci_high'])}).")
-    movers = [f for f in findings if f["kind"] == "change" and f.get("significant")]
-    if movers:
-        m = min(movers, key=lambda f: f["p_corrected"])
-        out.append(f"{'📈' if m['direction'] == 'emerging' else '📉'} **{m['label']}** is {m['direction']} (q = {m['p_corrected']:.3f}).")
-    else:
-        out.append("No theme changed significantly between the periods.")
-    if metrics and metrics.get("boosting", {}).get("roc_auc") is not None:
-        out.append(f"The outcome model reaches a ROC-AUC of {metrics['boosting']['roc_auc']:.3f} on later records.")
-    negative = next((f for f in findings if f["label"] == "sentiment: negative"), None)
-    if negative:
-        out.append(f"{pct(negative['estimate'])} of analysed records are negative.")
-    return out
+    """One line each for prevalence, change, the model and mood, as far as there is something to say."""
+    best: dict[str, dict] = {}
+    for f in findings:
+        rank = {"prevalence": f["estimate"], "change": -(f.get("p_corrected") or 0.0) if f.get("significant") else None, "sentiment": 0.0 if f["label"].endswith(": negative") else None}[f["kind"]]
+        if rank is not None and (f["kind"] not in best or rank > best[f["kind"]]["rank"]):
+            best[f["kind"]] = f | {"rank": rank}
+    auc = ((metrics or {}).get("boosting") or {}).get("roc_auc")
+    theme, mover, mood = (best.get(kind) for kind in ("prevalence", "change", "sentiment"))
+    lines = [
+        theme and f"**{theme['label']}** is the theme of {pct(theme['estimate'])} of records (between {pct(theme['ci_low'])} and {pct(theme['ci_high'])}).",
+        f"{dict(emerging='📈', fading='📉').get(mover['direction'], '')} **{mover['label']}**: {mover['direction']}, corrected p {mover['p_corrected']:.3f}." if mover else "Between the two periods no theme's share changed significantly.",
+        auc is not None and f"On records after the split the outcome model's ROC-AUC is {auc:.3f}.",
+        mood and f"{pct(mood['estimate'])} of analysed records are negative.",
+    ]
+    return [line for line in lines if line]
 
 
 def insight_report(payload: dict, metrics: dict | None, charts: dict[str, bool]) -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.config import Config
-from tidemark.operators.extract import PROMPTS, RESULT_SCHEMA, SYSTEM_PROMPT
+from tidemark.operators.extract import RESULT_SCHEMA, SYSTEM_PROMPT, load_prompts
 
 #: What the CSV reader of the original files took for missing.
 NULL_WORDS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
@@ -78,8 +78,9 @@ def read_json(spark: SparkSession, path: str, required: bool = True) -> dict | N
     return json.loads("\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect()))
 
 
-def load_prompt(version: str) -> tuple[str, str]:
-    """(system prompt, template) of a version."""
-    if version not in PROMPTS:
-        raise ValueError(f"unknown prompt version {version!r}; known: {sorted(PROMPTS)}")
-    return SYSTEM_PROMPT, PROMPTS[version]
+def load_prompt(version: str, folder: str | None = None) -> tuple[str, str]:
+    """(system prompt, template) of a version; files of the folder go before the built-in texts."""
+    known = load_prompts(folder)
+    if version not in known:
+        raise ValueError(f"unknown prompt version {version!r}; known: {sorted(known)}")
+    return SYSTEM_PROMPT, known[version]

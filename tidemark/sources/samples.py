@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.extract import ESCALATION_WORDS, contains_any, sample_order
+from tidemark.operators.extract import ESCALATION_WORDS, contains_any, sample_order, sample_records
 
 
 def stratified(df: DataFrame, column: str, fraction: float, seed: int = 42, id_col: str = "record_id") -> DataFrame:
@@ -18,8 +18,8 @@ def stratified(df: DataFrame, column: str, fraction: float, seed: int = 42, id_c
     sizes = marked.groupBy(column, "_slice").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(column).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = sizes.select(column, "_slice", before.alias("_before"), F.rint(F.sum("_n").over(Window.partitionBy(column)) * F.lit(fraction)).alias("_take"))
-    # 256 slices a stratum: a small table whatever the input.
-    ranked = marked.join(F.broadcast(sizes), (marked[column].eqNullSafe(sizes[column])) & (marked["_slice"] == sizes["_slice"])).select(marked["*"], "_before", "_take")
+    # 256 slices a stratum; how it is joined is left to the engine, as strata may be many.
+    ranked = marked.join(sizes, (marked[column].eqNullSafe(sizes[column])) & (marked["_slice"] == sizes["_slice"])).select(marked["*"], "_before", "_take")
     rank = F.row_number().over(Window.partitionBy(column, "_slice").orderBy("_h", id_col))
     return ranked.withColumn("_r", F.col("_before") + rank).where(F.col("_r") <= F.col("_take")).select(*df.columns)
 
@@ -29,6 +29,17 @@ def usable_narratives(df: DataFrame, text_col: str) -> DataFrame:
     return df.where(F.trim(F.coalesce(F.col(text_col), F.lit(""))) != "")
 
 
+def build_sample(raw: DataFrame, text_col: str, category_col: str, id_col: str, rows: int, seed: int = 42) -> DataFrame:
+    """About ``rows`` rows with a narrative, each category with its share of them; all if there are fewer."""
+    usable = usable_narratives(raw, text_col)
+    n = usable.count()
+    return usable if n <= rows else stratified(usable, category_col, rows / n, seed, id_col)
+
+
+def build_gold(records: DataFrame, n: int, mapping: dict[str, str], auto: bool = False, seed: int = 42) -> DataFrame:
+    """n records with the columns of a gold file, in the order of a seeded hash; labelled by rule, or left to a person."""
+    chosen = sample_records(records.select("record_id", "text", "category"), n, seed)
+    return label_gold(chosen, "text", "category", mapping, auto).drop("category")
 
 
 def label_gold(df: DataFrame, text_col: str, category_col: str, mapping: dict[str, str], auto: bool = True) -> DataFrame:

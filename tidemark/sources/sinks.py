@@ -17,6 +17,11 @@ def append_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def write_csv(df: DataFrame, path: str) -> None:
+    """Quoted CSV with a header, as ``read_csv`` reads it."""
+    df.write.mode("overwrite").options(header=True, escape='"', quoteAll=True).csv(path)
+
+
 def write_text(path: str, text: str) -> None:
     """A report of bounded size."""
     target = Path(path)
