@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -10,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.checkpoints import ensure_checkpoint_dir, materialize  # noqa: F401
+
 #: Bytes of one Arrow batch sent to a Python worker; bounds a worker's memory however long the texts are.
 BATCH_BYTES = 4 << 20
 
@@ -19,21 +20,6 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder from spark.checkpoint.dir; only where it is unset (tests) make one."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    configured = sc.getConf().get("spark.checkpoint.dir")
-    sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage into the shared checkpoint folder, where a lost executor's part can be read again."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def map_rows(df: DataFrame, row_fn_factory, schema: str) -> DataFrame:
     """Apply a row function to ``df`` in Arrow batches.
 
