@@ -37,3 +37,21 @@ def test_pipeline(spark, tmp_path):
     for i, r in seen["byte_bpe"].items():
         assert r["ids"] == library.encode_ordinary(seen["secret_scan"][i]["text"] or "")
     assert {r["doc_id"] for r in pipeline.run(spark, str(tmp_path)).collect()} == set(seen["byte_bpe"])
+
+
+def test_stages_take_empty_tables_nulls_repeats_and_extra_columns(spark, tmp_path):
+    extra = ["random", "tested", "score", "ids", "_spans", "row", "fp"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in extra)
+    rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (2, "a plain text of some words", "en", "s", 26), (2, "a plain text of some words", "en", "s", 26), (3, "word " * 20_000, None, None, None)]
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for made, want in ((rows, 3), ([], 0)):
+        docs = spark.createDataFrame([(*r, *extra) for r in made], schema)
+        columns = docs.columns
+        for name, stage in pipeline.STAGES:
+            docs = stage(spark, docs, str(tmp_path))
+            out = f"{tmp_path}/{want}/{name}"
+            docs.write.parquet(out)
+            docs = spark.read.parquet(out)
+            assert name == "byte_bpe" or docs.columns == columns
+        assert docs.count() == want
