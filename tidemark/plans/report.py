@@ -65,13 +65,11 @@ def statistics_report(payload: dict) -> str:
 
 def headlines(findings: list[dict], metrics: dict | None) -> list[str]:
     """One line each for prevalence, change, the model and mood, as far as there is something to say."""
-    best: dict[str, dict] = {}
-    for f in findings:
-        rank = {"prevalence": f["estimate"], "change": -(f.get("p_corrected") or 0.0) if f.get("significant") else None, "sentiment": 0.0 if f["label"].endswith(": negative") else None}[f["kind"]]
-        if rank is not None and (f["kind"] not in best or rank > best[f["kind"]]["rank"]):
-            best[f["kind"]] = f | {"rank": rank}
+    by_kind = {kind: [f for f in findings if f["kind"] == kind] for kind in ("prevalence", "change", "sentiment")}
+    theme = next(iter(sorted(by_kind["prevalence"], key=lambda f: -f["estimate"])), None)
+    mover = next(iter(sorted((f for f in by_kind["change"] if f.get("significant")), key=lambda f: f["p_corrected"])), None)
+    mood = next((f for f in by_kind["sentiment"] if f["label"].endswith(": negative")), None)
     auc = ((metrics or {}).get("boosting") or {}).get("roc_auc")
-    theme, mover, mood = (best.get(kind) for kind in ("prevalence", "change", "sentiment"))
     lines = [
         theme and f"**{theme['label']}** is the theme of {pct(theme['estimate'])} of records (between {pct(theme['ci_low'])} and {pct(theme['ci_high'])}).",
         f"{dict(emerging='📈', fading='📉').get(mover['direction'], '')} **{mover['label']}**: {mover['direction']}, corrected p {mover['p_corrected']:.3f}." if mover else "Between the two periods no theme's share changed significantly.",
