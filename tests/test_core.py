@@ -31,8 +31,8 @@ def test_text(spark):
     assert stripped == "charged me an unauthorized fee on my card"
     assert value(spark, T.strip_company(F.lit("bank of america is slow"), F.lit("BANK OF AMERICA, N.A."))) == "bank of is slow"
     assert value(spark, T.strip_company(F.lit("as it was"), F.lit(None).cast("string"))) == "as it was"
-    assert value(spark, T.embed_tokens(F.lit("One two, three"))) == ["one", "two", "three", "one_two", "two_three"]
-    assert value(spark, T.embed_tokens(F.lit("One"))) == ["one"] and value(spark, T.embed_tokens(F.lit(""))) == []
+    assert value(spark, T.with_pairs(T.embed_words(F.lit("One two, three")))) == ["one", "two", "three", "one_two", "two_three"]
+    assert value(spark, T.with_pairs(T.embed_words(F.lit("One")))) == ["one"] and value(spark, T.with_pairs(T.embed_words(F.lit("")))) == []
     assert value(spark, T.narrative_of(F.lit("RECORD: x\nRECORD:\n it is \n"))) == "it is"
 
 

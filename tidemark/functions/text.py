@@ -82,9 +82,13 @@ def canonical_form(text: Column) -> Column:
     return F.trim(F.regexp_replace(casefold(F.coalesce(text.cast("string"), F.lit(""))), "[^a-z0-9]+", " "))
 
 
-def embed_tokens(text: Column) -> Column:
-    """Tokens [a-z0-9]+ of the lower-cased text, then neighbouring pairs joined by an underscore."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+def embed_words(text: Column) -> Column:
+    """Tokens [a-z0-9]+ of the lower-cased text."""
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+
+
+def with_pairs(words: Column) -> Column:
+    """Tokens, then neighbouring pairs joined by an underscore. ``words`` should be a column: it is named several times."""
     n = F.size(words)
     pairs = F.when(n > 1, F.zip_with(F.slice(words, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(words, F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit("_"), b))).otherwise(F.array().cast("array<string>"))
     return F.concat(words, pairs)

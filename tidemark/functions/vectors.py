@@ -47,7 +47,8 @@ def md5_bucket(token: Column, dim: int) -> Column:
 
 def hashed_counts(docs: DataFrame, id_col: str, text_col: str, dim: int) -> DataFrame:
     """(id, bucket, n) of the text's tokens and pairs."""
-    exploded = docs.select(id_col, F.explode(T.embed_tokens(F.col(text_col))).alias("token"))
+    words = docs.select(id_col, T.embed_words(F.col(text_col)).alias("words"))
+    exploded = words.select(id_col, F.explode(T.with_pairs(F.col("words"))).alias("token"))
     return exploded.groupBy(id_col, md5_bucket(F.col("token"), dim).alias("bucket")).agg(F.count("*").alias("n"))
 
 

@@ -43,6 +43,12 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(need(spark, path))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer splits than there are cores, dealt to all of them; any other as it is. For work that costs far more than moving its rows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_gold(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path, GOLD_SCHEMA)
 
