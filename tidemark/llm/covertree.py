@@ -4,7 +4,7 @@ Unit vectors with cosine >= c lie within Euclidean distance sqrt(2 - 2c). Vector
 only inside their group (label and length). Equal vectors are collapsed first.
 
 The upper levels of a group's tree are distributed. A cell (at first the group) over ``BLOCK_ROWS``
-vectors takes ``PIVOTS`` of its vectors, the first by hash, as centres; every vector goes to the nearest, the
+vectors takes some of its vectors, the first by hash, as centres, about as many as it holds blocks; every vector goes to the nearest, the
 centres' cells get their true covering radii, and cells still too large are split again. Rows of a large
 cell are dealt by hash, the centres going along to each part. The dual traversal starts at the pair
 (group, group) and goes down level by level: a pair of cells stays only if d(p, q) <= r_p + r_q + reach, and
@@ -34,12 +34,14 @@ from tidemark.llm.common import bound_batches, connected_components, forest, mat
 
 THRESHOLD = 0.93
 BLOCK_ROWS = 2048
-#: Centres of a cell that is split.
-PIVOTS = 64
+#: Centres of a cell that is split: as many as it holds blocks, within these limits.
+LEAST_PIVOTS, MOST_PIVOTS = 4, 64
 #: Rows of a cell that one task compares with the centres.
 PART_ROWS = 16_384
 #: Leaves are compared directly below this many members of a node.
 LEAF_ROWS = 32
+#: Rows that are looked at together as the next centres of a node's children.
+CENTRES = 64
 #: Node pairs looked at together, which bounds a traversal's memory.
 FRONTIER = 1 << 15
 #: Distances of centres worked out at a time.
@@ -92,16 +94,26 @@ class CoverTree:
                 continue
             while level / 2 >= self.radius[node]:
                 level /= 2
-            half, rest = level / 2, rows
+            half = level / 2
+            near = (distances <= half) | (rows == centre)
+            self._child(node, rows[near], centre, distances[near], half, stack)
+            rest = rows[~near]
             while len(rest):
-                near = (distances <= half) | (rest == centre)
-                child = self._add(rest[near], centre, distances[near])
-                self.children[node].append(child)
-                stack.append((child, distances[near], half))
-                rest = rest[~near]
-                if len(rest):
-                    centre = int(rest[0])
-                    distances = _distance(self.x[rest], self.x[centre])
+                # Distances to the next few that may become centres, at once; then one after the other.
+                apart = _distance(self.x[rest], self.x[rest[:CENTRES]].T)
+                free = np.ones(len(rest), dtype=bool)
+                for i in range(apart.shape[1]):
+                    if free[i]:
+                        near = free & (apart[:, i] <= half)
+                        near[i] = True
+                        self._child(node, rest[near], int(rest[i]), apart[near, i], half, stack)
+                        free &= ~near
+                rest = rest[free]
+
+    def _child(self, node: int, members: np.ndarray, centre: int, distances: np.ndarray, half: float, stack: list) -> None:
+        child = self._add(members, centre, distances)
+        self.children[node].append(child)
+        stack.append((child, distances, half))
 
     def __len__(self) -> int:
         return len(self.centre)
@@ -216,7 +228,7 @@ def _matrix(column) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1)
 
 
-def _split(work: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _split(work: DataFrame, sizes: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
     """Rows of the cells in ``sizes`` (cell, n) in their cells' children; (cell, parent, centre, r, n) of the children.
 
     ``work``: cell, node, weight, v.
@@ -224,7 +236,7 @@ def _split(work: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
     vector = dict(work.dtypes)["v"]
     big = work.join(sizes, "cell")
     first = Window.partitionBy("cell").orderBy(F.xxhash64("cell", "v"), "node")
-    pivots = materialize(big.select("cell", "n", "v", "node").withColumn("rank", F.row_number().over(first).cast("long")).where(F.col("rank") <= PIVOTS))
+    pivots = materialize(big.select("cell", "n", "v", "node").withColumn("rank", F.row_number().over(first).cast("long")).where(F.col("rank") <= MOST_PIVOTS).where(F.col("rank") <= F.greatest(F.ceil(F.col("n") / block_rows), F.lit(LEAST_PIVOTS))))
     parts = F.ceil(F.col("n") / PART_ROWS).cast("long")
     rows = big.select("cell", F.pmod(F.xxhash64("node"), parts).alias("part"), F.lit(0).cast("long").alias("rank"), "node", "weight", "v")
     centres = pivots.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), "rank", "node", F.lit(0).cast("long").alias("weight"), "v")
@@ -276,7 +288,7 @@ def _cells(nodes: DataFrame, block_rows: int) -> tuple[DataFrame, list[DataFrame
             break
         ready = work.join(sizes.select("cell"), "cell", "left_anti")
         done = ready if done is None else done.unionByName(ready)
-        work, balls = _split(work, sizes)
+        work, balls = _split(work, sizes, block_rows)
         levels.append(balls)
     return (work if done is None else done.unionByName(work)), levels
 
