@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,32 +85,44 @@ class Model:
         return float(1.0 / (1.0 + np.exp(-np.clip(z, -40.0, 40.0))))
 
 
+#: Entries of a sparse matrix that a product works on at a time, which bounds the driver's memory.
+ENTRIES = 1 << 17
+
+
 class _Rows:
-    """A sparse matrix by rows, for the two averages and their gradients."""
-
-    def __init__(self, lists: list[list[int]], weights: list[list[float]], columns: int) -> None:
-        self.n = np.array([len(x) for x in lists], dtype=np.int64)
-        self.cols = np.fromiter((c for x in lists for c in x), dtype=np.int64, count=int(self.n.sum()))
-        self.data = np.fromiter((w for x in weights for w in x), dtype=np.float32, count=len(self.cols))
-        self.rows = np.repeat(np.arange(len(lists)), self.n)
-        self.columns = columns
-        self.full = np.flatnonzero(self.n)
-        self.starts = (np.cumsum(self.n) - self.n)[self.full]
-        self.by_col = np.argsort(self.cols, kind="stable")
-        sorted_cols = self.cols[self.by_col]
-        self.col_starts = np.flatnonzero(np.r_[True, np.diff(sorted_cols) > 0]) if len(sorted_cols) else np.array([], dtype=np.int64)
-        self.col_ids = sorted_cols[self.col_starts] if len(sorted_cols) else sorted_cols
+    """A sparse matrix by rows (their lengths, columns and values), for the two averages and their gradients."""
+
+    def __init__(self, n: np.ndarray, cols: np.ndarray, data: np.ndarray, columns: int) -> None:
+        self.n, self.cols, self.data, self.columns = n.astype(np.int64), cols.astype(np.int32), data.astype(np.float32), columns
+        by_col = np.argsort(self.cols, kind="stable")
+        self.rows = np.repeat(np.arange(len(n), dtype=np.int32), self.n)[by_col]
+        self.by_col, counts = self.data[by_col], np.bincount(self.cols, minlength=columns)
+        self.col_ids = np.flatnonzero(counts)
+        self.row_parts, self.col_parts = self._parts(self.n, np.flatnonzero(self.n)), self._parts(counts, self.col_ids)
+
+    @staticmethod
+    def _parts(lengths: np.ndarray, ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, int, int]]:
+        """Runs of non-empty rows (or columns) of about ENTRIES entries: ids, where each begins within the run, and the run's range."""
+        ends = np.cumsum(lengths)[ids]
+        parts, first = [], 0
+        while first < len(ids):
+            start = int(ends[first] - lengths[ids[first]])
+            last = max(first + 1, int(np.searchsorted(ends, start + ENTRIES, side="right")))
+            some = ids[first:last]
+            parts.append((some, (ends[first:last] - lengths[some] - start).astype(np.int64), start, int(ends[last - 1])))
+            first = last
+        return parts
 
     def times(self, m: np.ndarray) -> np.ndarray:
         out = np.zeros((len(self.n), m.shape[1]), dtype=np.float32)
-        if len(self.full):
-            out[self.full] = np.add.reduceat(m[self.cols] * self.data[:, None], self.starts, axis=0)
+        for ids, begins, start, end in self.row_parts:
+            out[ids] = np.add.reduceat(m[self.cols[start:end]] * self.data[start:end, None], begins, axis=0)
         return out
 
     def back(self, g: np.ndarray) -> np.ndarray:
         out = np.zeros((self.columns, g.shape[1]), dtype=np.float32)
-        if len(self.col_ids):
-            out[self.col_ids] = np.add.reduceat((g[self.rows] * self.data[:, None])[self.by_col], self.col_starts, axis=0)
+        for ids, begins, start, end in self.col_parts:
+            out[ids] = np.add.reduceat(g[self.rows[start:end]] * self.by_col[start:end, None], begins, axis=0)
         return out
 
 
@@ -119,23 +132,25 @@ def train(texts: list[str], labels: list[int], min_texts: int = MIN_TEXTS, **set
     texts_with = Counter(w for c in counted for w in c)
     vocabulary = sorted(w for w, n in texts_with.items() if n >= min_texts)
     at = {w: i for i, w in enumerate(vocabulary)}
-    bags = [[at[w] for w in c if w in at] for c in counted]
-    return train_bags(vocabulary, bags, [[n / (c.total() + EMPTY_WORDS) for w, n in c.items() if w in at] for c in counted], labels, **settings)
+    bags = [[(at[w], n / (c.total() + EMPTY_WORDS)) for w, n in c.items() if w in at] for c in counted]
+    flat = np.array([x for bag in bags for x in bag], dtype=np.float64).reshape(-1, 2)
+    return train_bags(vocabulary, np.array([len(b) for b in bags]), flat[:, 0], flat[:, 1], labels, **settings)
 
 
-def train_bags(vocabulary: list[str], bags: list[list[int]], shares: list[list[float]], labels: list[int], epochs: int = EPOCHS, dim: int = DIM, sparsity: float = SPARSITY, seed: int = 7) -> Model:
+def train_bags(vocabulary: list[str], sizes: np.ndarray, words: np.ndarray, shares: np.ndarray, labels: list[int], epochs: int = EPOCHS, dim: int = DIM, sparsity: float = SPARSITY, seed: int = 7) -> Model:
     """Fit embeddings and softmax together. One class, or none: every text gets that class's smoothed share.
 
-    ``bags``: the places in the vocabulary of each text's words; ``shares``: their shares in the text's average.
+    Text by text, ``sizes`` words of the vocabulary each: their places in it, and their shares in the text's average.
     """
     y = np.array(labels, dtype=np.int64)
     ones = int(y.sum())
     prior = float(np.log((ones + 1) / (len(y) - ones + 1)))
     if not len(y) or ones in (0, len(y)):
         return Model(np.zeros(BUCKETS, dtype=np.float32), prior)
-    found = [features(w) for w in vocabulary]
-    by_word = _Rows(found, [[1.0 / len(g)] * len(g) for g in found], BUCKETS)
-    by_text = _Rows(bags, shares, len(vocabulary))
+    found = [np.array(features(w), dtype=np.int32) for w in vocabulary]
+    many = np.array([len(f) for f in found], dtype=np.int64)
+    by_word = _Rows(many, np.concatenate([*found, np.empty(0, dtype=np.int32)]), np.repeat(1.0 / np.maximum(many, 1), many), BUCKETS)
+    by_text = _Rows(sizes, words, shares, len(vocabulary))
     return Model(*_descend(by_word, by_text, y, prior, dim, epochs, sparsity, DAMPING, seed))
 
 
@@ -213,9 +228,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     pairs = rows.select("h", "t", F.explode(F.arrays_zip("words", "counts")).alias("p")).select("h", "t", F.col("p.words").alias("w"), F.col("p.counts").alias("n"))
     known = pairs.join(F.broadcast(places), "w").groupBy("h", "t").agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("known"))
     bags = rows.join(known, ["h", "t"], "left").select("h", "t", "y", "total", F.coalesce("known.at", F.array().cast("array<int>")).alias("at"), F.coalesce("known.n", F.array().cast("array<int>")).alias("n")).toArrow()
-    bags = bags.sort_by([("h", "ascending"), ("t", "ascending")]).to_pydict()
-    shares = [[x / (total + EMPTY_WORDS) for x in n] for n, total in zip(bags["n"], bags["total"])]
-    return train_bags(vocabulary, bags["at"], shares, bags["y"])
+    bags = bags.sort_by([("h", "ascending"), ("t", "ascending")]).combine_chunks()
+    sizes = np.asarray(pc.list_value_length(bags["at"]))
+    places_of, counts = (np.asarray(bags[c].combine_chunks().flatten()) for c in ("at", "n"))
+    shares = counts / (np.repeat(np.asarray(bags["total"]), sizes) + EMPTY_WORDS)
+    return train_bags(vocabulary, sizes, places_of, shares, bags["y"].to_pylist())
 
 
 def held_out(id_col: str = "doc_id"):
