@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, covertree, decontaminate, licenses, pseudolm, secrets, simhash, surrogates, toxicity, urlfilter
+from tidemark.sources.readers import spread
 
 
 def tokenizer() -> tuple[str, str]:
@@ -16,7 +17,8 @@ def tokenizer() -> tuple[str, str]:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name == "documents" else rows
 
 
 def op1_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,10 +26,16 @@ def op1_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_license_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents have no paths: each gets source/language/block/id, and one that states a licence speaks for its directory."""
-    path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.floor(F.col("doc_id") / 64).cast("string"), F.col("doc_id").cast("string"))
-    docs = _table(spark, sf_dir, "documents").withColumn("path", path)
-    return licenses.scan(docs, license_file=F.lit(True))
+    """Documents have no paths: each gets source/language/block of 1024/block of 64/name.
+
+    An id divisible by 16 is a licence file, in the inner block's directory, one divisible by 256 in the
+    outer block's, and one divisible by 2048 in the language's; so files have up to three ancestors that may speak for them.
+    """
+    id_, block = F.col("doc_id"), lambda n: F.floor(F.col("doc_id") / n).cast("string")
+    top = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")))
+    directory = F.when(id_ % 2048 == 0, top).when(id_ % 256 == 0, F.concat_ws("/", top, block(1024))).otherwise(F.concat_ws("/", top, block(1024), block(64)))
+    path = F.concat(directory, F.when(id_ % 16 == 0, F.lit("/LICENSE")).otherwise(F.concat(F.lit("/"), id_.cast("string"))))
+    return licenses.scan(_table(spark, sf_dir, "documents").withColumn("path", path))
 
 
 #: Key of the query's surrogates; a deployment passes its own.
@@ -41,7 +49,8 @@ def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     words = pseudolm.vocabulary(docs)
-    return pseudolm.score(docs, words, pseudolm.train(docs, words))
+    rows = pseudolm.encode(docs, words)
+    return pseudolm.score(rows, pseudolm.train(rows, words))
 
 
 def op5_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
