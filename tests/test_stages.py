@@ -28,7 +28,7 @@ def test_all_stages(spark, tmp_path):
     pipeline.run_themes(spark, config)
     pipeline.run_extract(spark, config, dry_run=True)
     assert readers.done_ids(spark, f"{tmp_path}/p/extractions").count() > 0
-    config.predict.boosting_iterations, config.predict.backend = 3, "xgboost"
+    config.predict.boosting_iterations, config.predict.backend, config.predict.importance_repeats = 3, "xgboost", 1
     metrics = pipeline.run_predict(spark, config)
     assert metrics["n_train"] > metrics["n_test"] > 0 and 0 <= metrics["base_rate"] <= 1 and {"roc_auc", "pr_auc", "brier", "calibration"} <= set(metrics["boosting"])
     config.paths.gold_csv = f"{tmp_path}/gold.csv"

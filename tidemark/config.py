@@ -84,6 +84,7 @@ class Predict:
     target: str = "timely_response"
     backend: str = "gbt"
     boosting_iterations: int = 300
+    importance_repeats: int = 5
     test_fraction: float = 0.25
     threshold: float = 0.5
     embedding_pca_components: int = 16

@@ -137,7 +137,7 @@ def run_predict(spark: SparkSession, config: Config) -> dict:
         scored = predict.scores(model, test, features).cache()
         metrics[name] = {**predict.roc_auc(scored).first().asDict(), **predict.average_precision(scored).first().asDict(), **predict.brier_confusion(scored, config.predict.threshold).first().asDict(), "calibration": [r.asDict() for r in predict.calibration(scored).orderBy("bin").collect()]}
         scored.unpersist()
-    metrics["importance"] = [r.asDict() for r in predict.permutation_importance(models["boosting"], test, features, seed=config.seed).collect()]
+    metrics["importance"] = [r.asDict() for r in predict.permutation_importance(models["boosting"], test, features, config.predict.importance_repeats, config.seed).collect()]
     sinks.write_json(_at(config, "predict_metrics.json"), metrics)
     sinks.write_text(f"{config.paths.reports_dir}/predictive_model.md", report.model_report(metrics))
     return metrics
