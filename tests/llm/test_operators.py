@@ -135,8 +135,11 @@ def test_keep_one_by_exact_five_word_similarity(spark):
 
 def test_connected_components(spark):
     edges = [(i, i + 1) for i in range(0, 30)] + [(100, i) for i in range(101, 140)] + [(5, 5)]
-    got = dict(common.connected_components(spark.createDataFrame(edges, "src long, dst long")).collect())
-    assert got == {**{i: 0 for i in range(1, 31)}, **{i: 100 for i in range(101, 140)}}
+    df = spark.createDataFrame(edges, "src long, dst long")
+    for local in (0, 100_000):
+        got = dict(common.connected_components(df, local).collect())
+        assert got == {**{i: 0 for i in range(1, 31)}, **{i: 100 for i in range(101, 140)}}
+    assert common.connected_components(df.limit(0)).count() == 0
 
 
 # op2

@@ -249,8 +249,17 @@ SIMILARITY = 0.8
 KEEP_RADIUS = 20
 #: MinHash bands, which deal the sets into shards: a pair at SIMILARITY shares no shard with probability (1 - 0.8^4)^16 = 0.0002.
 BANDS, BAND_ROWS = 16, 4
+#: Bands that the first round looks at; the others' shards then hold fewer components.
+FIRST_BANDS = 4
+#: Of the BANDS * BAND_ROWS MinHashes so many must agree before a candidate is judged by the whole sets: at SIMILARITY
+#: 51 are expected, with a deviation of 3.2, so that less than one pair in a thousand is lost.
+AGREE = 41
+#: Pairs a member that a shard proposes besides a spanning forest in the third round, which is the last.
+EXTRA_PAIRS = 4
+#: Buckets of the filter that keeps texts no pair asks for from the shuffle: a broadcast of so many rows at most.
+FILTER_BUCKETS = 1 << 18
 #: Sets of one tree above which a shard is dealt by hash into several, anew in each round.
-CELL_ROWS = 1024
+CELL_ROWS = 256
 _MIX = np.random.default_rng(1).integers(0, 1 << 63, (2, BANDS * BAND_ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -270,8 +279,8 @@ def set_hash(values: np.ndarray) -> int:
     return _signed(xxhash.xxh64_intdigest(values.tobytes())) if len(values) else 0
 
 
-def sketch(values: np.ndarray) -> tuple[int, list[int]]:
-    """(SimHash of the set, a hash for each band), signed. A wordless text has no bands."""
+def sketch(values: np.ndarray) -> tuple[int, list[int], bytes]:
+    """(SimHash of the set, a hash for each band, the last byte of each MinHash), integers signed. A wordless text has no bands."""
     import xxhash
 
     least, ones = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, dtype=np.uint64), np.zeros(64, dtype=np.int64)
@@ -280,19 +289,23 @@ def sketch(values: np.ndarray) -> tuple[int, list[int]]:
         least = np.minimum(least, (block[:, None] * _MIX[0] + _MIX[1]).min(axis=0))
         ones += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     bits = int(np.packbits(ones * 2 > len(values), bitorder="little").view("<u8")[0])
-    return _signed(bits), [_signed(xxhash.xxh64_intdigest(b.tobytes())) for b in least.reshape(BANDS, BAND_ROWS)] if len(values) else []
+    bands = [_signed(xxhash.xxh64_intdigest(b.tobytes())) for b in least.reshape(BANDS, BAND_ROWS)] if len(values) else []
+    return _signed(bits), bands, (least >> np.uint64(24)).astype(np.uint8).tobytes()
 
 
-def cell_pairs(members: list[tuple[int, int, int, int]], refuted: set[tuple[int, int]], extra: int, radius: int = KEEP_RADIUS) -> tuple[list[tuple[int, int]], bool]:
+def cell_pairs(members: list[tuple[int, int, int, int, bytes]], refuted: set[tuple[int, int]], extra: int, radius: int = KEEP_RADIUS) -> tuple[list[tuple[int, int]], bool]:
     """Candidate pairs of one cell that join its components, and whether others were left out.
 
-    ``members``: (set hash, size of the set, SimHash, component). A BK-tree over the SimHashes gives the pairs
-    within the radius; those whose sizes rule SIMILARITY out, that are refuted or inside a component are
-    none. Of the rest a spanning forest over the components is taken, and of what then remains ``extra`` pairs a
-    member: however many pairs a cell has, what leaves it is linear in its members.
+    ``members``: (set hash, size of the set, SimHash, component, MinHash bytes). A BK-tree over the SimHashes gives
+    the pairs within the radius; those whose sizes or MinHashes rule SIMILARITY out, that are refuted or inside a
+    component are none. Of the rest a spanning forest over the components is taken, and of what then remains
+    ``extra`` pairs a member, those whose MinHashes agree most first: however many pairs a cell has, what
+    leaves it is linear in its members.
     """
     members = sorted(members)
     roots = {m[3]: m[3] for m in members}
+    if len(roots) < 2:
+        return [], False
 
     def find(x: int) -> int:
         while roots[x] != x:
@@ -300,14 +313,22 @@ def cell_pairs(members: list[tuple[int, int, int, int]], refuted: set[tuple[int,
             x = roots[x]
         return x
 
+    marks = np.frombuffer(b"".join(m[4] for m in members), dtype=np.uint8).reshape(len(members), -1)
+    sizes, comps = np.array([m[1] for m in members]), np.array([m[3] for m in members])
     tree, at, same = BKTree(), [], {}
     taken: list[tuple[int, int]] = []
-    room, more = extra * len(members), False
-    for i, (fp, n, sim, comp) in enumerate(members):
+    more = False
+    for i, (fp, n, sim, comp, _) in enumerate(members):
         sim &= (1 << 64) - 1
-        for j in sorted(j for node in tree.within(sim, radius) for j in at[node]):
+        near = np.array(sorted(j for node in tree.within(sim, radius) for j in at[node]), dtype=np.int64)
+        if len(near):
+            near = near[(comps[near] != comp) & (np.minimum(sizes[near], n) >= SIMILARITY * np.maximum(sizes[near], n))]
+            agree = (marks[near] == marks[i]).sum(axis=1)
+            near = near[np.argsort(-agree, kind="stable")[: int((agree >= AGREE).sum())]]  # the likeliest links first
+        room = extra
+        for j in near.tolist():
             other = members[j]
-            if other[3] == comp or min(n, other[1]) < SIMILARITY * max(n, other[1]) or (other[0], fp) in refuted:
+            if (other[0], fp) in refuted:
                 continue
             a, b = find(comp), find(other[3])
             if a != b:
@@ -328,7 +349,7 @@ def cell_pairs(members: list[tuple[int, int, int, int]], refuted: set[tuple[int,
 
 
 def _candidates(cells: DataFrame, extra: int) -> DataFrame:
-    """(bucket, a, b, more) of every cell's pairs. ``cells``: cell, bucket, fp, n, sim, comp, and other (a refuted pair's second, else null)."""
+    """(bucket, a, b, more) of every cell's pairs. ``cells``: cell, bucket, fp, n, sim, comp, marks, and other (a refuted pair's second, else null)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -338,8 +359,8 @@ def _candidates(cells: DataFrame, extra: int) -> DataFrame:
             for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 if end - start < 2:
                     continue
-                rows = list(zip(*(table.column(c).slice(start, end - start).to_pylist() for c in ("bucket", "fp", "n", "sim", "comp", "other"))))
-                pairs, more = cell_pairs([r[1:5] for r in rows if r[5] is None], {(r[1], r[5]) for r in rows if r[5] is not None}, extra)
+                rows = list(zip(*(table.column(c).slice(start, end - start).to_pylist() for c in ("bucket", "fp", "n", "sim", "comp", "marks", "other"))))
+                pairs, more = cell_pairs([r[1:6] for r in rows if r[6] is None], {(r[1], r[6]) for r in rows if r[6] is not None}, extra)
                 out += ((rows[0][0], a, b, more) for a, b in pairs)
             columns = list(zip(*out)) or [(), (), (), ()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], names=["bucket", "a", "b", "more"])
@@ -375,49 +396,48 @@ def _judged(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def near_copies(distinct: DataFrame, sets_of) -> DataFrame:
-    """(node, root) for the sets of ``distinct`` (fp, n, sim, bands) that are not their component's smallest.
+    """(node, root) for the sets of ``distinct`` (fp, n, sim, marks, bands) that are not their component's smallest.
 
     Rounds: every shard's tree proposes a spanning forest of its candidate pairs, the whole sets judge
-    them, and a shard whose pairs were refuted while others had been left out proposes again, ever
-    more pairs a member, until none is left to propose. Shards over CELL_ROWS are dealt into cells by
-    hash, anew in each round, for as long as a round links more of them. ``sets_of(fps)`` gives (fp, v): the sets.
+    them and components merge: first in the shards of a few bands, then in all, then once more, with
+    EXTRA_PAIRS a member, in those whose pairs were refuted while others had been left out. Shards over CELL_ROWS are dealt into cells by
+    hash, anew in each round and each shard. ``sets_of(fps)`` gives (fp, v): the sets.
     """
-    dealt = distinct.select("fp", "n", "sim", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "fp", "n", "sim")
-    shards = dealt.groupBy("bucket").count().where("count > 1")
-    shards = materialize(shards.select("bucket", F.ceil(F.col("count") / CELL_ROWS).alias("cells")))
-    active, sets, links, refuted, roots, turn = shards, None, None, None, None, 0
-    while True:
-        cells = dealt.join(active, "bucket").withColumn("comp", F.col("fp"))
+    dealt = distinct.select("fp", F.posexplode("bands").alias("band", "key")).select("band", F.xxhash64("band", "key").alias("bucket"), "fp")
+    shards = dealt.groupBy("band", "bucket").count().where("count > 1")
+    shards = materialize(shards.select("band", "bucket", F.ceil(F.col("count") / CELL_ROWS).alias("cells")))
+    members = materialize(dealt.drop("band").join(shards.select("bucket", "cells"), "bucket"))
+    active, sets, links, refuted, judged, roots = shards.where(F.col("band") < FIRST_BANDS).select("bucket"), None, None, None, None, None
+    for turn in range(3):
+        cells = members.join(active, "bucket", "left_semi").join(distinct.select("fp", "n", "sim", "marks"), "fp").withColumn("comp", F.col("fp"))
         if roots is not None:
             cells = cells.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("root", "fp")).drop("root")
-        dealt_again = F.xxhash64("bucket", F.pmod(F.xxhash64("fp", F.lit(turn)), F.col("cells")))
-        cells = cells.select(F.when(F.col("cells") > 1, dealt_again).otherwise(F.col("bucket")).alias("cell"), "bucket", "fp", "n", "sim", "comp", F.lit(None).cast("long").alias("other"))
+        dealt_again = F.xxhash64("bucket", F.pmod(F.xxhash64("fp", "bucket", F.lit(turn)), F.col("cells")))
+        cells = cells.select(F.when(F.col("cells") > 1, dealt_again).otherwise(F.col("bucket")).alias("cell"), "bucket", "fp", "n", "sim", "comp", "marks", F.lit(None).cast("long").alias("other"))
         if refuted is not None:
-            cells = cells.unionByName(refuted.join(active.where("cells = 1"), "bucket").select(F.col("bucket").alias("cell"), "bucket", F.col("a").alias("fp"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("sim"), F.lit(0).cast("long").alias("comp"), F.col("b").alias("other")))
-        proposed = materialize(_candidates(cells, 16**turn - 1))
-        pairs = materialize(proposed.select("a", "b").distinct())
-        if pairs.isEmpty():
-            break
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-        new = wanted if sets is None else materialize(wanted.join(sets, "fp", "left_anti"))
-        if sets is None or not new.isEmpty():
-            found = materialize(sets_of(new))
+            small = shards.where("cells = 1").select("bucket").join(active, "bucket", "left_semi")
+            cells = cells.unionByName(refuted.join(small, "bucket", "left_semi").select(F.col("bucket").alias("cell"), "bucket", F.col("a").alias("fp"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("sim"), F.lit(0).cast("long").alias("comp"), F.lit(None).cast("binary").alias("marks"), F.col("b").alias("other")))
+        proposed = materialize(_candidates(cells, EXTRA_PAIRS if turn == 2 else 0))
+        pairs = proposed.select("a", "b").distinct()
+        pairs = materialize(pairs if judged is None else pairs.join(judged, ["a", "b"], "left_anti"))
+        if not pairs.isEmpty():
+            wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+            found = materialize(sets_of(wanted if sets is None else wanted.join(sets, "fp", "left_anti")))
             sets = found if sets is None else sets.unionByName(found)
-        judged = materialize(_judged(pairs, sets))
-        linked = judged.where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst"))
-        links = linked if links is None else links.unionByName(linked)
-        outcome = materialize(proposed.join(judged, ["a", "b"]))
-        now = outcome.where("not linked").select("bucket", "a", "b")
-        refuted = now if refuted is None else refuted.unionByName(now)
-        again = outcome.groupBy("bucket").agg(F.max(F.col("more") & ~F.col("linked")).alias("open"), F.max("linked").alias("found"), F.max("more").alias("more"))
-        active = materialize(active.join(again, "bucket").where(F.when(F.col("cells") > 1, F.col("found")).otherwise(F.col("open"))).select("bucket", "cells"))
-        turn += 1
-        if active.isEmpty():
-            break
-        roots = connected_components(links)
-    if links is None:
-        return distinct.select(F.col("fp").alias("node"), F.col("fp").alias("root")).limit(0)
-    return connected_components(links)
+            now = materialize(_judged(pairs, sets))
+            judged = now if judged is None else judged.unionByName(now)
+            linked = now.where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+            links = linked if links is None else links.unionByName(linked)
+            roots = connected_components(links)
+        if turn == 0:
+            active = shards.select("bucket")
+        elif turn == 1:
+            if judged is None:
+                break
+            outcome = materialize(proposed.join(judged, ["a", "b"]))
+            active = outcome.groupBy("bucket").agg(F.max(F.col("more") & ~F.col("linked")).alias("open")).where("open").select("bucket")
+            refuted = outcome.where("not linked").select("bucket", "a", "b")
+    return distinct.select(F.col("fp").alias("node"), F.col("fp").alias("root")).limit(0) if roots is None else roots
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -440,14 +460,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def sketched():
         def run(no_id, id_, h1, h2, text):
             values = shingles(text)
-            sim, bands = sketch(values)
-            return no_id, id_, h1, h2, set_hash(values), len(values), sim, bands
+            sim, bands, marks = sketch(values)
+            return no_id, id_, h1, h2, set_hash(values), len(values), sim, bands, marks
 
         return run
 
     kind = dict(keys.dtypes)["id"]
-    rows = map_rows(keys.select(F.col("id").isNull().alias("no_id"), "id", "h1", "h2", "text"), sketched, f"no_id boolean, id {kind}, h1 long, h2 long, fp long, n int, sim long, bands array<long>")
-    distinct = materialize(rows.groupBy("fp").agg(F.min(F.struct("no_id", "id", "h1", "h2")).alias("first"), *[F.first(c).alias(c) for c in ("n", "sim", "bands")]))
+    rows = map_rows(keys.select(F.col("id").isNull().alias("no_id"), "id", "h1", "h2", "text"), sketched, f"no_id boolean, id {kind}, h1 long, h2 long, fp long, n int, sim long, bands array<long>, marks binary")
+    distinct = materialize(rows.groupBy("fp").agg(F.min(F.struct("no_id", "id", "h1", "h2")).alias("first"), *[F.first(c).alias(c) for c in ("n", "sim", "bands", "marks")]))
 
     def sets_of(fps: DataFrame) -> DataFrame:
         def whole_set():
@@ -457,11 +477,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
             return run
 
-        firsts = fps.join(distinct, "fp").select("first.h1", "first.h2")
-        texts = keys.join(firsts, ["h1", "h2"], "left_semi").select("text")
+        firsts = materialize(fps.join(distinct, "fp").select("first.h1", "first.h2"))
+        place = F.pmod("h1", F.lit(FILTER_BUCKETS)).alias("place")
+        asked = F.broadcast(firsts.select(place).distinct())  # FILTER_BUCKETS rows at most
+        texts = keys.withColumn("place", place).join(asked, "place", "left_semi").join(firsts, ["h1", "h2"], "left_semi").select("text")
         return map_rows(texts, whole_set, "fp long, v binary").groupBy("fp").agg(F.first("v").alias("v"))
 
-    roots = near_copies(distinct.select("fp", "n", "sim", "bands"), sets_of)
+    roots = near_copies(distinct.select("fp", "n", "sim", "marks", "bands"), sets_of)
     labelled = distinct.join(roots, distinct.fp == roots.node, "left").select("first", F.coalesce("root", "fp").alias("root"))
     keep = labelled.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.h1").alias(one), F.col("first.h2").alias(two))
     whole = keyed.groupBy(one, two).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row"))
