@@ -425,6 +425,11 @@ def test_battery_finds_values_and_keys_after_paths(spark):
     assert all(made[i][1][:8] not in clean[i]["text"] for i in range(len(made))) and clean[0]["text"] == "AWS_SECRET_ACCESS_KEY=[SECRET]"
 
 
+def test_battery_is_a_small_expression(spark):
+    found = secrets._found(docs(spark, ["text"]).select(F.col("doc_id").alias("row"), "text"))
+    assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 40_000
+
+
 def test_redact(spark):
     df = docs(spark, [*SECRET_TEXTS[:3], None, "plain"])
     out = secrets.redact(df)

@@ -97,7 +97,7 @@ def _phi(z: Column) -> Column:
 
 def _p_value(z: Column) -> Column:
     """P(Z >= z), kept above 1e-12."""
-    return F.greatest(_phi(-F.greatest(F.least(z, F.lit(8.0)), F.lit(-8.0))), F.lit(1e-12))
+    return _let(-F.greatest(F.least(z, F.lit(8.0)), F.lit(-8.0)), lambda x: F.greatest(_phi(x), F.lit(1e-12)))
 
 
 def _classes(s: Column) -> Column:
@@ -106,34 +106,65 @@ def _classes(s: Column) -> Column:
     return F.length(marked)
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once and named, not written out wherever the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def battery(s: Column) -> Column:
-    """Struct (encoding, p) of one string: the inferred encoding and Fisher's combined p-value under "text"."""
-    encoding, size = F.lit(None).cast("string"), F.lit(None).cast("double")
-    for name, pattern, k in reversed(ENCODINGS):
-        fits = s.rlike(pattern)
-        encoding, size = F.when(fits, F.lit(name)).otherwise(encoding), F.when(fits, F.lit(float(k))).otherwise(size)
-    n = F.length(s).cast("double")
-    pairs = F.greatest(n - 1, F.lit(1.0))
+    """Struct (encoding, p) of one string: the inferred encoding and Fisher's combined p-value under "text".
+
+    Step by step, each named once: written out, the expression grows with the product of its uses, and the driver's memory with it.
+    """
+    return _let(F.struct(s.alias("s"), F.split(s, "").alias("chars")), _measured)
+
+
+def _measured(t: Column) -> Column:
+    s = t["s"]
+    encoding = F.lit(None).cast("int")
+    for i, (_, pattern, _) in reversed(list(enumerate(ENCODINGS))):
+        encoding = F.when(s.rlike(pattern), F.lit(i)).otherwise(encoding)
+    codes = F.transform(t["chars"], lambda c: F.ascii(c).cast("double"))
+    counts = F.transform(F.array_distinct(t["chars"]), lambda c: F.length(F.regexp_replace(s, F.concat(F.lit("[^\\Q"), c, F.lit("\\E]")), F.lit(""))).cast("double"))
+    return _let(F.struct(
+        F.length(s).cast("double").alias("n"), encoding.alias("fits"), codes.alias("codes"), (_classes(s) - 1).cast("double").alias("changes"),
+        F.length(F.regexp_replace(s, "[^_-]", "")).cast("double").alias("separators"), F.aggregate(counts, F.lit(0.0), lambda acc, x: acc + x * x).alias("squares"),
+    ), _averaged)
+
+
+def _averaged(t: Column) -> Column:
+    n, codes = t["n"], t["codes"]
     # An encoding of random bytes has few hyphens and underscores; a string with more is words and separators.
-    separators = F.length(F.regexp_replace(s, "[^_-]", "")).cast("double")
-    encoding = F.when(separators <= n / 32 + 3 * F.sqrt(n / 32), encoding)
-    codes = F.transform(F.split(s, ""), lambda c: F.ascii(c).cast("double"))
-    counts = F.transform(F.array_distinct(F.split(s, "")), lambda c: F.length(F.regexp_replace(s, F.concat(F.lit("[^\\Q"), c, F.lit("\\E]")), F.lit(""))).cast("double"))
-    squares = F.aggregate(counts, F.lit(0.0), lambda acc, x: acc + x * x)
-    chi = squares * size / n - n
-    excess = F.greatest(size * F.lit(TEXT_COINCIDENCE) - 1, F.lit(LEAST_EXCESS)) * n
-    p_chi = _p_value(((size - 1) + excess - chi) / F.sqrt(2 * (size - 1) + 4 * excess))
-    changes = (_classes(s) - 1).cast("double")
-    p_runs = _p_value((changes - pairs * TEXT_CHANGES - 0.5) / F.sqrt(pairs * (TEXT_CHANGES * (1 - TEXT_CHANGES))))
-    mean = F.aggregate(codes, F.lit(0.0), lambda acc, x: acc + x) / n
-    spread = F.aggregate(codes, F.lit(0.0), lambda acc, x: acc + x * x) / n - mean * mean
-    lagged = F.aggregate(F.zip_with(F.slice(codes, 1, F.greatest(F.length(s) - 1, F.lit(0))), F.slice(codes, 2, F.greatest(F.length(s) - 1, F.lit(0))), lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x) / pairs - mean * mean
+    fits = F.when(t["separators"] <= n / 32 + 3 * F.sqrt(n / 32), t["fits"])
+    names, sizes = F.array(*[F.lit(name) for name, _, _ in ENCODINGS]), F.array(*[F.lit(float(k)) for _, _, k in ENCODINGS])
+    size = F.get(sizes, t["fits"])
+    less = F.greatest(F.size(codes) - 1, F.lit(0))
+    products = F.zip_with(F.slice(codes, 1, less), F.slice(codes, 2, less), lambda x, y: x * y)
+    return _let(F.struct(
+        n.alias("n"), F.get(names, fits).alias("encoding"), size.alias("size"), t["changes"].alias("changes"), F.greatest(n - 1, F.lit(1.0)).alias("pairs"),
+        (t["squares"] * size / n - n).alias("chi"), (F.greatest(size * F.lit(TEXT_COINCIDENCE) - 1, F.lit(LEAST_EXCESS)) * n).alias("excess"),
+        (F.aggregate(codes, F.lit(0.0), lambda acc, x: acc + x) / n).alias("mean"), F.aggregate(codes, F.lit(0.0), lambda acc, x: acc + x * x).alias("sum"), F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x).alias("lagged"),
+    ), _judgements)
+
+
+def _judgements(t: Column) -> Column:
+    n, size, pairs, mean, excess = t["n"], t["size"], t["pairs"], t["mean"], t["excess"]
+    spread, lagged = t["sum"] / n - mean * mean, t["lagged"] / pairs - mean * mean
     correlation = F.when(spread > 0, F.abs(lagged / spread)).otherwise(F.lit(1.0))
-    p_serial = _p_value((F.lit(TEXT_CORRELATION) - correlation) * F.sqrt(n))
-    x = -(F.log(p_chi) + F.log(p_runs) + F.log(p_serial))  # half of Fisher's statistic; survival of chi-squared with 6 degrees
-    text_like = (p_chi > VETO) | (p_runs > VETO) | (p_serial > VETO)
-    p = F.when(text_like, F.lit(1.0)).otherwise(F.least(F.exp(-x) * (1 + x + x * x / 2), F.lit(1.0)))
-    return F.struct(encoding.alias("encoding"), F.when(encoding.isNotNull(), p).alias("p"))
+    z = F.array(
+        ((size - 1) + excess - t["chi"]) / F.sqrt(2 * (size - 1) + 4 * excess),
+        (t["changes"] - pairs * TEXT_CHANGES - 0.5) / F.sqrt(pairs * (TEXT_CHANGES * (1 - TEXT_CHANGES))),
+        (F.lit(TEXT_CORRELATION) - correlation) * F.sqrt(n),
+    )
+    return _let(F.struct(t["encoding"].alias("encoding"), F.transform(z, _p_value).alias("ps")), _combined)
+
+
+def _combined(t: Column) -> Column:
+    ps = [F.get(t["ps"], F.lit(i)) for i in range(3)]
+    text_like = (ps[0] > VETO) | (ps[1] > VETO) | (ps[2] > VETO)
+    half = -(F.log(ps[0]) + F.log(ps[1]) + F.log(ps[2]))  # half of Fisher's statistic; survival of chi-squared with 6 degrees
+    p = _let(half, lambda x: F.least(F.exp(-x) * (1 + x + x * x / 2), F.lit(1.0)))
+    return F.struct(t["encoding"].alias("encoding"), F.when(t["encoding"].isNotNull(), F.when(text_like, F.lit(1.0)).otherwise(p)).alias("p"))
 
 
 def _with_tested(df: DataFrame, text: str, spans: str) -> DataFrame:
