@@ -133,6 +133,46 @@ def test_keep_one_by_exact_five_word_similarity(spark):
     assert 24 <= len(set(root)) < len(texts) and kept == set(root)
 
 
+def test_near_copies_loses_no_link_in_a_shard_of_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CELL_ROWS", 2)
+    monkeypatch.setattr(simhash, "BLOCK_SHINGLES", 3000, raising=False)
+    rng = random.Random(8)
+    base, texts = [f"w{rng.randrange(10**6)}" for _ in range(300)], []
+    for _ in range(40):  # candidates of each other, refuted (similarity about 0.7), each with one near copy (0.84)
+        words, places = list(base), rng.sample(range(5, 290, 6), 10)
+        for part in (places[:5], places[5:]):
+            for at in part:
+                words[at] = f"x{rng.randrange(10**9)}"
+            texts.append(" ".join(words))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    root = components(len(texts), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    far = [(simhash.fingerprint(texts[a]) ^ simhash.fingerprint(texts[a + 1])).bit_count() for a in range(0, len(texts), 6)]
+    assert max(far) > 2
+    kept = {r["doc_id"] for r in simhash.keep_one(docs(spark, texts)).collect()}
+    assert 24 <= len(set(root)) < len(texts) and kept == set(root)
+
+
+def test_near_copies_loses_no_link_in_a_shard_of_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CELL_ROWS", 4)
+    monkeypatch.setattr(simhash, "BLOCK_SHINGLES", 3000, raising=False)
+    rng = random.Random(8)
+    base, texts = [f"w{rng.randrange(10**6)}" for _ in range(300)], []
+    for _ in range(40):  # candidates of each other, refuted (similarity about 0.7), each with one near copy
+        words = list(base)
+        for at in rng.sample(range(5, 290, 6), 5):
+            words[at] = f"x{rng.randrange(10**9)}"
+        texts.append(" ".join(words))
+        words[-1] = "end"
+        texts.append(" ".join(words))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    roots = components(len(texts), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    found = [simhash.shingles(t) for t in texts]
+    sketches = [(i, len(v), sim, [7], marks) for i, v in enumerate(found) for sim, _, marks in [simhash.sketch(v)]]  # one shard
+    sets_of = spark.createDataFrame([(i, np.unique(v.astype(np.uint32)).tobytes()) for i, v in enumerate(found)], "fp long, v binary")
+    got = simhash.near_copies(spark.createDataFrame(sketches, "fp long, n int, sim long, bands array<long>, marks binary"), lambda fps: sets_of.join(fps, "fp"))
+    assert {(r["node"], r["root"]) for r in got.collect()} == {(i, r) for i, r in enumerate(roots) if i != r} and len(set(roots)) == 40
+
+
 def test_connected_components(spark):
     edges = [(i, i + 1) for i in range(0, 30)] + [(100, i) for i in range(101, 140)] + [(5, 5)]
     df = spark.createDataFrame(edges, "src long, dst long")
