@@ -391,6 +391,13 @@ def test_every_text_gives_an_example():
                 assert context == [target + k if 0 <= target + k < n else 999 for k in (-2, -1, 1, 2)]
 
 
+def test_every_token_trains_once():
+    for n in (0, 1, 2, 3, 7, 100):
+        for key in (0, 12345, 2**61 + 7):
+            turns = [pseudolm.examples(np.arange(n, dtype="<u2"), key, turn, 999, pseudolm.ROUNDS, pseudolm.EVERY) for turn in range(pseudolm.ROUNDS)]
+            assert sorted(r[0] for rows in turns for r in rows.tolist()) == list(range(n))
+
+
 # op5
 
 

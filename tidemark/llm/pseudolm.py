@@ -10,8 +10,8 @@ log-probability. A document's score is the sum over its tokens.
   the binary decisions on its path, so all tokens' probabilities add up to one without a sum over the
   vocabulary, in training as in scoring. The decisions' biases start at the corpus's counts: an untrained
   network is the unigram model of the corpus, never random.
-* Training: every document gives one token in ``EVERY`` (at least one), at places set by a hash of the
-  row, so that what trains grows with the corpus. In each of ``ROUNDS`` rounds the examples of that round are
+* Training: every token of every document is an example once, in one of ``ROUNDS`` rounds, set by its place and a
+  hash of the row; a caller's ``every`` takes one token in so many (at least one a document). The examples of a round are
   dealt into shards by hash, each of about ``SHARD_EXAMPLES``; every shard starts from the shared
   parameters and descends over its examples in the order of their hashes. A row of parameters moves by
   the mean over the shards that touched it, weighted by how often they did. Sums are of whole multiples
@@ -42,8 +42,9 @@ DIM = 16
 HIDDEN = 16
 SIDE = 2
 ROUNDS = 3
-EVERY = 16
-SHARD_EXAMPLES = 1 << 18
+EVERY = 1
+#: A shard hands on one set of parameters, so larger shards exchange less for the same examples.
+SHARD_EXAMPLES = 1 << 20
 BATCH = 1024
 RATE = 0.1
 #: Start of Adagrad's sums of squares.
@@ -260,7 +261,7 @@ class Network:
 def examples(x: np.ndarray, key: int, turn: int, pad: int, rounds: int, every: int) -> np.ndarray:
     """Rows (target, contexts) of one text's examples of a round, at places set by its key."""
     n, step = len(x), every * rounds
-    if n < step:
+    if n < step and every > 1:  # at every = 1 the rounds share out all places
         places = np.array([key % n] if n and (key >> 20) % rounds == turn else [], dtype=np.int64)
     else:
         places = np.arange((key + turn * every) % step, n, step)
