@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, common, covertree, decontaminate, licenses, pseudolm, secrets, simhash, surrogates, toxicity, urlfilter
+from tidemark.llm import bpe, common, covertree, decontaminate, licenses, pseudolm, queries, secrets, simhash, surrogates, toxicity, urlfilter
 from tidemark.llm.queries import URL_RULES, tokenizer
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, component_id string, license string, score string"
@@ -398,6 +398,70 @@ def test_every_token_trains_once():
             assert sorted(r[0] for rows in turns for r in rows.tolist()) == list(range(n))
 
 
+def test_a_step_follows_every_decision():
+    rng = np.random.default_rng(3)
+    counts = np.concatenate([100_000 // np.arange(1, 301), np.zeros(pseudolm.BUCKETS, dtype=np.int64)])
+    net = pseudolm.Network(pseudolm.Tree(counts))
+    net.u[:, :-1] = rng.normal(0, 0.3, net.u[:, :-1].shape)
+    found = np.where(rng.random((500, 5)) < 0.7, rng.integers(0, 8, (500, 5)), rng.integers(0, net.pad, (500, 5))).astype(np.uint16)
+    found[:20, 1:3] = net.pad
+    for batch in (found, np.zeros((3, 5), dtype=np.uint16)):  # the most frequent word has no decision below the top
+        learner = pseudolm.Learner(net)
+        learner.learn(batch)
+        e, w, u = (p.astype(float) for p in net.parts())
+        grads, used = [np.zeros_like(p) for p in (e, w, u)], [np.zeros(len(p), dtype=int) for p in (e, w, u)]
+        for target, *context in batch.tolist():
+            x = np.r_[e[context].reshape(-1), 1]
+            h = np.tanh(x @ w)
+            start, dh = net.tree.starts[target], 0
+            for k in range(start, start + net.tree.lengths[target]):
+                node, sign = net.tree.nodes[k], net.tree.signs[k]
+                g = sign / (1 + np.exp(sign * (u[node, :-1] @ h + u[node, -1])))
+                grads[2][node] += g * np.r_[h, 1]
+                used[2][node] += 1
+                dh = dh + g * u[node, :-1]
+            dh = dh * (1 - h * h)
+            grads[1] += np.outer(x, dh)
+            used[1] += 1
+            for at, move in zip(context, (w[:-1] @ dh).reshape(4, -1)):
+                grads[0][at] += move
+                used[0][at] += 1
+        for (moved, n), grad, m in zip(learner.moved(), grads, used):
+            assert (n == m).all() and np.abs(moved - pseudolm.RATE * grad / np.sqrt(pseudolm.SQUARES + grad * grad)).max() < 1e-5
+
+
+def test_pseudo_likelihood_parts_a_text_into_tokens_once(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(text):
+        seen.add(1)
+        return text
+
+    df = docs(spark, ["the cat sat", None, "", "on the mat"] * 5).repartition(3).withColumn("text", F.udf(look, "string")("text"))
+    monkeypatch.setattr(queries, "_table", lambda *_: df)
+    assert len(queries.op4_pseudo_likelihood(spark, "").collect()) == 20 and seen.value == 20
+
+
+def test_token_ids_over_groups_of_texts(spark):
+    # The second text ends a group, and the fourth alone has more words than two bytes can number.
+    many = " ".join(f"w{i}" for i in range(pseudolm.COUNTER_WORDS + 1))
+    texts = ["a b a", many + " a", "b, c", many + " b " + "y" * 50, None, "a"]
+    df = docs(spark, texts).coalesce(1)
+    numbered = pseudolm.number(df)
+    words = pseudolm.count(numbered)
+    known = words.ids()
+    assert words.words[:2] == ["a", "b"] and words.counts[:2].tolist() == [4, 3] and words.counts.sum() == sum(len(pseudolm.tokens(t)) for t in texts)
+    found = by_id(pseudolm.recode(numbered, words))
+    for i, text in enumerate(texts):
+        ids = np.array([known[w] for w in pseudolm.tokens(text)], dtype="<u2")
+        assert found[i]["x"] == ids.tobytes() and (np.bincount(ids, minlength=words.size) <= words.counts).all()
+
+
+def test_tokens():
+    for text in ("", " \t", "Don't  stop--now. \u2003", "Größe ΣΑΣ_1 中文,字\x1c.\n", "a" + " " * 50_000):
+        assert pseudolm.tokens(text) == re.findall(r"\w+|[^\w\s]+", text.lower())
+
+
 # op5
 
 

@@ -17,8 +17,10 @@ log-probability. A document's score is the sum over its tokens.
   the mean over the shards that touched it, weighted by how often they did. Sums are of whole multiples
   of a quantum. So neither partitions nor their order change the model.
 
-Texts are made token ids once, two bytes a token, written to the checkpoint folder, and read for every
-round and for scoring. The driver reads the vocabulary, and one set of parameters a round, whatever the corpus.
+Texts are parted into tokens once, and written to the checkpoint folder as numbers by each task's own list of
+words; the vocabulary comes from those lists. Token ids, two bytes a token, are dealt to the shards once and
+read there by every round. Half of all decisions are at the tree's top, where all of a batch's examples and
+all nodes go through matrix products. The driver reads the vocabulary, and one set of parameters a round, whatever the corpus.
 """
 
 from __future__ import annotations
@@ -26,15 +28,15 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
-from collections import Counter
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bound_batches, map_rows, materialize
+from tidemark.llm.common import arrow_types, bound_batches, materialize
 
 VOCABULARY = 1 << 14
 BUCKETS = 1 << 12
@@ -49,8 +51,12 @@ BATCH = 1024
 RATE = 0.1
 #: Start of Adagrad's sums of squares.
 SQUARES = 1.0
-#: Distinct words a task counts before it hands its counts on.
+#: Distinct words a group of texts has before it ends, and its tokens, where a text is as many as its objects take memory.
 COUNTER_WORDS = 400_000
+COUNTER_TOKENS = 1 << 23
+TEXT_TOKENS = 1 << 5
+#: Texts in one Arrow batch of a group.
+GROUP_TEXTS = 500
 #: Words over this length are counted under their bucket at once.
 LONGEST = 40
 #: Tokens scored at a time, which bounds memory for very long texts.
@@ -62,12 +68,15 @@ RECORD_ROWS = 1 << 8
 #: Parameters' moves are summed as whole multiples of this.
 QUANTUM = 2.0**-16
 OFFSETS = [k for k in range(-SIDE, SIDE + 1) if k]
+#: Places of an example's target and contexts in a padded text.
+WINDOW = SIDE + np.array([0, *OFFSETS])
 
-_TOKEN = re.compile(r"\w+|[^\w\s]+")
+#: With the whitespace before it and without steps back; as no text ends in whitespace, every search finds at its start.
+_TOKEN = re.compile(r"\s*+(\w++|[^\w\s]++)")
 
 
 def tokens(text: str | None) -> list[str]:
-    return _TOKEN.findall((text or "").lower())
+    return _TOKEN.findall((text or "").lower().rstrip())
 
 
 def bucket(word: str) -> int:
@@ -101,60 +110,167 @@ class Ids(dict):
         return self.first + bucket(word)
 
 
-def vocabulary(docs: DataFrame, text_col: str = "text", size: int = VOCABULARY) -> Vocabulary:
-    """The corpus's most frequent words, ``size`` at most, and all counts: counted in each task, then in a shuffle."""
+class Numbers(dict):
+    """Words' numbers, given in order of their first use."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        return number
+
+
+def number(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Texts as numbers of their words, written once: the only pass that parts texts into tokens.
+
+    A task's texts go by groups, each with its own numbers. A group is a row with its words, one a line, their
+    counts and their buckets, and then a row (id, x) for each of its texts; rows stay in this order.
+    """
     bound_batches(docs.sparkSession)
+    schema = f"id {dict(docs.dtypes)[id_col]}, x binary, words string, n binary, bucket binary"
+    types = arrow_types(schema)
+
+    def table(*columns):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["id", "x", "words", "n", "bucket"])
+
+    def group(numbers, keys, found):
+        kind, counts = _width(len(numbers)), np.zeros(len(numbers), dtype=np.int64)
+        for at in range(0, len(found), GROUP_TEXTS):
+            counts += np.bincount(np.concatenate(found[at : at + GROUP_TEXTS]), minlength=len(numbers))
+        yield table([None], [None], ["\n".join(numbers)], [counts.tobytes()], [np.fromiter(map(bucket, numbers), dtype="<u2", count=len(numbers)).tobytes()])
+        for at in range(0, len(keys), GROUP_TEXTS):
+            none = [None] * len(keys[at : at + GROUP_TEXTS])
+            yield table(keys[at : at + GROUP_TEXTS], [x.astype(kind).tobytes() for x in found[at : at + GROUP_TEXTS]], none, none, none)
+
+    def run(batches):
+        numbers, keys, found, held = Numbers(), [], [], 0
+        for batch in batches:
+            for key, text in zip(*(c.to_pylist() for c in batch.columns)):
+                words = tokens(text)
+                keys.append(key)
+                found.append(np.fromiter(map(numbers.__getitem__, words), dtype=np.int32, count=len(words)))
+                held += len(words) + TEXT_TOKENS
+                if len(numbers) > COUNTER_WORDS or held > COUNTER_TOKENS:
+                    yield from group(numbers, keys, found)
+                    numbers, keys, found, held = Numbers(), [], [], 0
+        if keys:
+            yield from group(numbers, keys, found)
+
+    return materialize(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema))
+
+
+def _width(words: int) -> str:
+    """Type of the numbers of so many words."""
+    return "<u2" if words <= 1 << 16 else "<u4"
+
+
+def _lines(words: str) -> list[str]:
+    return words.split("\n") if words else []
+
+
+def vocabulary(docs: DataFrame, text_col: str = "text", size: int = VOCABULARY) -> Vocabulary:
+    """``count`` of texts that are used for nothing else."""
+    return count(number(docs.select(F.lit(0).alias("id"), F.col(text_col).alias("text")), "id", "text"), size)
+
+
+def encode(docs: DataFrame, words: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``recode`` of texts that were not numbered for the vocabulary."""
+    return recode(number(docs, id_col, text_col), words, id_col)
+
+
+def count(numbered: DataFrame, size: int = VOCABULARY) -> Vocabulary:
+    """The most frequent words of all texts of ``number``, ``size`` at most, and all counts: its groups' lists, merged by bucket."""
+    bound_batches(numbered.sparkSession)
+
+    def handed(batches):
+        for batch in batches:
+            for words, n, buckets in zip(*(c.to_pylist() for c in batch.columns)):
+                words, n, buckets = _lines(words), np.frombuffer(n, dtype=np.int64), np.frombuffer(buckets, dtype="<u2")
+                totals = np.bincount(buckets, n, BUCKETS).astype(np.int64)
+                order = np.argsort(buckets, kind="stable")
+                order = order[np.fromiter(map(len, words), dtype=np.int64, count=len(words))[order] <= LONGEST]
+                words, n, buckets = [words[k] for k in order.tolist()], n[order], buckets[order]
+                used = np.flatnonzero(totals)
+                starts, ends = (np.searchsorted(buckets, used, side).tolist() for side in ("left", "right"))
+                yield table([(b, t, "\n".join(words[i:j]), n[i:j].tobytes()) for b, t, i, j in zip(used.tolist(), totals[used].tolist(), starts, ends)])
+
+    def table(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, types)], names=["bucket", "total", "words", "n"])
 
-    def count(batches):
-        counter: Counter = Counter()
+    def add(batches):
+        now, total, known = None, 0, {}
 
-        def handed():
-            table = pa.RecordBatch.from_arrays([pa.array([w if len(w) <= LONGEST else None for w in counter], pa.string()), pa.array(map(bucket, counter), pa.int32()), pa.array(counter.values(), pa.int64())], names=["word", "bucket", "n"])
-            counter.clear()
-            return table
+        def added():
+            return table([(now, total, "\n".join(known), np.fromiter(known.values(), dtype=np.int64, count=len(known)).tobytes())])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counter.update(tokens(text))
-                if len(counter) > COUNTER_WORDS:
-                    yield handed()
-        yield handed()
-
-    each = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "word string, bucket int, n long")
-    counts = materialize(each.groupBy("word", "bucket").agg(F.sum("n").alias("n")))
+            for at, n_all, words, n in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != now:
+                    if now is not None:
+                        yield added()
+                    now, total, known = at, 0, {}
+                total += n_all
+                for word, k in zip(_lines(words), np.frombuffer(n, dtype=np.int64).tolist()):
+                    known[word] = known.get(word, 0) + k
+        if now is not None:
+            yield added()
+
+    def steps(n):
+        return np.floor(np.log2(np.frombuffer(n, dtype=np.int64)) * 64).astype(np.int64)
+
+    def bins(batches):
+        for batch in batches:
+            step, words = np.unique(steps(b"".join(batch.column(0).to_pylist())), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(step, pa.int64()), pa.array(words, pa.int64())], names=["step", "words"])
+
+    def most(batches):
+        for batch in batches:
+            found = []
+            for at, words, n in zip(*(c.to_pylist() for c in batch.columns)):
+                if len(keep := np.flatnonzero(steps(n) >= least)):
+                    words, n = words.split("\n"), np.frombuffer(n, dtype=np.int64)
+                    found += [(words[k], at, int(n[k])) for k in keep.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found) if found else [()] * 3, (pa.string(), pa.int32(), pa.int64()))], names=["word", "bucket", "n"])
+
+    schema = "bucket int, total long, words string, n binary"
+    types = arrow_types(schema)
+    # A bucket's words are one row a group, and their sums one row in all: a task holds one bucket's words.
+    each = numbered.where("words is not null").select("words", "n", "bucket").mapInArrow(handed, schema)
+    counts = materialize(each.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add, schema))
     # The words of the highest bins of frequency that fit: no task, nor the driver, sorts the words.
-    step = F.floor(F.log2("n") * 64).cast("int")
-    known = counts.where("word is not null").withColumn("step", step)
     least, room = 0, size
-    for r in sorted(known.groupBy("step").count().collect(), reverse=True):  # at most 64 a power of two
+    for r in sorted(counts.select("n").mapInArrow(bins, "step long, words long").groupBy("step").agg(F.sum("words").alias("count")).collect(), reverse=True):  # at most 64 a power of two
         room -= r["count"]
         if room < 0:
             least = r["step"] + 1
             break
-    top = sorted(known.where(F.col("step") >= least).select("word", "bucket", "n").collect(), key=lambda r: (-r["n"], r["word"]))  # ``size`` rows at most
+    top = sorted(counts.select("bucket", "words", "n").mapInArrow(most, "word string, bucket int, n long").collect(), key=lambda r: (-r["n"], r["word"]))  # ``size`` rows at most
     words = [r["word"] for r in top]
     rest = np.zeros(BUCKETS, dtype=np.int64)
-    for r in counts.groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # one row a bucket
-        rest[r["bucket"]] = r["n"]
+    for r in counts.select("bucket", "total").collect():  # one row a bucket
+        rest[r["bucket"]] = r["total"]
     np.subtract.at(rest, [r["bucket"] for r in top], [r["n"] for r in top])
     return Vocabulary(words, np.concatenate([np.array([r["n"] for r in top], dtype=np.int64), rest]))
 
 
-def encode(docs: DataFrame, words: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``id_col`` and x, its token ids as little-endian 16-bit integers; written once."""
-    shared = docs.sparkSession.sparkContext.broadcast(words)
-    key_type = dict(docs.dtypes)[id_col]
-
-    def factory():
-        ids = shared.value.ids()
-
-        def one(key, text):
-            found = tokens(text)
-            return key, np.fromiter(map(ids.__getitem__, found), dtype="<u2", count=len(found)).tobytes()
+def recode(numbered: DataFrame, words: Vocabulary, id_col: str = "doc_id") -> DataFrame:
+    """One row per text of ``number``: ``id_col`` and x, its token ids as little-endian 16-bit integers."""
+    bound_batches(numbered.sparkSession)
+    shared = numbered.sparkSession.sparkContext.broadcast(words)
+    key_type = dict(numbered.dtypes)["id"]
 
-        return one
+    def run(batches):
+        ids, table = shared.value.ids(), np.zeros(0, dtype="<u2")
+        for batch in batches:
+            keep, made = [], []
+            for at, (x, known, buckets) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]))):
+                if known is None:
+                    keep.append(at)
+                    made.append(np.take(table, np.frombuffer(x, dtype=_width(len(table)))).tobytes())
+                else:
+                    found = np.fromiter(map(ids.get, _lines(known), repeat(-1)), dtype=np.int32)
+                    table = np.where(found < 0, ids.first + np.frombuffer(buckets, dtype="<u2").astype(np.int32), found).astype("<u2")
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(made, pa.binary())], names=[id_col, "x"])
 
-    return materialize(map_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), factory, f"`{id_col}` {key_type}, x binary"))
+    return numbered.select("id", "x", "words", "bucket").mapInArrow(run, f"`{id_col}` {key_type}, x binary")
 
 
 class Tree:
@@ -186,22 +302,81 @@ class Tree:
         self.lengths = (ends - self.starts).astype(np.int32)
         self.nodes, self.signs = flat.astype(np.int32), np.array(signs, dtype=np.float32)
         self.bias = bias.astype(np.float32)
-
-    def paths(self, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For targets: row of each decision, its node and sign, and where each row's decisions start."""
-        lengths = self.lengths[targets]
-        starts = np.cumsum(lengths, dtype=np.int32) - lengths
-        rows = np.repeat(np.arange(len(targets), dtype=np.int32), lengths)
-        flat = np.arange(len(rows), dtype=np.int32) + (self.starts[targets] - starts)[rows]
-        return rows, self.nodes[flat], self.signs[flat], starts
-
-
-def _by_row(ids: np.ndarray, grads: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct ids, their gradients' sums and their counts."""
+        # The last nodes made are the tree's top, where a path ends: its signs in a matrix. The decisions below it,
+        # from a leaf upwards, as one array a level, of the node's number from 1 with the decision's sign.
+        self.first = max(n - 1 - TOP_NODES, 0)
+        leaves, high = np.repeat(np.arange(n), self.lengths + 1), flat >= self.first
+        self.top = np.zeros((n, n - 1 - self.first), dtype=np.int8)
+        self.top[leaves[high], flat[high] - self.first] = self.signs[high]
+        self.low = (self.lengths - np.bincount(leaves[high], minlength=n)).astype(np.uint16)
+        self.levels = []
+        for k in range(int(self.low.max())):
+            at = self.starts + np.minimum(k, self.lengths)  # past the top a level isn't read
+            self.levels.append(((self.nodes[at] + 1) * self.signs[at]).astype(np.int32))
+
+    def order(self, targets: np.ndarray) -> np.ndarray:
+        """Places of targets, those with most decisions below the top first."""
+        return np.argsort(np.take(self.low, targets), kind="stable")[::-1]
+
+    def below(self, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For targets in ``order``: how many have a decision at each level, and those decisions' nodes and signs, level by level."""
+        sizes = len(targets) - np.cumsum(np.bincount(np.take(self.low, targets)))[:-1]
+        signed = np.concatenate([np.take(level, targets[:k]) for level, k in zip(self.levels, sizes)] or [np.zeros(0, dtype=np.int32)])
+        return sizes, np.abs(signed) - 1, np.sign(signed).astype(np.float32)
+
+
+def _levels(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The rows of each level's decisions, level by level."""
+    return np.concatenate([rows[:0], *(rows[:k] for k in sizes)])
+
+
+def _add_levels(sums: np.ndarray, values: np.ndarray, sizes: np.ndarray) -> None:
+    """Add the values of each level's decisions to their rows."""
+    at = 0
+    for k in sizes:
+        sums[:k] += values[at : at + k]
+        at += k
+
+
+def _by_row(ids: np.ndarray, grads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids and their gradients' sums."""
     order = np.argsort(ids.astype(np.uint16), kind="stable")
-    found = ids[order]
-    starts = np.flatnonzero(np.r_[True, found[1:] != found[:-1]])
-    return found[starts], np.add.reduceat(grads[order], starts, axis=0), np.diff(np.r_[starts, len(found)])
+    found = np.take(ids, order)
+    starts = np.flatnonzero(np.concatenate([np.ones(min(len(ids), 1), dtype=bool), found[1:] != found[:-1]]))
+    # As complex numbers, two columns are added at once.
+    return np.take(found, starts), np.add.reduceat(np.take(grads, order, axis=0).view(np.complex64), starts, axis=0).view(np.float32)
+
+
+def _slopes(z: np.ndarray, signs: np.ndarray) -> np.ndarray:
+    """Gradients of log(sigmoid(sign * z)) by z, in the place of z; 0 where the sign is 0."""
+    z *= signs
+    np.exp(np.minimum(z, 60, out=z), out=z)
+    z += 1
+    return np.divide(signs, z, out=z)
+
+
+def _step(part: np.ndarray, square: np.ndarray, grad: np.ndarray, ids: np.ndarray | slice) -> None:
+    """One step of Adagrad upwards on the rows ``ids``, each once."""
+    sliced = isinstance(ids, slice)
+    squares = square[ids] if sliced else np.take(square, ids, axis=0)
+    squares += grad * grad
+    move = np.sqrt(squares)
+    np.divide(grad, move, out=move)
+    move *= RATE
+    if sliced:
+        part[ids] += move
+        return
+    move += np.take(part, ids, axis=0)
+    row = np.dtype((np.void, part.strides[0]))  # whole rows are put, not their numbers
+    np.put(square.view(row), ids, squares.view(row))
+    np.put(part.view(row), ids, move.view(row))
+
+
+def _losses(z: np.ndarray) -> np.ndarray:
+    """-log(sigmoid(-z)), in the place of z."""
+    np.exp(np.minimum(z, 60, out=z), out=z)
+    z += 1
+    return np.log(z, out=z)
 
 
 class Network:
@@ -222,40 +397,80 @@ class Network:
 
         Embeddings and layer are folded into one table a neighbour, so a hidden vector is a sum of gathered rows.
         """
+        tree = self.tree
         tables = [self.e @ self.w[k * DIM : (k + 1) * DIM] for k in range(2 * SIDE)]
-        weights, bias = np.ascontiguousarray(self.u[:, :-1]), self.u[:, -1].copy()
-        first = max(len(weights) - TOP_NODES, 0)  # the last nodes made are the tree's top
-        top = np.ascontiguousarray(weights[first:].T)
+        weights, bias = -self.u[:, :-1], -self.u[:, -1]
+        top = np.ascontiguousarray(weights[tree.first :].T)
         out = np.empty(len(places), dtype=np.float64)
         for at in range(0, len(places), BLOCK):
             here = places[at : at + BLOCK]
-            h = np.tanh(sum((t[padded[here + k]] for t, k in zip(tables, OFFSETS)), self.w[-1]))
-            rows, nodes, signs, starts = self.tree.paths(padded[here])
-            high = nodes >= first
-            low = np.flatnonzero(~high)
-            high = np.flatnonzero(high)
-            z = bias[nodes]
-            z[high] += (h @ top)[rows[high], nodes[high] - first]
-            z[low] += np.einsum("ij,ij->i", weights[nodes[low]], h[rows[low]])
+            order = tree.order(padded[here])
+            here = here[order]
+            targets = padded[here]
+            h = np.tanh(sum((np.take(t, padded[here + k], axis=0) for t, k in zip(tables, OFFSETS)), self.w[-1]))
+            signs = np.take(tree.top, targets, axis=0).astype(np.float32)
+            z = h @ top
+            z += bias[tree.first :]
             z *= signs
-            out[at : at + len(here)] = np.add.reduceat(-np.log(1 + np.exp(np.minimum(-z, 60))), starts, dtype=np.float64)
+            found = np.einsum("ij,ij->i", _losses(z), np.abs(signs, out=signs)).astype(np.float64)
+            sizes, nodes, signs = tree.below(targets)
+            z = np.einsum("ij,ij->i", np.take(weights, nodes, axis=0), _levels(h, sizes)) + np.take(bias, nodes)
+            z *= signs
+            _add_levels(found, _losses(z), sizes)
+            out[at + order] = -found
         return out
 
-    def descend(self, targets: np.ndarray, contexts: np.ndarray, squares: list[np.ndarray], touched: list[np.ndarray]) -> None:
-        """One step of Adagrad on the rows that a batch of examples touches."""
-        x = np.concatenate([self.e[contexts].reshape(len(targets), -1), np.ones((len(targets), 1), dtype=np.float32)], axis=1)
-        h = np.tanh(x @ self.w)
-        h1 = np.concatenate([h, np.ones((len(targets), 1), dtype=np.float32)], axis=1)
-        rows, nodes, signs, starts = self.tree.paths(targets)
-        u, hr = self.u[nodes], h1[rows]
-        g = -signs / (1 + np.exp(np.clip(np.einsum("ij,ij->i", u, hr) * signs, -60, 60)))
-        dh = np.add.reduceat(g[:, None] * u, starts, axis=0)[:, :-1] * (1 - h * h)
-        de = (dh @ self.w[:-1].T).reshape(-1, DIM)
-        moves = [_by_row(contexts.reshape(-1), de), (np.arange(len(self.w)), x.T @ dh, np.full(len(self.w), len(targets))), _by_row(nodes, g[:, None] * hr)]
-        for part, square, touch, (ids, grad, n) in zip(self.parts(), squares, touched, moves):
-            square[ids] += grad * grad
-            part[ids] -= RATE * grad / np.sqrt(square[ids])
-            touch[ids] += n
+
+class Learner:
+    """A shard's own parameters, which descend over its examples, and how often it used them."""
+
+    def __init__(self, network: Network) -> None:
+        self.network, self.tree = network, network.tree
+        self.e, self.w = network.e.copy(), network.w.copy()
+        self.u = np.pad(network.u, ((0, 0), (0, 1)))  # a column of zeros, as sums need an even width
+        self.squares = [np.full_like(p, SQUARES) for p in (self.e, self.w, self.u)]
+        self.contexts, self.targets = (np.zeros(n, dtype=np.int64) for n in (len(self.e), network.pad))
+
+    def learn(self, found: np.ndarray) -> None:
+        """Batch by batch, over rows of ``examples``."""
+        self.targets += np.bincount(found[:, 0], minlength=len(self.targets))
+        self.contexts += np.bincount(found[:, 1:].reshape(-1), minlength=len(self.contexts))
+        for at in range(0, len(found), BATCH):
+            batch = found[at : at + BATCH].astype(np.int64)
+            batch = np.take(batch, self.tree.order(batch[:, 0]), axis=0)
+            self.descend(batch[:, 0], batch[:, 1:])
+
+    def descend(self, targets: np.ndarray, contexts: np.ndarray) -> None:
+        """One step on the rows that a batch of examples, in the tree's order, touches."""
+        tree, first = self.tree, self.tree.first
+        x = np.take(self.e, contexts, axis=0).reshape(len(targets), -1)
+        h = np.tanh(x @ self.w[:-1] + self.w[-1])
+        h1 = np.zeros((len(targets), HIDDEN + 2), dtype=np.float32)
+        h1[:, :HIDDEN], h1[:, HIDDEN] = h, 1
+        # Every row with every node of the top, as matrices.
+        top = self.u[first:]
+        g = _slopes(h1 @ top.T, np.take(tree.top, targets, axis=0).astype(np.float32))
+        dh, dtop = g @ top, g.T @ h1
+        # The decisions below it, one by one.
+        sizes, nodes, signs = tree.below(targets)
+        u, hr = np.take(self.u, nodes, axis=0), _levels(h1, sizes)
+        g = _slopes(np.einsum("ij,ij->i", u, hr), signs)[:, None]
+        _add_levels(dh, np.multiply(u, g, out=u), sizes)
+        dh = dh[:, :HIDDEN] * (1 - h * h)
+        embedded = _by_row(contexts.reshape(-1), (dh @ self.w[:-1].T).reshape(-1, DIM))
+        below = _by_row(nodes, np.multiply(hr, g, out=hr))
+        layer = slice(None), np.concatenate([x.T @ dh, np.ones((1, len(dh)), dtype=np.float32) @ dh])
+        for part, square, (ids, grad) in zip((self.e, self.w, self.u, self.u), (*self.squares, self.squares[-1]), (embedded, layer, below, (slice(first, None), dtop))):
+            _step(part, square, grad, ids)
+
+    def moved(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each of the network's parts, its rows' moves and how often each row was used."""
+        order = self.tree.order(np.arange(len(self.targets)))
+        sizes, nodes, _ = self.tree.below(order)
+        used = np.bincount(nodes, _levels(self.targets[order], sizes), len(self.u)).astype(np.int64)
+        used[self.tree.first :] += self.targets @ np.abs(self.tree.top).astype(np.int64)
+        counts = self.contexts, np.full(len(self.w), self.targets.sum()), used
+        return [(part - old, n) for part, old, n in zip((self.e, self.w, self.u[:, :-1]), self.network.parts(), counts)]
 
 
 def examples(x: np.ndarray, key: int, turn: int, pad: int, rounds: int, every: int) -> np.ndarray:
@@ -265,8 +480,9 @@ def examples(x: np.ndarray, key: int, turn: int, pad: int, rounds: int, every: i
         places = np.array([key % n] if n and (key >> 20) % rounds == turn else [], dtype=np.int64)
     else:
         places = np.arange((key + turn * every) % step, n, step)
-    padded = np.concatenate([np.full(SIDE, pad), x, np.full(SIDE, pad)]).astype(np.uint16)
-    return np.stack([padded[places + SIDE + k] for k in [0, *OFFSETS]], axis=1)
+    padded = np.full(n + 2 * SIDE, pad, dtype=np.uint16)
+    padded[SIDE : SIDE + n] = x
+    return np.take(padded, places[:, None] + WINDOW)
 
 
 def train(rows: DataFrame, words: Vocabulary, id_col: str = "doc_id", rounds: int = ROUNDS, every: int = EVERY) -> Network:
@@ -277,54 +493,47 @@ def train(rows: DataFrame, words: Vocabulary, id_col: str = "doc_id", rounds: in
     pad = network.pad
     shards = max(1, -(-int(words.counts.sum()) // (every * rounds * SHARD_EXAMPLES)))
     keyed = rows.where(F.length("x") > 0).select(F.shiftrightunsigned(F.xxhash64(F.col(id_col), "x"), 1).alias("key"), "x")
+    # A text is in the same shard in every round, so the token ids are dealt once, two bytes a token.
+    dealt = materialize(keyed.select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "key", "x").repartition("shard").sortWithinPartitions("shard", "key"))
 
     for turn in range(rounds):
         shared = spark.sparkContext.broadcast(network)
 
-        def deal(batches, turn=turn):
-            for batch in batches:
-                keys = batch.column(0).to_pylist()
-                made = [examples(np.frombuffer(x, dtype="<u2"), key, turn, pad, rounds, every).tobytes() for key, x in zip(keys, batch.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(made, pa.binary())], names=["key", "x"])
-
-        dealt = keyed.mapInArrow(deal, "key long, x binary").where(F.length("x") > 0).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
-
-        def descend(batches, shared=shared):
-            now, local, waiting = None, None, []
+        def descend(batches, shared=shared, turn=turn):
+            now, local, waiting, held = None, None, [], 0
 
             def steps(least: int):
-                nonlocal waiting
-                if sum(map(len, waiting)) < least:
+                nonlocal waiting, held
+                if held < least:
                     return
                 found = np.concatenate(waiting)
-                last = len(found) - len(found) % BATCH if least > 1 else len(found)
-                for at in range(0, last, BATCH):
-                    batch = found[at : min(at + BATCH, last)].astype(np.int64)
-                    local.descend(batch[:, 0], batch[:, 1:], squares, touched)
-                waiting = [found[last:]]
+                last = held - held % BATCH if least > 1 else held
+                local.learn(found[:last])
+                waiting, held = [found[last:]], held - last
 
             def moved():
                 steps(1)
-                for number, (part, old, touch) in enumerate(zip(local.parts(), shared.value.parts(), touched)):
-                    for at in range(0, len(part), RECORD_ROWS):
-                        n = touch[at : at + RECORD_ROWS]
+                for number, (moves, used) in enumerate(local.moved()):
+                    for at in range(0, len(moves), RECORD_ROWS):
+                        n = used[at : at + RECORD_ROWS]
                         if n.any():
-                            yield number, at // RECORD_ROWS, n.tobytes(), (part[at : at + RECORD_ROWS] - old[at : at + RECORD_ROWS]).tobytes()
+                            yield number, at // RECORD_ROWS, n.tobytes(), moves[at : at + RECORD_ROWS].tobytes()
 
             def table(found):
                 columns = list(zip(*found)) or [(), (), (), ()]
                 return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["part", "at", "n", "d"])
 
             for batch in batches:
-                for shard, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for shard, key, x in zip(*(c.to_pylist() for c in batch.columns)):
                     if shard != now:
                         if now is not None:
                             yield table(moved())
-                        now, local, waiting = shard, _copy(shared.value), []
-                        squares = [np.full_like(p, SQUARES) for p in local.parts()]
-                        touched = [np.zeros(len(p), dtype=np.int64) for p in local.parts()]
-                    waiting.append(np.frombuffer(x, dtype=np.uint16).reshape(-1, 1 + 2 * SIDE))
-                    steps(64 * BATCH)
+                        now, local, waiting, held = shard, Learner(shared.value), [], 0
+                    made = examples(np.frombuffer(x, dtype="<u2"), key, turn, pad, rounds, every)
+                    if len(made):
+                        waiting.append(made)
+                        held += len(made)
+                        steps(64 * BATCH)
             if now is not None:
                 yield table(moved())
 
@@ -340,7 +549,7 @@ def train(rows: DataFrame, words: Vocabulary, id_col: str = "doc_id", rounds: in
                 mean = d * QUANTUM / np.maximum(n, 1)[:, None]
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([at], pa.int32()), pa.array([mean.astype(np.float32).tobytes()], pa.binary())], names=["part", "at", "d"])
 
-        moves = dealt.select("shard", "x", "key").repartition("shard").sortWithinPartitions("shard", "key").mapInArrow(descend, "part int, at int, n binary, d binary")
+        moves = dealt.mapInArrow(descend, "part int, at int, n binary, d binary")
         network = _copy(network)
         for r in moves.repartition("part", "at").mapInArrow(add, "part int, at int, d binary").collect():  # one set of parameters
             part = network.parts()[r["part"]][r["at"] * RECORD_ROWS : (r["at"] + 1) * RECORD_ROWS]

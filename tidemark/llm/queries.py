@@ -47,9 +47,9 @@ def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    words = pseudolm.vocabulary(docs)
-    rows = pseudolm.encode(docs, words)
+    numbered = pseudolm.number(_table(spark, sf_dir, "documents"))
+    words = pseudolm.count(numbered)
+    rows = pseudolm.recode(numbered, words)
     return pseudolm.score(rows, pseudolm.train(rows, words))
 
 
