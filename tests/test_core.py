@@ -253,6 +253,27 @@ def test_zero_vectors_are_near_nothing(spark):
     assert {r["id"] for r in embed.nearest(index, [1.0, 0.0], 3, "id").collect()} == {1, 2}
 
 
+def test_nearest_many_works_in_tiles(spark, monkeypatch):
+    shapes, merge = [], embed._merge
+    monkeypatch.setattr(embed, "TILE_QUERIES", 5)
+    monkeypatch.setattr(embed, "TILE_ROWS", 7)
+    # Ties by the dozen: four directions, ids out of order.
+    x = np.tile(np.eye(4), (20, 1))[np.random.default_rng(3).permutation(80)]
+    far, names = np.full((4, 3), embed.FAR), np.empty((4, 3), dtype=np.int64)
+    for start in range(0, 80, 7):
+        shapes.append((tile := np.eye(4) @ x[start : start + 7].T).shape)
+        merge(tile, np.arange(start, min(start + 7, 80)), far, names)
+    assert max(shapes) <= (5, 7) and names.tolist() == [np.flatnonzero(x[:, q])[:3].tolist() for q in range(4)] and (far == 0).all()
+    for kind in ("long", "string"):
+        index = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>").select(F.col("id").cast(kind), "embedding").repartition(2)
+        asked = index.where("cast(id as long) < 23").withColumnRenamed("id", "query_id")
+        got = {(r["query_id"], r["rank"]): (r["id"], r["distance"]) for r in embed.nearest_many(index, asked, 3, "id").collect()}
+        own = (lambda i: i) if kind == "long" else str
+        for q in range(23):
+            near = sorted(own(int(i)) for i in np.flatnonzero((x == x[q]).all(axis=1)))[:3]
+            assert [got[own(q), n] for n in (1, 2, 3)] == [(i, 0.0) for i in near]
+
+
 def test_live_runs_need_an_endpoint_and_a_key(monkeypatch, tmp_path):
     settings = C.Llm(api_key_env="TIDE_KEY")
     monkeypatch.delenv("TIDE_KEY", raising=False)

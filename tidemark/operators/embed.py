@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.checkpoints import materialize
 from tidemark.config import Embed
 from tidemark.functions import vectors as V
+from tidemark.sources.readers import spread
 
 
 class Embedder(Protocol):
@@ -120,7 +121,7 @@ def nearest(index: DataFrame, query: list[float] | Column, k: int = 5, id_col: s
 def nearest_many(index: DataFrame, queries: DataFrame, k: int, id_col: str = "record_id", query_id: str = "query_id", vector_col: str = "embedding", query_rows: int = 10_000) -> DataFrame:
     """(query_id, id, distance, rank) for a set of queries of any size, in blocks of ``query_rows``, each broadcast to the index's tasks.
 
-    Each task keeps k rows a query, so the shuffle carries tasks * queries * k rows and never all pairs.
+    A task compares a tile of queries with a tile of rows at a time, so its memory depends on neither table. It keeps k rows a query, so the shuffle carries tasks * queries * k rows and never all pairs.
     Zero vectors, of the index or of the queries, are near nothing, as in ``nearest``. The queries stream through the driver; of several blocks each one's result is materialized, and its
     broadcast freed, before the next. The index is read once a block.
     """
@@ -147,6 +148,42 @@ def _ranked(found: DataFrame, k: int, query_id: str, id_col: str) -> DataFrame:
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+#: Queries and rows whose distances a task of ``nearest_many`` holds at once: 8 MB, whatever the batches and the query set.
+TILE_QUERIES, TILE_ROWS, FAR = 512, 2048, float("inf")
+
+
+def _merge(far, own, best, names) -> None:
+    """Put the rows ``own`` with the cosines ``far`` (queries * rows) among the k best of each query, in place; ties go by id.
+
+    Only rows that are no farther than a query's worst held row are looked at: few, once some tiles have passed.
+    """
+    import numpy as np
+
+    np.subtract(1, far, out=far)
+    np.multiply(far, 1e6, out=far)
+    np.maximum(np.rint(far, out=far), 0.0, out=far)
+    k = best.shape[1]
+    limit = best[:, -1]
+    if far.shape[1] > k:
+        limit = np.minimum(limit, np.partition(far, k - 1, axis=1)[:, k - 1]) if np.isinf(limit).any() else limit
+    r, c = np.nonzero((far <= limit[:, None]) & (far < FAR))
+    late = np.flatnonzero(far[r, c] == best[r, -1])  # as far as the worst held row: only with a smaller id
+    if len(late):
+        late = late[~np.asarray(own[c[late]] < names[r[late], -1], dtype=bool)]
+        r, c = np.delete(r, late), np.delete(c, late)
+    if not len(r):
+        return
+    rows = np.unique(r)
+    old = np.isfinite(best[rows])
+    at, d, ids = np.concatenate([r, np.repeat(rows, old.sum(axis=1))]), np.concatenate([far[r, c], best[rows][old]]), np.concatenate([own[c], names[rows][old]])
+    order = np.lexsort((ids, d, at)) if ids.dtype != object else np.array(sorted(range(len(at)), key=lambda i: (at[i], d[i], ids[i])))
+    at, d, ids = at[order], d[order], ids[order]
+    place = np.arange(len(at)) - np.searchsorted(at, at)
+    keep = place < k
+    best[rows] = FAR
+    best[at[keep], place[keep]], names[at[keep], place[keep]] = d[keep], ids[keep]
+
+
 def _nearest_block(index: DataFrame, queries: DataFrame, rows, k: int, id_col: str, query_id: str, vector_col: str):
     """The result of one block of query rows, and the block's broadcast."""
     import numpy as np
@@ -160,30 +197,23 @@ def _nearest_block(index: DataFrame, queries: DataFrame, rows, k: int, id_col: s
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, unit = shared.value
         held = None
-        for frame in frames:
-            if frame.empty or not len(ids):
-                continue
-            x = np.stack(frame[vector_col].to_numpy()).astype(np.float64)
-            sizes = np.linalg.norm(x, axis=1)
-            x, own = x[sizes > 0] / sizes[sizes > 0, None], frame[id_col].to_numpy()[sizes > 0]
-            if not len(x):
-                continue
-            # Ids are ordered once a batch; ties then go by their rank.
-            own, x = own[order := np.argsort(own, kind="stable")], x[order]
-            d, names = np.maximum(0.0, np.round(1 - unit @ x.T, 6)), np.tile(own, (len(ids), 1))
-            if held is not None:
-                d, names = np.hstack([held[0], d]), np.hstack([held[1], names])
-            if d.shape[1] > k:
-                far = np.partition(d, k - 1, axis=1)[:, k - 1]
-                best = np.empty((len(ids), k), dtype=np.int64)
-                for r in range(len(ids)):
-                    near = np.flatnonzero(d[r] <= far[r])
-                    best[r] = sorted(near.tolist(), key=lambda j, r=r: (d[r, j], names[r, j]))[:k]
-                d, names = np.take_along_axis(d, best, 1), np.take_along_axis(names, best, 1)
-            held = d, names
+        for frame in frames if len(ids) else ():
+            for start in range(0, len(frame), TILE_ROWS):
+                part = frame.iloc[start : start + TILE_ROWS]
+                x = np.stack(part[vector_col].to_numpy()).astype(np.float64)
+                sizes = np.linalg.norm(x, axis=1)
+                x, own = x[sizes > 0] / sizes[sizes > 0, None], part[id_col].to_numpy()[sizes > 0]
+                if not len(x):
+                    continue
+                if held is None:
+                    # Millionths of the distance, ascending; FAR where no row is held yet.
+                    held = np.full((len(ids), k), FAR), np.empty((len(ids), k), dtype=own.dtype)
+                for q in range(0, len(ids), TILE_QUERIES):
+                    _merge(unit[q : q + TILE_QUERIES] @ x.T, own, held[0][q : q + TILE_QUERIES], held[1][q : q + TILE_QUERIES])
         if held is not None:
-            for r, query in enumerate(ids):
-                yield pd.DataFrame({query_id: query, id_col: held[1][r], "distance": held[0][r]})
+            for q in range(0, len(ids), TILE_QUERIES):
+                r, c = np.nonzero(held[0][q : q + TILE_QUERIES] < FAR)
+                yield pd.DataFrame({query_id: [ids[q + i] for i in r.tolist()], id_col: held[1][q + r, c], "distance": held[0][q + r, c] / 1e6})
 
-    found = index.select(id_col, vector_col).mapInPandas(run, f"{query_id} {types[query_id]}, {id_col} {types[id_col]}, distance double")
+    found = spread(index.select(id_col, vector_col)).mapInPandas(run, f"{query_id} {types[query_id]}, {id_col} {types[id_col]}, distance double")
     return _ranked(found, k, query_id, id_col), shared
