@@ -13,6 +13,7 @@ from tidemark.functions import statistics as S
 from tidemark.functions import text as T
 from tidemark.functions import vectors as V
 from tidemark.operators import embed, extract, findings, ingest, predict, themes
+from tidemark.plans import views
 
 
 def value(spark, column, **inputs):
@@ -36,6 +37,33 @@ def test_text(spark):
     assert value(spark, T.narrative_of(F.lit("RECORD: x\nRECORD:\n it is \n"))) == "it is"
 
 
+def test_texts_on_bytes_agree_with_columns(spark):
+    chars = [chr(c) for c in [*range(0x3100), *range(0xA640, 0xABC0), *range(0xF900, 0xFB50), 0x10FFFF, *range(0x10400, 0x10450)]]
+    texts = ["a" + "b".join(chars[i : i + 50]) + "c  d" for i in range(0, len(chars), 50)] + [c * n + "x" + c * n for c in T.SPACES for n in (1, 2, 7)] + ["", " ", "Straße  ﬃ K İ ẞ ŉ", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    slow = F.coalesce("t", F.lit(""))
+    canonical = F.trim(F.regexp_replace(T.casefold(slow), "[^a-z0-9]+", " "))
+    out = rows.select("t", T.display_text(F.col("t")).alias("shown"), T.normalize_whitespace(slow).alias("shown2"), T.canonical_form(F.col("t")).alias("form"), canonical.alias("form2"), T.canonical_digest(F.col("t")).alias("key"), F.unhex(F.sha2(canonical, 256)).alias("key2")).collect()
+    for r in out:
+        assert r["shown"] == r["shown2"] and r["form"] == r["form2"] and r["key"] == r["key2"], ascii(r["t"])
+
+
+def test_records_go_by_bytes_and_once(spark, tmp_path):
+    spark.createDataFrame([(1, "One\ttwo  xx  Straße", "de", "web"), (2, None, "en", "web")], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    made = views.records(spark, str(tmp_path))
+    assert sorted((r["_ord"], r["text"], r["text_clean"]) for r in made.collect()) == [(2, "One two xx Straße", "one two straße"), (3, "ONE TWO XX STRAßE", "one two straße"), (4, "", ""), (5, "", "")]
+    plan = made.groupBy("_ord").agg(F.max(F.hash("text", "text_clean")))._jdf.queryExecution().executedPlan().toString()
+    assert views.UPPER not in plan and plan.count("Scan parquet") == 1
+
+
+def test_min_tokens_counts_once(spark):
+    df = spark.createDataFrame([(1, "a b c"), (2, " a\u3000b "), (3, None), (4, "a  b c\x00d")], "id long, t string").withColumn("text_clean", T.clustering_text(F.col("t")))
+    out = ingest.filter_min_tokens(df, 3)
+    assert out.columns == df.columns and sorted(r["id"] for r in out.collect()) == [1, 4]
+    filters = [x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Filter " in x]
+    assert filters and not any("lower" in x or "replace" in x for x in filters)
+
+
 def test_dates(spark):
     rows = spark.createDataFrame([("2021-03-15",), ("2022-01-03",), ("2021-01-01",), ("not a date",)], "d string").select(D.parse_date(F.col("d")).alias("d"))
     out = rows.select("d", D.year_month(F.col("d")).alias("m"), D.iso_week(F.col("d")).alias("w")).collect()

@@ -1,9 +1,17 @@
-"""Text functions as Columns: every one stays in the JVM, inside whole-stage code generation."""
+"""Text functions as Columns.
 
-from __future__ import annotations
+Most stay in the JVM. What goes over every character of every text (white space, canonical forms) works on UTF-8 bytes
+in Arrow batches: the engine's ``translate`` and character classes take some 100 ns a character, and classes of several
+ranges far more when the cores of one JVM share them.
+"""
 
+import hashlib
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
 #: What Python's str.split and \s treat as white space, for Java's and RE2's regular expressions alike.
 WS = r"[\t\n\x0B\f\r \x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -27,14 +35,72 @@ FOLDINGS = {"ß": "ss", "ſ": "s", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ":
 def normalize_whitespace(text: Column) -> Column:
     """Control characters and white space runs become one space; ends are trimmed.
 
-    Exotic spaces are translated first: a pattern for them all would be tried at every character.
+    Exotic spaces are translated first: a pattern for them all would be tried at every character. For short texts, and
+    inside lambdas and branches; ``display_text`` does the same faster.
     """
     return F.trim(F.regexp_replace(F.translate(text, SPACES, " " * len(SPACES)), " {2,}", " "))
 
 
+#: UTF-8: control characters become spaces; the other spaces; what is no a-z or 0-9 becomes a space, A-Z lower case.
+_PLAIN = bytes(32 if c < 32 or c == 127 else c for c in range(256))
+_EXOTIC = [c.encode() for c in SPACES if c > "\x7f"]
+_CANONICAL = bytes(c if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789" else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
+#: Every character beyond ASCII whose lower case or folding has a letter a-z.
+_FOLDED = [(k.encode(), v.encode()) for k, v in {**FOLDINGS, "ẞ": "ss", "\u212a": "k", "İ": "i\u0307"}.items() if any("a" <= c <= "z" for c in v)]
+
+
+def _squeezed(text: bytes) -> bytes:
+    """Runs of spaces become one; ends are trimmed."""
+    while b"  " in text:
+        text = text.replace(b"  ", b" ")
+    return text.strip(b" ")
+
+
+def shown_bytes(text: bytes) -> bytes:
+    """A text's display form, in UTF-8."""
+    if not text.isascii():
+        for space in _EXOTIC:
+            text = text.replace(space, b" ")
+    return _squeezed(text.translate(_PLAIN))
+
+
+def canonical_bytes(text: bytes) -> bytes:
+    """A text's canonical form, in UTF-8."""
+    if not text.isascii():
+        for char, folded in _FOLDED:
+            text = text.replace(char, folded)
+    return _squeezed(text.translate(_CANONICAL))
+
+
+def _each(texts: pa.Array, f, kind: pa.DataType) -> pa.Array:
+    made = pa.array([f(t) for t in texts.cast(pa.binary()).to_pylist()], pa.binary())
+    return made.cast(options=pc.CastOptions(kind, allow_invalid_utf8=True))
+
+
+@F.arrow_udf(StringType())
+def _shown(texts: pa.Array) -> pa.Array:
+    return _each(texts, shown_bytes, pa.string())
+
+
+@F.arrow_udf(StringType())
+def _canonical(texts: pa.Array) -> pa.Array:
+    return _each(texts, canonical_bytes, pa.string())
+
+
+@F.arrow_udf(BinaryType())
+def _canonical_digest(texts: pa.Array) -> pa.Array:
+    return _each(texts, lambda t: hashlib.sha256(canonical_bytes(t)).digest(), pa.binary())
+
+
+@F.arrow_udf(StringType())
+def ascii_capitals(texts: pa.Array) -> pa.Array:
+    """a-z in capitals, all else as it is."""
+    return pc.ascii_upper(texts)
+
+
 def display_text(text: Column) -> Column:
     """Null becomes the empty string; white space is normalized, case kept."""
-    return normalize_whitespace(F.coalesce(text.cast("string"), F.lit("")))
+    return _shown(F.coalesce(text.cast("string"), F.lit("")))
 
 
 def count_words(clean: Column) -> Column:
@@ -79,7 +145,12 @@ def casefold(text: Column) -> Column:
 
 def canonical_form(text: Column) -> Column:
     """Key of near duplicates: folded, a-z and 0-9 only, single spaces."""
-    return F.trim(F.regexp_replace(casefold(F.coalesce(text.cast("string"), F.lit(""))), "[^a-z0-9]+", " "))
+    return _canonical(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def canonical_digest(text: Column) -> Column:
+    """SHA-256 of the canonical form, as binary: the form itself never leaves the batch."""
+    return _canonical_digest(F.coalesce(text.cast("string"), F.lit("")))
 
 
 def embed_words(text: Column) -> Column:

@@ -41,7 +41,10 @@ def settled(df: DataFrame) -> DataFrame:
 
 
 def filter_min_tokens(df: DataFrame, k: int, text_col: str = "text_clean") -> DataFrame:
-    return df.where(T.count_tokens(F.col(text_col)) >= k)
+    """Rows with ``k`` tokens or more, counted once a row: behind a generator, as in ``settled``, the filter cannot take the count's parts."""
+    n = fresh(df, "_tokens")
+    counted = df.select("*", F.explode(F.array(T.count_tokens(F.col(text_col)))).alias(n))
+    return counted.where(F.col(n) >= k).drop(n)
 
 
 def keep_first(df: DataFrame, key: Column, order_col: str = "_ord", where: Column | None = None) -> DataFrame:
@@ -66,7 +69,7 @@ def exact_key(text: str = "text") -> Column:
 
 
 def near_key(text: str = "text") -> Column:
-    return _digest(T.canonical_form(F.col(text)))
+    return T.canonical_digest(F.col(text))
 
 
 def dedup_exact(df: DataFrame, order_col: str = "_ord") -> DataFrame:

@@ -63,7 +63,7 @@ def canonical_dedup(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {RECORDS} SELECT record_id, sha256(text) AS display_sha, sha256(text_clean) AS clean_sha, sha256({sql_canon('text')}) AS canonical_sha, length(text) AS n_chars, CASE WHEN text = '' THEN 0 ELSE len(string_split(text, ' ')) END::INTEGER AS n_tokens FROM rec")
 def clean_text(spark: SparkSession, d: str) -> DataFrame:
     r = records(spark, d)
-    return r.select("record_id", F.sha2("text", 256).alias("display_sha"), F.sha2("text_clean", 256).alias("clean_sha"), F.sha2(T.canonical_form(F.col("text")), 256).alias("canonical_sha"), F.length("text").cast("long").alias("n_chars"), T.count_tokens(F.col("text")).alias("n_tokens"))
+    return r.select("record_id", F.sha2("text", 256).alias("display_sha"), F.sha2("text_clean", 256).alias("clean_sha"), F.lower(F.hex(T.canonical_digest(F.col("text")))).alias("canonical_sha"), F.length("text").cast("long").alias("n_chars"), T.count_words(F.col("text")).alias("n_tokens"))
 
 
 @query(f"WITH {RECORDS} SELECT record_id, category FROM rec WHERE {LONG.replace('>= 5', '>= 60')}")

@@ -19,11 +19,13 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 def records(spark: SparkSession, d: str) -> DataFrame:
     """Documents in the shape of standardized records; every document twice, the second time in capitals, as a near copy."""
     docs = table(spark, d, "documents")
-    base = docs.select("doc_id", "text", "lang", "source")
-    both = base.withColumn("_ord", F.col("doc_id") * 2).unionByName(base.select("doc_id", F.translate("text", LOWER, UPPER).alias("text"), "lang", "source").withColumn("_ord", F.col("doc_id") * 2 + 1))
     day = F.date_add(F.lit("2021-01-01").cast("date"), F.pmod(F.col("doc_id") * 37, F.lit(1095)).cast("int"))
-    shown = both.withColumn("text", T.display_text(F.col("text")))  # worked out once for both texts
-    return shown.select(F.col("_ord").alias("record_id"), "text", T.unmasked(F.lower("text")).alias("text_clean"), F.col("lang").alias("category"), "source", day.cast("timestamp_ntz").alias("_raw_date"), "_ord", "doc_id")
+    # Worked out once for both rows of a document: capitals a-z change no white space, and the lower-case text is the same.
+    shown = docs.select("doc_id", "lang", "source", T.display_text(F.col("text")).alias("_shown"), T.ascii_capitals(T.display_text(F.col("text"))).alias("_capitals"))
+    clean = shown.withColumn("_lower", F.lower("_shown")).withColumn("text_clean", T.unmasked(F.col("_lower")))
+    both = clean.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("_copy")).withColumn("_ord", F.col("doc_id") * 2 + F.col("_copy"))
+    text = F.when(F.col("_copy") == 0, F.col("_shown")).otherwise(F.col("_capitals"))
+    return both.select(F.col("_ord").alias("record_id"), text.alias("text"), "text_clean", F.col("lang").alias("category"), "source", day.cast("timestamp_ntz").alias("_raw_date"), "_ord", "doc_id")
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
