@@ -15,6 +15,7 @@ from pyspark.sql.types import BinaryType, StringType
 
 #: What Python's str.split and \s treat as white space, for Java's and RE2's regular expressions alike.
 WS = r"[\t\n\x0B\f\r \x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+BLANKS = "\t\n\x0b\x0c\r \x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 #: The same characters one by one, but for the plain space.
 SPACES = "".join(map(chr, [*range(0x20), 0x7F, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -184,7 +185,7 @@ def fill_prompt(template: Column | str, vocabulary: list[str], narrative: Column
 
 def narrative_of(prompt: Column) -> Column:
     """What follows the last RECORD: of a prompt."""
-    return F.regexp_replace(F.substring_index(prompt, "RECORD:", -1), f"^{WS}+|{WS}+$", "")
+    return F.trim(F.substring_index(prompt, "RECORD:", -1), F.lit(BLANKS))
 
 
 def strip_fences(text: Column) -> Column:

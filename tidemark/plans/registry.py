@@ -283,8 +283,7 @@ def mock_classify(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def mock_variants(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text")
-    parts = [extract.mock_extract(docs, Llm().controlled_vocab, v).select("doc_id", F.lit(v).alias("variant"), "issue_category") for v in ("v1", "v2", "v3")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("variant", "issue_category").agg(F.count("*").alias("n"))
+    return extract.mock_variants(docs, Llm().controlled_vocab, ["v1", "v2", "v3"]).groupBy("variant", "issue_category").agg(F.count("*").alias("n"))
 
 
 @query("""WITH c AS (SELECT doc_id, length(text) // 4 AS i, length(source) // 4 AS o FROM documents) SELECT doc_id, i AS input_tokens, o AS output_tokens, round(i / 1000.0::DOUBLE * 0.001::DOUBLE + o / 1000.0::DOUBLE * 0.005::DOUBLE, 9) AS cost_usd FROM c""")
