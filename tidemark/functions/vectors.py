@@ -52,32 +52,44 @@ def hashed_counts(docs: DataFrame, id_col: str, text_col: str, dim: int) -> Data
     return exploded.groupBy(id_col, md5_bucket(F.col("token"), dim).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-#: Tokens whose BLAKE2b bucket a worker remembers.
-CACHE_TOKENS = 200_000
-_buckets: dict[str, int] = {}
+def blake_many(tokens: list[bytes]):
+    """The 8 bytes of each token's BLAKE2b, little endian, as uint64."""
+    import numpy as np
+
+    digest = hashlib.blake2b
+    return np.frombuffer(b"".join([digest(t, digest_size=8).digest() for t in tokens]), dtype="<u8")
 
 
-def _blake(token: str) -> int:
-    """The first 8 bytes of a token's BLAKE2b, remembered."""
-    known = _buckets.get(token)
-    if known is None:
-        known = int.from_bytes(hashlib.blake2b(token.encode(), digest_size=8).digest(), "little")
-        if len(_buckets) >= CACHE_TOKENS:
-            _buckets.clear()
-        if len(token) <= 64:
-            _buckets[token] = known
-    return known
+#: Characters of text that are parted into tokens at once.
+CHUNK_CHARS = 1_000_000
 
 
 def blake_embed(texts: list[str], dim: int):
-    """Hashing embedder by BLAKE2b (8 bytes, little endian) in numpy, for parity with stored vectors."""
+    """Hashing embedder by BLAKE2b (8 bytes, little endian) in numpy, for parity with stored vectors.
+
+    Words get numbers, so that a pair is one number and each distinct pair of a chunk is hashed once.
+    """
     import numpy as np
 
     out = np.zeros((len(texts), dim), dtype=np.float32)
-    for row, text in enumerate(texts):
-        words = _TOKEN.findall((text or "").lower())
-        found = [_blake(t) % dim for t in words]
-        found += [_blake(f"{a}_{b}") % dim for a, b in zip(words, words[1:])]
-        out[row] = np.bincount(found, minlength=dim) if found else 0
+    start = 0
+    while start < len(texts):
+        end, size = start, 0
+        while end < len(texts) and (end == start or size + len(texts[end] or "") <= CHUNK_CHARS):
+            size += len(texts[end] or "")
+            end += 1
+        known: dict[str, int] = {}
+        found = [[known.setdefault(w, len(known)) for w in _TOKEN.findall((text or "").lower())] for text in texts[start:end]]
+        words, flat = list(known), np.fromiter((i for one in found for i in one), dtype=np.int64)
+        rows = np.repeat(np.arange(end - start), [len(one) for one in found])
+        if len(words):
+            buckets = (blake_many([w.encode() for w in words]) % np.uint64(dim)).astype(np.int64)[flat]
+            same = rows[1:] == rows[:-1]
+            pairs, which = np.unique((flat[:-1] * len(words) + flat[1:])[same], return_inverse=True)
+            first, second = (pairs // len(words)).tolist(), (pairs % len(words)).tolist()
+            hashed = (blake_many([f"{words[i]}_{words[j]}".encode() for i, j in zip(first, second)]) % np.uint64(dim)).astype(np.int64)
+            places = np.concatenate([rows * dim + buckets, rows[1:][same] * dim + hashed[which]])
+            out[start:end] = np.bincount(places, minlength=(end - start) * dim).reshape(end - start, dim)
+        start = end
     sizes = np.linalg.norm(out, axis=1, keepdims=True)
     return out / np.where(sizes == 0, 1, sizes)

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +25,12 @@ class Embedder(Protocol):
 
 
 class HashingEmbedder:
-    """Unit vectors of hashed word and pair counts; no model, no network."""
+    """Unit vectors of hashed word and pair counts; no model, no network.
+
+    ``direct``: a vector costs less than finding the text's copies in a shuffle.
+    """
+
+    direct = True
 
     def __init__(self, dim: int = 256) -> None:
         self.dim, self.tag = dim, f"hashing-{dim}"
@@ -71,6 +77,21 @@ def encode(texts: DataFrame, embedder: Embedder) -> DataFrame:
     return texts.select("hash", "text").mapInPandas(run, "hash string, tag string, vec array<float>")
 
 
+def encode_column(text: Column, embedder: Embedder) -> Column:
+    """The vectors where the texts are, each distinct text of an Arrow batch encoded once; null stays null."""
+
+    @F.arrow_udf("array<float>")
+    def made(texts: pa.Array) -> pa.Array:
+        import numpy as np
+
+        coded = texts.dictionary_encode()
+        x = np.asarray(embedder.encode(coded.dictionary.to_pylist()), dtype=np.float32)
+        ends = np.arange(len(coded.dictionary) + 1, dtype=np.int32) * (x.shape[1] if x.ndim == 2 else 0)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(x.ravel())).take(coded.indices)
+
+    return made(text)
+
+
 def read_cache(spark: SparkSession, path: str | None) -> DataFrame:
     """The cache table (hash, tag, vec); empty where there is none yet."""
     schema = "hash string, tag string, vec array<float>"
@@ -89,7 +110,12 @@ def misses(records: DataFrame, cache: DataFrame, embedder_tag: str, text_col: st
 
 
 def embed_records(spark: SparkSession, records: DataFrame, embedder: Embedder, cache_path: str | None = None, text_col: str = "text") -> DataFrame:
-    """``records`` with ``embedding``; only unknown texts are encoded, once each, and added to the cache table."""
+    """``records`` with ``embedding``; only unknown texts are encoded, once each, and added to the cache table.
+
+    Without a cache table, a ``direct`` embedder encodes the texts where they are: none is shuffled.
+    """
+    if not cache_path and getattr(embedder, "direct", False):
+        return records.withColumn("embedding", encode_column(F.col(text_col), embedder))
     cache = read_cache(spark, cache_path)
     new = encode(misses(records, cache, embedder.tag, text_col), embedder)
     if cache_path:
